@@ -8,6 +8,7 @@ from the origin keep their precision. Null rings give null; an empty polygon has
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,81 +18,52 @@ from plotshift.vocabulary import EPS, MERCATOR_RADIUS
 POINTS = "array<struct<x:double,y:double>>"
 
 
-def _zero(names: str) -> list[Column]:
-    return [F.lit(0.0).alias(n) for n in names.split()]
-
-
-def _ring_sums(pts: Column, hole: Column, ox: Column, oy: Column) -> Column:
-    """Sums over one closed ring, relative to (ox, oy)."""
-
-    def step(acc: Column, p: Column) -> Column:
-        x, y = p["x"] - ox, p["y"] - oy
-        px, py = acc["px"], acc["py"]
-        cross = px * y - x * py
-        length = F.hypot(x - px, y - py)
-        return F.struct(
-            x.alias("px"),
-            y.alias("py"),
-            (acc["a2"] + cross).alias("a2"),
-            (acc["sx"] + (px + x) * cross).alias("sx"),
-            (acc["sy"] + (py + y) * cross).alias("sy"),
-            (acc["len"] + length).alias("len"),
-            (acc["lx"] + (px + x) * length).alias("lx"),
-            (acc["ly"] + (py + y) * length).alias("ly"),
-            F.least(acc["minx"], p["x"]).alias("minx"),
-            F.least(acc["miny"], p["y"]).alias("miny"),
-            F.greatest(acc["maxx"], p["x"]).alias("maxx"),
-            F.greatest(acc["maxy"], p["y"]).alias("maxy"),
-        )
-
-    first = F.get(pts, F.lit(0))
-    start = F.struct(
-        (first["x"] - ox).alias("px"),
-        (first["y"] - oy).alias("py"),
-        *_zero("a2 sx sy len lx ly"),
-        first["x"].alias("minx"),
-        first["y"].alias("miny"),
-        first["x"].alias("maxx"),
-        first["y"].alias("maxy"),
-    )
+SUMS = ("a2", "sx", "sy", "len", "lx", "ly")
+BOX = ("minx", "miny", "maxx", "maxy")
 
-    def finish(acc: Column) -> Column:
-        # An exterior ring counts positive and a hole negative, whichever way it was digitised.
-        sign = F.when((acc["a2"] < 0) != hole, -1.0).otherwise(1.0)
-        return F.struct(
-            (sign * acc["a2"]).alias("a2"),
-            (sign * acc["sx"]).alias("sx"),
-            (sign * acc["sy"]).alias("sy"),
-            *[acc[n].alias(n) for n in "len lx ly minx miny maxx maxy".split()],
-        )
-
-    return F.aggregate(pts, start, step, finish)
-
-
-def shape_sums(rings: Column) -> Column:
-    """One struct per polygon holding every sum that area, length, centroid and bounds need."""
-    origin = F.get(F.get(rings, F.lit(0))["pts"], F.lit(0))
-    ox, oy = origin["x"], origin["y"]
-    per_ring = F.transform(rings, lambda r: _ring_sums(r["pts"], r["hole"], ox, oy))
-    sums = "a2 sx sy len lx ly".split()
-    start = F.struct(
-        *_zero("a2 sx sy len lx ly"),
-        *[F.lit(None).cast("double").alias(n) for n in "minx miny maxx maxy".split()],
-    )
 
-    def step(acc: Column, r: Column) -> Column:
-        return F.struct(
-            *[(acc[n] + r[n]).alias(n) for n in sums],
-            F.least(acc["minx"], r["minx"]).alias("minx"),
-            F.least(acc["miny"], r["miny"]).alias("miny"),
-            F.greatest(acc["maxx"], r["maxx"]).alias("maxx"),
-            F.greatest(acc["maxy"], r["maxy"]).alias("maxy"),
-        )
+def _struct(fields: dict[str, str]) -> str:
+    return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + ")"
 
-    def finish(acc: Column) -> Column:
-        return F.struct(*[acc[n].alias(n) for n in sums + "minx miny maxx maxy".split()], ox.alias("ox"), oy.alias("oy"))
 
-    return F.aggregate(per_ring, start, step, finish)
+def shape_sums(rings: str = "rings") -> Column:
+    """One struct per polygon holding every sum that area, length, centroid and bounds need.
+
+    ``rings`` names a column. The expression is written as SQL: one parse instead of a thousand small calls.
+    """
+    ox, oy = f"get(get({rings}, 0).pts, 0).x", f"get(get({rings}, 0).pts, 0).y"
+    x, y = f"(p.x - {ox})", f"(p.y - {oy})"
+    cross = f"(s.px * {y} - {x} * s.py)"
+    length = f"hypot({x} - s.px, {y} - s.py)"
+    box_of = {"minx": "least(s.minx, p.x)", "miny": "least(s.miny, p.y)", "maxx": "greatest(s.maxx, p.x)", "maxy": "greatest(s.maxy, p.y)"}
+    start = {
+        "px": f"get(r.pts, 0).x - {ox}",
+        "py": f"get(r.pts, 0).y - {oy}",
+        **{k: "0D" for k in SUMS},
+        **{k: f"get(r.pts, 0).{k[-1]}" for k in BOX},
+    }
+    step = {
+        "px": x,
+        "py": y,
+        "a2": f"s.a2 + {cross}",
+        "sx": f"s.sx + (s.px + {x}) * {cross}",
+        "sy": f"s.sy + (s.py + {y}) * {cross}",
+        "len": f"s.len + {length}",
+        "lx": f"s.lx + (s.px + {x}) * {length}",
+        "ly": f"s.ly + (s.py + {y}) * {length}",
+        **box_of,
+    }
+    # An exterior ring counts positive and a hole negative, whichever way it was digitised.
+    sign = "if((s.a2 < 0) != r.hole, -1D, 1D)"
+    signed = {**{k: f"{sign} * s.{k}" for k in SUMS[:3]}, **{k: f"s.{k}" for k in SUMS[3:] + BOX}}
+    per_ring = f"transform({rings}, r -> aggregate(r.pts, {_struct(start)}, (s, p) -> {_struct(step)}, s -> {_struct(signed)}))"
+    start = {**{k: "0D" for k in SUMS}, **{k: "CAST(NULL AS DOUBLE)" for k in BOX}}
+    step = {
+        **{k: f"t.{k} + r.{k}" for k in SUMS},
+        **{k: f"{'least' if k.startswith('min') else 'greatest'}(t.{k}, r.{k})" for k in BOX},
+    }
+    last = {**{k: f"t.{k}" for k in SUMS + BOX}, "ox": ox, "oy": oy}
+    return F.expr(f"aggregate({per_ring}, {_struct(start)}, (t, r) -> {_struct(step)}, t -> {_struct(last)})")
 
 
 def area(s: Column) -> Column:
@@ -149,164 +121,123 @@ def aspect_ratio(w: Column, h: Column, variant: str = "raw") -> Column:
     return ratio(w, h) if variant == "raw" else w / floor_at(h, EPS)
 
 
-def convex_hull(rings: Column) -> Column:
-    """Closed hull ring of all vertices.
+def all_points(rings: str) -> str:
+    return f"flatten(transform({rings}, r -> r.pts))"
+
+
+def hull_rings(rings: str = "rings") -> Column:
+    """Convex hull of all vertices as a one-ring polygon; store it in a column and measure it with :func:`shape_sums`.
 
     Points are visited in x order while a chain is kept. On a convex chain the vertices that stay are exactly those
     before which the turn towards the new point is still to the left, so a filter does the popping.
     """
-    pts = F.sort_array(F.array_distinct(F.flatten(F.transform(rings, lambda r: r["pts"]))))
-
-    def turn(a: Column, b: Column, c: Column) -> Column:
-        return (b["x"] - a["x"]) * (c["y"] - a["y"]) - (b["y"] - a["y"]) * (c["x"] - a["x"])
-
-    def extend(chain: Column, p: Column) -> Column:
-        kept = F.filter(chain, lambda q, i: (i == 0) | (turn(F.get(chain, i - 1), q, p) > 0))
-        return F.concat(kept, F.array(p))
-
-    empty = F.array().cast(POINTS)
-    return F.concat(F.aggregate(pts, empty, extend), F.aggregate(F.reverse(pts), empty, extend))
+    pts = f"sort_array(array_distinct({all_points(rings)}))"
+    before = "get(chain, i - 1)"
+    turn = f"(q.x - {before}.x) * (p.y - {before}.y) - (q.y - {before}.y) * (p.x - {before}.x)"
+    extend = f"(chain, p) -> concat(filter(chain, (q, i) -> i = 0 OR {turn} > 0), array(p))"
+    half = lambda points: f"aggregate({points}, CAST(array() AS {POINTS}), {extend})"
+    hull = f"concat({half(pts)}, {half(f'reverse({pts})')})"
+    return F.expr(f"if(size({all_points(rings)}) > 0, array(named_struct('hole', false, 'pts', {hull})), NULL)")
 
 
-def hull_rings(rings: Column) -> Column:
-    """The hull as a one-ring polygon, so that :func:`shape_sums` measures it."""
-    hull = F.array(F.struct(F.lit(False).alias("hole"), convex_hull(rings).alias("pts")))
-    return F.when(F.size(F.flatten(F.transform(rings, lambda r: r["pts"]))) > 0, hull)
+def ring_closed(pts: str) -> str:
+    """SQL text: at least four points, the last repeating the first."""
+    return f"(size({pts}) >= 4 AND get({pts}, 0) = get({pts}, size({pts}) - 1))"
 
 
-def segments_meet(e: Column, f: Column) -> Column:
-    """Do two closed segments, structs (ax, ay, bx, by), share a point?"""
-
-    def side(s: Column, x: Column, y: Column) -> Column:
-        return F.signum((s["bx"] - s["ax"]) * (y - s["ay"]) - (s["by"] - s["ay"]) * (x - s["ax"]))
-
-    boxes = (
-        (F.greatest(e["ax"], e["bx"]) >= F.least(f["ax"], f["bx"]))
-        & (F.greatest(f["ax"], f["bx"]) >= F.least(e["ax"], e["bx"]))
-        & (F.greatest(e["ay"], e["by"]) >= F.least(f["ay"], f["by"]))
-        & (F.greatest(f["ay"], f["by"]) >= F.least(e["ay"], e["by"]))
-    )
-    return (
-        boxes
-        & (side(e, f["ax"], f["ay"]) * side(e, f["bx"], f["by"]) <= 0)
-        & (side(f, e["ax"], e["ay"]) * side(f, e["bx"], e["by"]) <= 0)
+def _segments_meet() -> str:
+    """SQL text: closed segments e and f, structs (ax, ay, bx, by), share a point."""
+    overlap = " AND ".join(
+        f"greatest({p}.a{z}, {p}.b{z}) >= least({q}.a{z}, {q}.b{z})" for z in "xy" for p, q in (("e", "f"), ("f", "e"))
     )
+    side = lambda s, p: f"signum(({s}.bx - {s}.ax) * ({p}y - {s}.ay) - ({s}.by - {s}.ay) * ({p}x - {s}.ax))"
+    return f"{overlap} AND {side('e', 'f.a')} * {side('e', 'f.b')} <= 0 AND {side('f', 'e.a')} * {side('f', 'e.b')} <= 0"
 
 
-def ring_edges(pts: Column) -> Column:
-    """Numbered edges of a closed ring: array<struct<i, n, ax, ay, bx, by>>."""
-    n = F.size(pts)
-
-    def edge(p: Column, i: Column) -> Column:
-        q = F.get(pts, i + 1)
-        return F.struct(
-            i.alias("i"),
-            (n - 1).alias("n"),
-            p["x"].alias("ax"),
-            p["y"].alias("ay"),
-            q["x"].alias("bx"),
-            q["y"].alias("by"),
-        )
-
-    return F.slice(F.transform(pts, edge), F.lit(1), F.greatest(n - 1, F.lit(0)))
-
-
-def apart(i: Column, j: Column, n: Column) -> Column:
-    """Edges i < j of an n-edge ring that share no vertex."""
-    return (j > i + 1) & ~((i == 0) & (j == n - 1))
-
-
-def ring_is_closed(pts: Column) -> Column:
-    first, last = F.get(pts, F.lit(0)), F.get(pts, F.size(pts) - 1)
-    return (F.size(pts) >= 4) & (first["x"] == last["x"]) & (first["y"] == last["y"])
+def rings_edges(rings: str = "rings") -> Column:
+    """Numbered edges of every ring: array<array<struct<i, n, ax, ay, bx, by>>>."""
+    edge = _struct(
+        {"i": "i", "n": "size(r.pts) - 1", "ax": "p.x", "ay": "p.y", "bx": "get(r.pts, i + 1).x", "by": "get(r.pts, i + 1).y"}
+    )
+    return F.expr(f"transform({rings}, r -> slice(transform(r.pts, (p, i) -> {edge}), 1, greatest(size(r.pts) - 1, 0)))")
 
 
-def ring_is_simple(pts: Column) -> Column:
-    """No two non-adjacent edges of the ring meet. Quadratic in the vertex count, meant for rings of ordinary size."""
-    edges = ring_edges(pts)
-    return ~F.exists(edges, lambda e: F.exists(edges, lambda f: apart(e["i"], f["i"], e["n"]) & segments_meet(e, f)))
+def edges_simple(edges: str) -> Column:
+    """No two edges that share no vertex meet. Quadratic in the vertex count, meant for rings of ordinary size."""
+    apart = "f.i > e.i + 1 AND NOT (e.i = 0 AND f.i = e.n - 1)"
+    return F.expr(f"forall({edges}, ring -> NOT exists(ring, e -> exists(ring, f -> {apart} AND {_segments_meet()})))")
 
 
-def to_mercator(rings: Column) -> Column:
+def to_mercator(rings: str = "rings") -> Column:
     """Longitude/latitude degrees to spherical Mercator metres (EPSG:4326 to EPSG:3857)."""
-
-    def project(p: Column) -> Column:
-        return F.struct(
-            (MERCATOR_RADIUS * F.radians(p["x"])).alias("x"),
-            (MERCATOR_RADIUS * F.ln(F.tan(math.pi / 4 + F.radians(p["y"]) / 2))).alias("y"),
-        )
-
-    return F.transform(
-        rings, lambda r: F.struct(r["hole"].alias("hole"), F.transform(r["pts"], project).alias("pts"))
+    point = _struct(
+        {
+            "x": f"{MERCATOR_RADIUS}D * radians(p.x)",
+            "y": f"{MERCATOR_RADIUS}D * ln(tan(pi() / 4 + radians(p.y) / 2))",
+        }
     )
+    return F.expr(f"transform({rings}, r -> named_struct('hole', r.hole, 'pts', transform(r.pts, p -> {point})))")
 
 
-def raw_moments(rings: Column) -> Column:
-    """Moments up to order three of the first exterior ring, relative to its first vertex (Green's theorem)."""
-    pts = F.get(rings, F.lit(0))["pts"]
-    first = F.get(pts, F.lit(0))
-    names = "m00 m10 m01 m20 m11 m02 m30 m21 m12 m03".split()
-
-    def step(acc: Column, p: Column) -> Column:
-        x0, y0 = acc["px"], acc["py"]
-        x1, y1 = p["x"] - first["x"], p["y"] - first["y"]
-        c = x0 * y1 - x1 * y0
-        terms = {
-            "m00": c,
-            "m10": c * (x0 + x1),
-            "m01": c * (y0 + y1),
-            "m20": c * (x0 * x0 + x0 * x1 + x1 * x1),
-            "m11": c * (x0 * (2 * y0 + y1) + x1 * (y0 + 2 * y1)),
-            "m02": c * (y0 * y0 + y0 * y1 + y1 * y1),
-            "m30": c * (x0 + x1) * (x0 * x0 + x1 * x1),
-            "m21": c * (x0 * x0 * (3 * y0 + y1) + 2 * x0 * x1 * (y0 + y1) + x1 * x1 * (y0 + 3 * y1)),
-            "m12": c * (y0 * y0 * (3 * x0 + x1) + 2 * y0 * y1 * (x0 + x1) + y1 * y1 * (x0 + 3 * x1)),
-            "m03": c * (y0 + y1) * (y0 * y0 + y1 * y1),
-        }
-        return F.struct(x1.alias("px"), y1.alias("py"), *[(acc[n] + terms[n]).alias(n) for n in names])
+# Numerators of the moments of one edge (x0, y0)-(x1, y1) with cross product c, and their common divisors.
+MOMENTS = {
+    "m00": ("c", 2),
+    "m10": ("c * (x0 + x1)", 6),
+    "m01": ("c * (y0 + y1)", 6),
+    "m20": ("c * (x0 * x0 + x0 * x1 + x1 * x1)", 12),
+    "m11": ("c * (x0 * (2 * y0 + y1) + x1 * (y0 + 2 * y1))", 24),
+    "m02": ("c * (y0 * y0 + y0 * y1 + y1 * y1)", 12),
+    "m30": ("c * (x0 + x1) * (x0 * x0 + x1 * x1)", 20),
+    "m21": ("c * (x0 * x0 * (3 * y0 + y1) + 2 * x0 * x1 * (y0 + y1) + x1 * x1 * (y0 + 3 * y1))", 60),
+    "m12": ("c * (y0 * y0 * (3 * x0 + x1) + 2 * y0 * y1 * (x0 + x1) + y1 * y1 * (x0 + 3 * x1))", 60),
+    "m03": ("c * (y0 + y1) * (y0 * y0 + y1 * y1)", 20),
+}
 
-    divisors = dict(zip(names, (2, 6, 6, 12, 24, 12, 20, 60, 60, 20)))
 
-    def finish(acc: Column) -> Column:
-        sign = F.when(acc["m00"] < 0, -1.0).otherwise(1.0)
-        return F.struct(*[(sign * acc[n] / divisors[n]).alias(n) for n in names])
-
-    return F.aggregate(pts, F.struct(*_zero("px py " + " ".join(names))), step, finish)
+def raw_moments(rings: str = "rings") -> Column:
+    """Moments up to order three of the first exterior ring, relative to its first vertex (Green's theorem)."""
+    pts = f"get({rings}, 0).pts"
+    x1, y1 = f"(p.x - get({pts}, 0).x)", f"(p.y - get({pts}, 0).y)"
+    values = {"x0": "s.px", "y0": "s.py", "x1": x1, "y1": y1, "c": f"(s.px * {y1} - {x1} * s.py)"}
+    fill = lambda text: re.sub(r"\b(x0|y0|x1|y1|c)\b", lambda m: values[m[1]], text)
+    start = {k: "0D" for k in ("px", "py", *MOMENTS)}
+    step = {"px": x1, "py": y1, **{k: f"s.{k} + {fill(t)}" for k, (t, _) in MOMENTS.items()}}
+    last = {k: f"if(s.m00 < 0, -1D, 1D) * s.{k} / {d}" for k, (_, d) in MOMENTS.items()}
+    return F.expr(f"aggregate({pts}, {_struct(start)}, (s, p) -> {_struct(step)}, s -> {_struct(last)})")
 
 
-def normalized_moments(m: Column) -> Column:
+def normalized_moments(m: str) -> Column:
     """Central moments scaled by area: eta_pq = mu_pq / m00^(1 + (p+q)/2). Null without area."""
-    x, y = ratio(m["m10"], m["m00"]), ratio(m["m01"], m["m00"])
+    x, y = f"try_divide({m}.m10, {m}.m00)", f"try_divide({m}.m01, {m}.m00)"
     mu = {
-        "n20": m["m20"] - x * m["m10"],
-        "n11": m["m11"] - x * m["m01"],
-        "n02": m["m02"] - y * m["m01"],
-        "n30": m["m30"] - 3 * x * m["m20"] + 2 * x * x * m["m10"],
-        "n21": m["m21"] - 2 * x * m["m11"] - y * m["m20"] + 2 * x * x * m["m01"],
-        "n12": m["m12"] - 2 * y * m["m11"] - x * m["m02"] + 2 * y * y * m["m10"],
-        "n03": m["m03"] - 3 * y * m["m02"] + 2 * y * y * m["m01"],
+        "n20": f"{m}.m20 - {x} * {m}.m10",
+        "n11": f"{m}.m11 - {x} * {m}.m01",
+        "n02": f"{m}.m02 - {y} * {m}.m01",
+        "n30": f"{m}.m30 - 3 * {x} * {m}.m20 + 2 * {x} * {x} * {m}.m10",
+        "n21": f"{m}.m21 - 2 * {x} * {m}.m11 - {y} * {m}.m20 + 2 * {x} * {x} * {m}.m01",
+        "n12": f"{m}.m12 - 2 * {y} * {m}.m11 - {x} * {m}.m02 + 2 * {y} * {y} * {m}.m10",
+        "n03": f"{m}.m03 - 3 * {y} * {m}.m02 + 2 * {y} * {y} * {m}.m01",
     }
-    return F.struct(
-        *[ratio(v, F.pow(m["m00"], F.lit(2.0 if int(k[1]) + int(k[2]) == 2 else 2.5))).alias(k) for k, v in mu.items()]
-    )
+    power = lambda k: 2.0 if int(k[1]) + int(k[2]) == 2 else 2.5
+    return F.expr(_struct({k: f"try_divide({v}, power({m}.m00, {power(k)}D))" for k, v in mu.items()}))
 
 
-def hu_invariants(n: Column) -> Column:
+def hu_invariants(n: str) -> Column:
     """The seven rotation invariants of Hu (1962) as an array; 0 where the polygon is missing, empty or flat."""
-    n20, n11, n02, n30, n21, n12, n03 = (n[k] for k in "n20 n11 n02 n30 n21 n12 n03".split())
-    p, q = n30 + n12, n21 + n03
-    u, v = n30 - 3 * n12, 3 * n21 - n03
-    d = n20 - n02
+    p, q = f"({n}.n30 + {n}.n12)", f"({n}.n21 + {n}.n03)"
+    u, v = f"({n}.n30 - 3 * {n}.n12)", f"(3 * {n}.n21 - {n}.n03)"
+    d, e = f"({n}.n20 - {n}.n02)", f"{n}.n11"
+    even, odd = f"({p} * {p} - 3 * {q} * {q})", f"(3 * {p} * {p} - {q} * {q})"
     values = [
-        n20 + n02,
-        d * d + 4 * n11 * n11,
-        u * u + v * v,
-        p * p + q * q,
-        u * p * (p * p - 3 * q * q) + v * q * (3 * p * p - q * q),
-        d * (p * p - q * q) + 4 * n11 * p * q,
-        v * p * (p * p - 3 * q * q) - u * q * (3 * p * p - q * q),
+        f"{n}.n20 + {n}.n02",
+        f"{d} * {d} + 4 * {e} * {e}",
+        f"{u} * {u} + {v} * {v}",
+        f"{p} * {p} + {q} * {q}",
+        f"{u} * {p} * {even} + {v} * {q} * {odd}",
+        f"{d} * ({p} * {p} - {q} * {q}) + 4 * {e} * {p} * {q}",
+        f"{v} * {p} * {even} - {u} * {q} * {odd}",
     ]
-    return F.array(*[F.coalesce(h, F.lit(0.0)) for h in values])
+    return F.expr("array(" + ", ".join(f"coalesce({h}, 0D)" for h in values) + ")")
 
 
 def signed_log(value: Column) -> Column:

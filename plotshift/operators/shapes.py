@@ -16,7 +16,7 @@ LONG_RING = 256
 
 
 def with_sums(df: DataFrame, name: str = "_s") -> DataFrame:
-    return df.withColumn(name, G.shape_sums(F.col("rings")))
+    return df.withColumn(name, G.shape_sums("rings"))
 
 
 def with_core(df: DataFrame, missing_as_zero: bool = False) -> DataFrame:
@@ -80,14 +80,15 @@ def with_shape(df: DataFrame) -> DataFrame:
 
 def with_hull(df: DataFrame) -> DataFrame:
     """Convex hull measures. Needs ``area`` and ``perimeter``; a polygon without hull falls back to itself."""
-    df = df.withColumn("_h", G.shape_sums(G.hull_rings(F.col("rings"))))
+    df = df.withColumn("_hull", G.hull_rings("rings"))
+    df = df.withColumn("_h", G.shape_sums("_hull"))
     h = F.col("_h")
     df = df.withColumns(
         {
             "convex_hull_area": F.coalesce(G.area(h), F.col("area")),
             "convex_hull_perimeter": F.coalesce(G.perimeter(h), F.col("perimeter")),
         }
-    ).drop("_h")
+    ).drop("_h", "_hull")
     df = df.withColumns(
         {
             "solidity": G.ratio(F.col("area"), F.col("convex_hull_area")),
@@ -104,9 +105,9 @@ def with_hull(df: DataFrame) -> DataFrame:
 
 def with_hu(df: DataFrame) -> DataFrame:
     """``hu_moment_0..6`` and their signed logarithms."""
-    df = df.withColumn("_m", G.raw_moments(F.col("rings")))
-    df = df.withColumn("_n", G.normalized_moments(F.col("_m")))
-    df = df.withColumn("_hu", G.hu_invariants(F.col("_n")))
+    df = df.withColumn("_m", G.raw_moments("rings"))
+    df = df.withColumn("_n", G.normalized_moments("_m"))
+    df = df.withColumn("_hu", G.hu_invariants("_n"))
     df = df.withColumns({f"hu_moment_{i}": F.get("_hu", F.lit(i)) for i in range(7)})
     return df.withColumns({f"hu_moment_{i}_log": G.signed_log(F.col(f"hu_moment_{i}")) for i in range(7)}).drop(
         "_m", "_n", "_hu"
@@ -119,7 +120,7 @@ def reproject(df: DataFrame, source: str = "EPSG:4326", target: str = "EPSG:3857
         return df
     if (source, target) != ("EPSG:4326", "EPSG:3857"):
         raise ValueError(f"only EPSG:4326 to EPSG:3857 is supported, not {source} to {target}")
-    return df.withColumn("rings", G.to_mercator(F.col("rings")))
+    return df.withColumn("rings", G.to_mercator("rings"))
 
 
 def _sweep_is_simple(x: np.ndarray, y: np.ndarray) -> bool:
@@ -161,10 +162,10 @@ def with_validity(df: DataFrame, long_rings: bool = False) -> DataFrame:
     vertices by a sweep in Arrow batches; only those rings are sent to Python.
     """
     rings, s = F.col("rings"), F.col("_s")
-    shaped = F.forall(rings, lambda r: G.ring_is_closed(r["pts"]))
-    is_long = F.exists(rings, lambda r: F.size(r["pts"]) > LONG_RING)
-    simple = F.forall(rings, lambda r: G.ring_is_simple(r["pts"]))
-    df = with_sums(df)
+    shaped = F.expr(f"forall(rings, r -> {G.ring_closed('r.pts')})")
+    is_long = F.expr(f"exists(rings, r -> size(r.pts) > {LONG_RING})")
+    df = with_sums(df).withColumn("_edges", F.when(~is_long if long_rings else F.lit(True), G.rings_edges("rings")))
+    simple = G.edges_simple("_edges")
     if long_rings:
         only_long = F.when(is_long & shaped, rings)
         xs = F.transform(only_long, lambda r: F.transform(r["pts"], lambda p: p["x"]))
@@ -172,7 +173,7 @@ def with_validity(df: DataFrame, long_rings: bool = False) -> DataFrame:
         df = df.withColumn("_long", _long_rings_simple(xs, ys))
         simple = F.when(is_long, F.col("_long")).otherwise(simple)
     valid = (F.size(rings) > 0) & shaped & (s["a2"] != 0) & simple
-    return df.withColumn("is_valid", F.when(rings.isNotNull(), F.coalesce(valid, F.lit(False)))).drop("_s", "_long")
+    return df.withColumn("is_valid", F.when(rings.isNotNull(), F.coalesce(valid, F.lit(False)))).drop("_s", "_long", "_edges")
 
 
 def drop_missing(df: DataFrame) -> DataFrame:

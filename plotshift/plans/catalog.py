@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plotshift.plans import features, features_sql
+from plotshift.plans import features, features_sql, tables, tables_sql
 
-QUERIES = {**features.QUERIES}
-SQL = {**features_sql.SQL}
+QUERIES = {**features.QUERIES, **tables.QUERIES}
+SQL = {**features_sql.SQL, **tables_sql.SQL}

@@ -6,7 +6,7 @@ it is squared, which keeps the products inside a BIGINT for keys of any size.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plotshift.vocabulary import BANDS, CHANGE_TYPES, GEOMETRY_TYPE
@@ -29,14 +29,18 @@ STATUSES = (
 BAND_OFFSETS = {"red": 0, "green": 40, "blue": 80}
 
 
-def _pick(values: tuple, index: Column) -> Column:
-    return F.get(F.array(*[F.lit(v).cast("string") for v in values]), index.cast("int"))
+LABEL = "CAST(CASE WHEN u < 3 THEN 5 WHEN u < 8 THEN 4 WHEN u < 15 THEN 1 WHEN u < 25 THEN 0 WHEN u < 55 THEN 3 ELSE 2 END AS INT)"
 
 
-def _ring(points: list[tuple[Column, Column]]) -> Column:
+def _pick(values: tuple, index: str) -> str:
+    items = ", ".join("CAST(NULL AS STRING)" if v is None else f"'{v}'" for v in values)
+    return f"get(array({items}), CAST({index} AS INT))"
+
+
+def _ring(points: list[tuple[str, str]]) -> str:
     closed = points + points[:1]
-    pts = F.array(*[F.struct(x.cast("double").alias("x"), y.cast("double").alias("y")) for x, y in closed])
-    return F.array(F.struct(F.lit(False).alias("hole"), pts.alias("pts")))
+    pts = ", ".join(f"named_struct('x', CAST({x} AS DOUBLE), 'y', CAST({y} AS DOUBLE))" for x, y in closed)
+    return f"array(named_struct('hole', false, 'pts', array({pts})))"
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
@@ -47,77 +51,70 @@ def spread(df: DataFrame, key: str) -> DataFrame:
 
 def parcels(spark: SparkSession, sf_dir: str, split: str | None = None) -> DataFrame:
     """The parcel view over ``{sf_dir}/orders.parquet``; ``split`` keeps only ``train`` or ``test`` rows."""
-    k = F.col("o_orderkey")
     orders = spread(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderdate"), "o_orderkey")
-    is_test = (k % 11).isin(3, 8)
     if split is not None:
-        orders = orders.where(is_test if split == "test" else ~is_test)
-
-    u = (k * 7919 + 17) % 100
-    lab = (
-        F.when(u < 3, 5).when(u < 8, 4).when(u < 15, 1).when(u < 25, 0).when(u < 55, 3).otherwise(2).cast("int")
-    )
-    kx, ky = k % 100003, k % 100019
-    cx = (kx * kx * 37 + kx * 11) % 100003
-    cy = (ky * ky * 53 + ky * 7919) % 100019
-
-    base = orders.select(
-        k.alias("fid"),
-        F.when(is_test, "test").otherwise("train").alias("split"),
-        lab.alias("lab"),
-        cx.alias("_cx"),
-        cy.alias("_cy"),
-        F.to_date("o_orderdate").alias("_d0"),
+        orders = orders.where("o_orderkey % 11 IN (3, 8)" if split == "test" else "o_orderkey % 11 NOT IN (3, 8)")
+    base = orders.selectExpr(
+        "o_orderkey AS fid",
+        "if(o_orderkey % 11 IN (3, 8), 'test', 'train') AS split",
+        "to_date(o_orderdate) AS day",
+        "(o_orderkey * 7919 + 17) % 100 AS u",
+        "o_orderkey % 100003 AS kx",
+        "o_orderkey % 100019 AS ky",
+    ).selectExpr(
+        "fid",
+        "split",
+        "day",
+        f"{LABEL} AS lab",
+        "(kx * kx * 37 + kx * 11) % 100003 AS cx",
+        "(ky * ky * 53 + ky * 7919) % 100019 AS cy",
     )
 
-    k, lab, cx, cy = F.col("fid"), F.col("lab"), F.col("_cx"), F.col("_cy")
     star = []
     for i, (dx, dy) in enumerate(DIRECTIONS):
-        r = (lab + 1) * (10 + (k * (2 * i + 3) + 13 * i) % 97)
-        star.append((cx + r * dx, cy + r * dy))
-    bow = [(cx + dx, cy + dy) for dx, dy in BOW_TIE]
+        r = f"(lab + 1) * (10 + (fid * {2 * i + 3} + {13 * i}) % 97)"
+        star.append((f"cx + {r} * {dx}", f"cy + {r} * {dy}"))
+    bow = [(f"cx + {dx}", f"cy + {dy}") for dx, dy in BOW_TIE]
     rings = (
-        F.when(k % 97 == 0, F.lit(None).cast(GEOMETRY_TYPE))
-        .when(k % 101 == 0, F.array().cast(GEOMETRY_TYPE))
-        .when(k % 103 == 0, _ring(bow))
-        .otherwise(_ring(star))
+        f"CASE WHEN fid % 97 = 0 THEN CAST(NULL AS {GEOMETRY_TYPE}) WHEN fid % 101 = 0 THEN CAST(array() AS {GEOMETRY_TYPE}) "
+        f"WHEN fid % 103 = 0 THEN {_ring(bow)} ELSE {_ring(star)} END"
     )
 
     columns = {
-        "change_type": F.when(F.col("split") == "train", _pick(tuple(CHANGE_TYPES), lab)),
-        "geometry_type": F.when(k % 97 != 0, "Polygon"),
-        "urban_type": _pick(URBAN, (k % 13) % 5),
-        "geography_type": _pick(GEOGRAPHY, (k % 37) % 7),
+        "change_type": f"if(split = 'train', {_pick(tuple(CHANGE_TYPES), 'lab')}, NULL)",
+        "geometry_type": "if(fid % 97 <> 0, 'Polygon', NULL)",
+        "urban_type": _pick(URBAN, "(fid % 13) % 5"),
+        "geography_type": _pick(GEOGRAPHY, "(fid % 37) % 7"),
     }
-    day = F.col("_d0")
+    day = "day"
     for i in range(5):
         if i:
-            day = F.date_add(day, (30 + (k * (2 * i + 1)) % 300).cast("int"))
+            day = f"date_add({day}, CAST(30 + (fid * {2 * i + 1}) % 300 AS INT))"
         columns[f"date{i}"] = (
-            F.when((k + i) % 53 == 0, F.lit(None).cast("string"))
-            .when((k + i) % 211 == 0, "31-13-2015")
-            .otherwise(F.date_format(day, "dd-MM-yyyy"))
+            f"CASE WHEN (fid + {i}) % 53 = 0 THEN NULL WHEN (fid + {i}) % 211 = 0 THEN '31-13-2015' "
+            f"ELSE date_format({day}, 'dd-MM-yyyy') END"
         )
-        columns[f"change_status_date{i}"] = F.when((k + i) % 61 != 0, _pick(STATUSES, (k * (i + 1) + i) % 8))
+        columns[f"change_status_date{i}"] = f"if((fid + {i}) % 61 <> 0, {_pick(STATUSES, f'(fid * {i + 1} + {i}) % 8')}, NULL)"
     for band in BANDS:
         off = BAND_OFFSETS[band]
         for d in range(1, 6):
-            columns[f"img_{band}_mean_date{d}"] = F.when(k % 59 != 0, (50 + (k * (d + 2) + off) % 150).cast("double"))
-            columns[f"img_{band}_std_date{d}"] = F.when(k % 59 != 0, (1 + (k + 5 * d + off) % 40).cast("double"))
-    df = base.withColumns(columns)
+            mean, std = f"50 + (fid * {d + 2} + {off}) % 150", f"1 + (fid + {5 * d + off}) % 40"
+            columns[f"img_{band}_mean_date{d}"] = f"if(fid % 59 <> 0, CAST({mean} AS DOUBLE), NULL)"
+            columns[f"img_{band}_std_date{d}"] = f"if(fid % 59 <> 0, CAST({std} AS DOUBLE), NULL)"
     # The polygon leaves a generator, as it would leave a scan: later predicates refer to it instead of repeating its rule.
-    return df.select(*[c for c in df.columns if c not in ("_cx", "_cy", "_d0")], F.explode(F.array(rings)).alias("rings"))
+    return base.selectExpr(
+        "fid", "split", "lab", *[f"{e} AS {c}" for c, e in columns.items()], f"explode(array({rings})) AS rings"
+    )
 
 
 def model_probabilities(spark: SparkSession, sf_dir: str, models: int = 3, folds: int = 5) -> DataFrame:
     """Deterministic long table ``(fid, lab, model, fold, class, p)`` for the ensemble operators, one row per order and slot."""
-    u = (F.col("fid") * 7919 + 17) % 100
-    lab = F.when(u < 3, 5).when(u < 8, 4).when(u < 15, 1).when(u < 25, 0).when(u < 55, 3).otherwise(2).cast("int")
     base = spread(spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("fid")), "fid")
+    base = base.selectExpr("fid", "(fid * 7919 + 17) % 100 AS u").selectExpr("fid", f"{LABEL} AS lab")
     slots = F.array(
         *[F.struct(F.lit(m).alias("model"), F.lit(f).alias("fold")) for m in range(models) for f in range(folds)]
     )
-    df = base.select("fid", lab.alias("lab"), F.inline(slots))
+    df = base.select("fid", "lab", F.inline(slots))
     raw = [1 + (F.col("fid") * (c + 2) + 7 * F.col("model") + 3 * F.col("fold")) % 13 for c in range(6)]
     df = df.withColumn("_w", F.array(*raw))
     total = sum((F.get("_w", F.lit(c)) for c in range(1, 6)), F.get("_w", F.lit(0)))
