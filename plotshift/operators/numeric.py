@@ -5,10 +5,9 @@ from __future__ import annotations
 from statistics import NormalDist
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from plotshift.operators.profile import _as_rows
 from plotshift.operators.quantiles import medians
@@ -99,19 +98,21 @@ def quantile_normal(fit: DataFrame, apply: DataFrame, columns: list[str], points
     normal = NormalDist()
     knots = {c: np.asarray(row[f"q{i}"], dtype=float) for i, c in enumerate(columns)}
 
-    def curve(q: np.ndarray):
-        @F.pandas_udf(DoubleType())
-        def to_normal(x: pd.Series) -> pd.Series:
-            v = x.to_numpy(dtype=float)
-            # Ties in the curve: the middle of the lower and the upper reading.
-            up = np.interp(v, q, grid)
-            down = -np.interp(-v, -q[::-1], -grid[::-1])
-            r = np.clip((up + down) / 2, tail, 1 - tail)
-            return pd.Series([normal.inv_cdf(p) if p == p else None for p in r], dtype=float)
-
-        return to_normal
-
-    return apply.withColumns({c: curve(knots[c])(_c(c).cast("double")) for c in columns})
+    def to_normal(batches):
+        for batch in batches:
+            for c in columns:
+                at = batch.schema.get_field_index(c)
+                v = batch.column(at).to_numpy(zero_copy_only=False).astype(float)
+                # Ties in the curve: the middle of the lower and the upper reading.
+                up = np.interp(v, knots[c], grid)
+                down = -np.interp(-v, -knots[c][::-1], -grid[::-1])
+                ranks, back = np.unique(np.clip((up + down) / 2, tail, 1 - tail), return_inverse=True)
+                out = np.array([normal.inv_cdf(p) if p == p else np.nan for p in ranks])[back]
+                batch = batch.set_column(at, c, pa.array(out, pa.float64(), from_pandas=True))
+            yield batch
+
+    apply = apply.withColumns({c: _c(c).cast("double") for c in columns})
+    return apply.mapInArrow(to_normal, apply.schema)
 
 
 def anova_scores(df: DataFrame, columns: list[str], label: str) -> DataFrame:
