@@ -27,83 +27,89 @@ TERMS = 12
 MAX_CELLS = 100_000
 
 
-def whitened(df: DataFrame, x: str, y: str, key: str) -> tuple[DataFrame, float]:
-    """(id, u, v) in bandwidth units, and the factor that turns kernel sums into densities."""
-    n, mx, my, cxx, cxy, cyy = df.agg(
-        F.count("*"), F.avg(x), F.avg(y), F.covar_samp(x, x), F.covar_samp(x, y), F.covar_samp(y, y)
-    ).first()
-    h = n ** (-1 / 6)
-    a = math.sqrt(cxx)
-    b = cxy / a
-    c = math.sqrt(cyy - b * b)
-    dx, dy = F.col(x).cast("double") - mx, F.col(y).cast("double") - my
-    white = df.select(F.col(key).cast("long").alias("id"), (dx / (a * h)).alias("u"), ((dy - dx * (b / a)) / (c * h)).alias("v"))
-    return white, 1 / (2 * math.pi * h * h * a * c * n)
-
-
-def kernel_density(df: DataFrame, x: str, y: str, key: str = "fid", max_cells: int = MAX_CELLS) -> DataFrame:
-    """(id, density) for every row with both coordinates."""
-    df = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    white, factor = whitened(df, x, y, key)
+def whitened(df: DataFrame, x: str, y: str, key: str, by: str | None) -> DataFrame:
+    """(id, g, u, v, factor): coordinates in bandwidth units of the row's group, and what turns kernel sums into densities."""
+    df = df.select(
+        F.col(key).cast("long").alias("id"),
+        (F.col(by) if by else F.lit(0)).alias("g"),
+        F.col(x).cast("double").alias("x"),
+        F.col(y).cast("double").alias("y"),
+    ).dropna()
+    stats = df.groupBy("g").agg(
+        F.count("*").alias("n"),
+        F.avg("x").alias("mx"),
+        F.avg("y").alias("my"),
+        F.covar_samp("x", "x").alias("cxx"),
+        F.covar_samp("x", "y").alias("cxy"),
+        F.covar_samp("y", "y").alias("cyy"),
+    )
+    # Cholesky factor (a, b, c) of the covariance and Scott's bandwidth h for two dimensions.
+    stats = stats.selectExpr("g", "n", "mx", "my", "sqrt(cxx) AS a", "cxy / sqrt(cxx) AS b", "sqrt(cyy - cxy * cxy / cxx) AS c", "power(n, -1D / 6) AS h")
+    return df.join(F.broadcast(stats), "g").selectExpr(
+        "id",
+        "g",
+        "(x - mx) / (a * h) AS u",
+        "(y - my - (x - mx) * (b / a)) / (c * h) AS v",
+        "1 / (2 * pi() * h * h * a * c * n) AS factor",
+    )
+
+
+def kernel_density(
+    df: DataFrame, x: str, y: str, key: str = "fid", by: str | None = None, max_cells: int = MAX_CELLS
+) -> DataFrame:
+    """(id, density) for every row with both coordinates; ``by`` estimates within each class of an integer code."""
+    white = whitened(df, x, y, key, by)
     white = materialize(white.selectExpr("*", f"floor(u / {SIDE}D) AS cu", f"floor(v / {SIDE}D) AS cv"), "white")
-    if white.select("cu", "cv").distinct().count() > max_cells:
-        # Too scattered to broadcast cell moments: sum over the points themselves.
-        sums = kernel_sums(white.select("id", F.array("u", "v").alias("x"), F.lit(0.0).alias("value")), CUTOFF)
-        return sums.select("id", (F.col("sum") * factor).alias("density"))
+    if white.select("g", "cu", "cv").distinct().count() > max_cells:
+        # Too scattered to broadcast cell moments: sum over the points themselves, classes kept out of each other's reach.
+        apart = white.select("id", F.array("u", "v", F.col("g") * (4 * CUTOFF)).alias("x"), F.lit(0.0).alias("value"))
+        sums = kernel_sums(apart, 3, CUTOFF).join(white.select("id", "factor"), "id")
+        return sums.select("id", (F.col("sum") * F.col("factor")).alias("density"))
 
-    centred = white.selectExpr("cu", "cv", f"u - (cu + 0.5D) * {SIDE}D AS s", f"v - (cv + 0.5D) * {SIDE}D AS t")
+    centred = white.selectExpr("g", "cu", "cv", f"u - (cu + 0.5D) * {SIDE}D AS s", f"v - (cv + 0.5D) * {SIDE}D AS t")
     weighted = centred.selectExpr("*", "exp(-(s * s + t * t) / 2) AS e")
     powers = [f"power(s, {i}) AS s{i}" for i in range(TERMS)] + [f"power(t, {i}) AS t{i}" for i in range(TERMS)]
     sums = [f"sum(e * s{a} * t{b}) AS m{a}_{b}" for a in range(TERMS) for b in range(TERMS)]
-    moments = weighted.selectExpr("cu", "cv", "e", *powers).groupBy("cu", "cv").agg(*[F.expr(m) for m in sums])
+    moments = weighted.selectExpr("g", "cu", "cv", "e", *powers).groupBy("g", "cu", "cv").agg(*[F.expr(m) for m in sums])
     cells = {
-        (r[0], r[1]): np.array(r[2:], dtype=float).reshape(TERMS, TERMS) for r in moments.collect()
+        (r[0], r[1], r[2]): np.array(r[3:], dtype=float).reshape(TERMS, TERMS) for r in moments.collect()
     }  # at most max_cells entries, counted above
     shared = df.sparkSession.sparkContext.broadcast(cells)
     reach = math.ceil(CUTOFF / SIDE)
     offsets = np.arange(-reach, reach + 1)
-    order = np.arange(TERMS)
     factorial = np.array([math.factorial(i) for i in range(TERMS)], dtype=float)
 
     def basis(x: np.ndarray, cell: int) -> np.ndarray:
         """exp(-t^2/2) t^a / a! for the offset t to every nearby cell centre: one row per point."""
         t = x[:, None] - (cell + offsets + 0.5)[None, :] * SIDE
-        return (np.exp(-t * t / 2)[:, :, None] * t[:, :, None] ** order / factorial).reshape(len(x), -1)
+        terms = np.cumprod(np.concatenate([np.exp(-t * t / 2)[:, :, None], np.repeat(t[:, :, None], TERMS - 1, 2)], 2), 2)
+        return (terms / factorial).reshape(len(x), -1)
 
     def evaluate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         size = len(offsets)
         at, field = None, None
         for batch in batches:
-            ids, u, v, cu, cv = (batch.column(c).to_numpy() for c in ("id", "u", "v", "cu", "cv"))
+            ids, g, u, v, cu, cv, factor = (batch.column(c).to_numpy() for c in ("id", "g", "u", "v", "cu", "cv", "factor"))
             out = np.empty(len(ids))
-            starts = [0, *(np.nonzero((np.diff(cu) != 0) | (np.diff(cv) != 0))[0] + 1), len(ids)]
+            starts = [0, *(np.nonzero((np.diff(g) != 0) | (np.diff(cu) != 0) | (np.diff(cv) != 0))[0] + 1), len(ids)]
             for a, b in zip(starts, starts[1:]):
                 if a == b:
                     continue
-                cell = (int(cu[a]), int(cv[a]))
+                cell = (int(g[a]), int(cu[a]), int(cv[a]))
                 if cell != at:
                     at, field = cell, np.zeros((size, TERMS, size, TERMS))
                     for i, du in enumerate(offsets):
                         for j, dv in enumerate(offsets):
-                            m = known.get((cell[0] + int(du), cell[1] + int(dv)))
+                            m = known.get((cell[0], cell[1] + int(du), cell[2] + int(dv)))
                             if m is not None:
                                 field[i, :, j, :] = m
                     field = field.reshape(size * TERMS, size * TERMS)
-                bu, bv = basis(u[a:b], cell[0]), basis(v[a:b], cell[1])
-                out[a:b] = ((bu @ field) * bv).sum(1) * factor
+                bu, bv = basis(u[a:b], cell[1]), basis(v[a:b], cell[2])
+                out[a:b] = ((bu @ field) * bv).sum(1) * factor[a:b]
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(out)], names=["id", "density"])
 
     # Neighbouring rows share their cell's field; the id splits cells that hold a large part of the table.
-    parts = df.sparkSession.sparkContext.defaultParallelism
-    placed = white.repartitionByRange(max(parts, white.rdd.getNumPartitions()), "cu", "cv", "id").sortWithinPartitions("cu", "cv")
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, white.rdd.getNumPartitions())
+    placed = white.repartitionByRange(parts, "g", "cu", "cv", "id").sortWithinPartitions("g", "cu", "cv")
     return placed.mapInArrow(evaluate, StructType([StructField("id", LongType()), StructField("density", DoubleType())]))
-
-
-def kernel_density_by(df: DataFrame, x: str, y: str, by: str, key: str = "fid") -> DataFrame:
-    """Density within each group; for a label with a handful of values."""
-    out = None
-    for row in df.select(by).where(F.col(by).isNotNull()).distinct().orderBy(by).collect():
-        part = kernel_density(df.where(F.col(by) == row[0]), x, y, key).withColumn(by, F.lit(row[0]))
-        out = part if out is None else out.unionByName(part)
-    return out

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plotshift.plans.spatial import SCALED
+from plotshift.plans.spatial import IMPUTED, SCALED
 from plotshift.plans.sql_base import DATED, PARCELS, VERTICES, r, with_
 from plotshift.plans.tables_sql import MEASURED
 
@@ -18,10 +18,10 @@ def _sql() -> dict[str, str]:
     kde = lambda g: f"""
       st AS (SELECT {g} AS g, count(*) AS n, covar_samp(x, x) AS cxx, covar_samp(x, y) AS cxy, covar_samp(y, y) AS cyy FROM pts GROUP BY 1),
       inv AS (SELECT g, n, pow(n, -1.0 / 3) AS h2, cxx * cyy - cxy * cxy AS det, cxx, cxy, cyy FROM st)
-      SELECT a.fid AS id, {'a.lab, ' if g != '1' else ''}round(ln(sum(exp(-(cyy * (a.x - b.x) * (a.x - b.x) - 2 * cxy * (a.x - b.x) * (a.y - b.y)
+      SELECT a.fid AS id, round(ln(sum(exp(-(cyy * (a.x - b.x) * (a.x - b.x) - 2 * cxy * (a.x - b.x) * (a.y - b.y)
         + cxx * (a.y - b.y) * (a.y - b.y)) / (2 * det * h2))) / (min(n) * 2 * pi() * min(h2) * sqrt(min(det)))), 5) AS log_density
       FROM pts a JOIN pts b ON {'a.lab = b.lab' if g != '1' else 'TRUE'} JOIN inv ON {'inv.g = a.lab' if g != '1' else 'TRUE'}
-      GROUP BY {'1, 2' if g != '1' else '1'}"""
+      GROUP BY 1"""
     out["kde_centroid"] = cent + "," + kde("1")
     out["kde_by_class"] = cent + "," + kde("lab")
     med = ", ".join(f"quantile_cont({c}, 0.5) AS m_{c}" for c in SCALED)
@@ -55,6 +55,20 @@ def _sql() -> dict[str, str]:
     out["knn_embeddings"] = """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings),
       t AS (SELECT a.vec_id AS id, min(list_distance(a.x, b.x), 5) AS d FROM e a JOIN e b ON a.vec_id <> b.vec_id GROUP BY 1)
       SELECT id, round(d[1], 5) AS nearest, round(list_sum(d) / 5, 5) AS mean_distance, CAST(len(d) AS BIGINT) AS n FROM t"""
+    present = " + ".join(f"CAST(a.{c} IS NOT NULL AND b.{c} IS NOT NULL AS INT)" for c in IMPUTED)
+    gap2 = " + ".join(f"coalesce((a.{c} - b.{c}) * (a.{c} - b.{c}), 0)" for c in IMPUTED)
+    ctes, joins, cols = [], [], []
+    for i, c in enumerate(IMPUTED):
+        ctes.append(f"""p{i} AS (SELECT a.fid AS id, b.fid AS other, b.{c} AS v, ({gap2}) / ({present}) AS d FROM sc a JOIN sc b
+          ON a.{c} IS NULL AND b.split = 'train' AND b.{c} IS NOT NULL AND ({present}) > 0),
+          f{i} AS (SELECT id, list_avg(arg_min(v, struct_pack(d := d, other := other), 5)) AS v FROM p{i} GROUP BY 1),
+          a{i} AS (SELECT avg({c}) AS v FROM sc WHERE split = 'train')""")
+        joins.append(f"LEFT JOIN f{i} ON s.fid = f{i}.id CROSS JOIN a{i}")
+        cols.append(f"{r(f'coalesce(s.{c}, f{i}.v, a{i}.v)', 5)} AS {c}")
+    out["fill_knn"] = with_(PARCELS, VERTICES, DATED, MEASURED) + f""",
+      fit AS (SELECT {', '.join(f'avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}' for c in IMPUTED)} FROM measured WHERE split = 'train'),
+      sc AS (SELECT fid, split, {', '.join(f'round(({c} - m_{c}) / s_{c}, 9) AS {c}' for c in IMPUTED)} FROM measured, fit),
+      {', '.join(ctes)} SELECT s.fid, {', '.join(cols)} FROM sc s {' '.join(joins)}"""
     return out
 
 
