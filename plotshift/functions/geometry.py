@@ -26,43 +26,43 @@ def _struct(fields: dict[str, str]) -> str:
     return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + ")"
 
 
+def _local_edges(pts: str, ox: str, oy: str) -> str:
+    """SQL text: every edge relative to (ox, oy) with its cross product c and length l, each computed once.
+
+    The last vertex is joined to the first, which adds nothing to a closed ring.
+    """
+    following = f"get({pts}, (i + 1) % size({pts}))"
+    ends = _struct({"x0": f"p.x - {ox}", "y0": f"p.y - {oy}", "x1": f"{following}.x - {ox}", "y1": f"{following}.y - {oy}"})
+    fields = {**{k: f"e.{k}" for k in ("x0", "y0", "x1", "y1")}, "c": "e.x0 * e.y1 - e.x1 * e.y0", "l": "hypot(e.x1 - e.x0, e.y1 - e.y0)"}
+    return f"transform(transform({pts}, (p, i) -> {ends}), e -> {_struct(fields)})"
+
+
 def shape_sums(rings: str = "rings") -> Column:
     """One struct per polygon holding every sum that area, length, centroid and bounds need.
 
     ``rings`` names a column. The expression is written as SQL: one parse instead of a thousand small calls.
     """
     ox, oy = f"get(get({rings}, 0).pts, 0).x", f"get(get({rings}, 0).pts, 0).y"
-    x, y = f"(p.x - {ox})", f"(p.y - {oy})"
-    cross = f"(s.px * {y} - {x} * s.py)"
-    length = f"hypot({x} - s.px, {y} - s.py)"
-    box_of = {"minx": "least(s.minx, p.x)", "miny": "least(s.miny, p.y)", "maxx": "greatest(s.maxx, p.x)", "maxy": "greatest(s.maxy, p.y)"}
-    start = {
-        "px": f"get(r.pts, 0).x - {ox}",
-        "py": f"get(r.pts, 0).y - {oy}",
-        **{k: "0D" for k in SUMS},
-        **{k: f"get(r.pts, 0).{k[-1]}" for k in BOX},
-    }
+    start = {**{k: "0D" for k in SUMS}, **{k: "CAST(NULL AS DOUBLE)" for k in BOX}}
     step = {
-        "px": x,
-        "py": y,
-        "a2": f"s.a2 + {cross}",
-        "sx": f"s.sx + (s.px + {x}) * {cross}",
-        "sy": f"s.sy + (s.py + {y}) * {cross}",
-        "len": f"s.len + {length}",
-        "lx": f"s.lx + (s.px + {x}) * {length}",
-        "ly": f"s.ly + (s.py + {y}) * {length}",
-        **box_of,
+        "a2": "s.a2 + e.c",
+        "sx": "s.sx + (e.x0 + e.x1) * e.c",
+        "sy": "s.sy + (e.y0 + e.y1) * e.c",
+        "len": "s.len + e.l",
+        "lx": "s.lx + (e.x0 + e.x1) * e.l",
+        "ly": "s.ly + (e.y0 + e.y1) * e.l",
+        **{k: f"{'least' if k.startswith('min') else 'greatest'}(s.{k}, e.{k[-1]}0)" for k in BOX},
     }
     # An exterior ring counts positive and a hole negative, whichever way it was digitised.
     sign = "if((s.a2 < 0) != r.hole, -1D, 1D)"
     signed = {**{k: f"{sign} * s.{k}" for k in SUMS[:3]}, **{k: f"s.{k}" for k in SUMS[3:] + BOX}}
-    per_ring = f"transform({rings}, r -> aggregate(r.pts, {_struct(start)}, (s, p) -> {_struct(step)}, s -> {_struct(signed)}))"
-    start = {**{k: "0D" for k in SUMS}, **{k: "CAST(NULL AS DOUBLE)" for k in BOX}}
+    per_ring = f"transform({rings}, r -> aggregate({_local_edges('r.pts', ox, oy)}, {_struct(start)}, (s, e) -> {_struct(step)}, s -> {_struct(signed)}))"
     step = {
         **{k: f"t.{k} + r.{k}" for k in SUMS},
         **{k: f"{'least' if k.startswith('min') else 'greatest'}(t.{k}, r.{k})" for k in BOX},
     }
-    last = {**{k: f"t.{k}" for k in SUMS + BOX}, "ox": ox, "oy": oy}
+    box = {k: f"t.{k} + {ox if k[-1] == 'x' else oy}" for k in BOX}
+    last = {**{k: f"t.{k}" for k in SUMS}, **box, "ox": ox, "oy": oy}
     return F.expr(f"aggregate({per_ring}, {_struct(start)}, (t, r) -> {_struct(step)}, t -> {_struct(last)})")
 
 
@@ -197,13 +197,12 @@ MOMENTS = {
 def raw_moments(rings: str = "rings") -> Column:
     """Moments up to order three of the first exterior ring, relative to its first vertex (Green's theorem)."""
     pts = f"get({rings}, 0).pts"
-    x1, y1 = f"(p.x - get({pts}, 0).x)", f"(p.y - get({pts}, 0).y)"
-    values = {"x0": "s.px", "y0": "s.py", "x1": x1, "y1": y1, "c": f"(s.px * {y1} - {x1} * s.py)"}
-    fill = lambda text: re.sub(r"\b(x0|y0|x1|y1|c)\b", lambda m: values[m[1]], text)
-    start = {k: "0D" for k in ("px", "py", *MOMENTS)}
-    step = {"px": x1, "py": y1, **{k: f"s.{k} + {fill(t)}" for k, (t, _) in MOMENTS.items()}}
+    fill = lambda text: re.sub(r"\b(x0|y0|x1|y1|c)\b", r"e.\1", text)
+    start = {k: "0D" for k in MOMENTS}
+    step = {k: f"s.{k} + {fill(t)}" for k, (t, _) in MOMENTS.items()}
     last = {k: f"if(s.m00 < 0, -1D, 1D) * s.{k} / {d}" for k, (_, d) in MOMENTS.items()}
-    return F.expr(f"aggregate({pts}, {_struct(start)}, (s, p) -> {_struct(step)}, s -> {_struct(last)})")
+    edges = _local_edges(pts, f"get({pts}, 0).x", f"get({pts}, 0).y")
+    return F.expr(f"aggregate({edges}, {_struct(start)}, (s, e) -> {_struct(step)}, s -> {_struct(last)})")
 
 
 def normalized_moments(m: str) -> Column:
