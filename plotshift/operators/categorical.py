@@ -64,7 +64,7 @@ def one_hot_vector(fit: DataFrame, column: str, out: str):
     from pyspark.ml.feature import OneHotEncoder, StringIndexer
 
     index = StringIndexer(inputCol=column, outputCol=f"{out}_index", handleInvalid="keep", stringOrderType="alphabetAsc")
-    encode = OneHotEncoder(inputCol=f"{out}_index", outputCol=out, dropLast=False, handleInvalid="keep")
+    encode = OneHotEncoder(inputCol=f"{out}_index", outputCol=out, dropLast=False)
     return Pipeline(stages=[index, encode]).fit(fit)
 
 

@@ -21,7 +21,7 @@ def long_form(df: DataFrame, columns: list[str], by: tuple[str, ...] = ()) -> Da
 
 
 def quantiles(
-    df: DataFrame, columns: list[str], probs: tuple[float, ...], by: tuple[str, ...] = (), exact_rows: int = EXACT_ROWS
+    df: DataFrame, columns: list[str], probs: tuple[float, ...], by: tuple[str, ...] = (), exact_rows: int = EXACT_ROWS, accuracy: int = ACCURACY
 ) -> DataFrame:
     """(by..., column, p, value), linearly interpolated between neighbouring ranks."""
     rows = long_form(df, columns, by)
@@ -33,15 +33,20 @@ def quantiles(
             .agg(F.percentile("value", ps).alias("v"))
             .select(*keys, F.inline(F.arrays_zip(ps.alias("p"), F.col("v").alias("value"))))
         )
-    return _bracketed(rows, keys, probs)
+    return _bracketed(rows, keys, probs, accuracy)
 
 
-def _bracketed(rows: DataFrame, keys: list[str], probs: tuple[float, ...], accuracy: int = ACCURACY) -> DataFrame:
+def _bracketed(rows: DataFrame, keys: list[str], probs: tuple[float, ...], accuracy: int) -> DataFrame:
     margin = 2.0 / accuracy
     edges = [min(max(p + s * margin, 0.0), 1.0) for p in probs for s in (-1, 1)]
     sketch = rows.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.percentile_approx("value", edges, accuracy).alias("e")
+        F.count("*").alias("n"),
+        F.min("value").alias("first"),
+        F.max("value").alias("last"),
+        F.percentile_approx("value", edges, accuracy).alias("e"),
     )
+    # A small group is its own bracket; in a larger one the margin spans at least two ranks beyond the sketch's error.
+    small = F.col("n") <= accuracy
     brackets = sketch.select(
         *keys,
         "n",
@@ -50,8 +55,8 @@ def _bracketed(rows: DataFrame, keys: list[str], probs: tuple[float, ...], accur
                 *[
                     F.struct(
                         F.lit(float(p)).alias("p"),
-                        F.get("e", F.lit(2 * i)).alias("lo"),
-                        F.get("e", F.lit(2 * i + 1)).alias("hi"),
+                        F.when(small, F.col("first")).otherwise(F.get("e", F.lit(2 * i))).alias("lo"),
+                        F.when(small, F.col("last")).otherwise(F.get("e", F.lit(2 * i + 1))).alias("hi"),
                     )
                     for i, p in enumerate(probs)
                 ]

@@ -338,8 +338,8 @@ def cross_validate(df: DataFrame, models: dict[str, object], label: str = "label
                 scored = model.transform(scored).withColumnRenamed("probability", part).drop("pred")
                 parts.append(part)
         if scored is not None:
-            mean = lambda c: sum((F.get(p, F.lit(c)) for p in parts[1:]), F.get(parts[0], F.lit(0 + c))) / folds
-            scored = scored.withColumn(f"p_{name}", F.array(*[mean(c) for c in range(CLASSES)])).drop(*parts)
+            mean = lambda c: sum((F.get(p, c) for p in parts[1:]), F.get(parts[0], c)) / folds
+            scored = scored.withColumn(f"p_{name}", F.transform(parts[0], lambda _, c: mean(c))).drop(*parts)
     return scores(results, "label", "pred", ("model", "fold")), scored
 
 
