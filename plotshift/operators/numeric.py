@@ -87,8 +87,10 @@ def minmax_scale(fit: DataFrame, apply: DataFrame, columns: list[str], prefix: s
 def quantile_normal(fit: DataFrame, apply: DataFrame, columns: list[str], points: int = 1000) -> DataFrame:
     """Map each column to a normal distribution through its own quantile curve, clipped at the 1e-7 tails.
 
-    The curve has ``points`` knots taken from a sketch, a fixed-size state whatever the table holds.
+    The curve has ``points`` knots (never more than rows) taken from a sketch, a fixed-size state whatever the table holds.
+    Values at or beyond the ends of the curve land on the clipped tails.
     """
+    points = max(2, min(points, fit.count()))
     probs = [k / (points - 1) for k in range(points)]
     row = fit.agg(
         *[F.percentile_approx(_c(c).cast("double"), probs, 10 * points).alias(f"q{i}") for i, c in enumerate(columns)]
@@ -106,7 +108,8 @@ def quantile_normal(fit: DataFrame, apply: DataFrame, columns: list[str], points
                 # Ties in the curve: the middle of the lower and the upper reading.
                 up = np.interp(v, knots[c], grid)
                 down = -np.interp(-v, -knots[c][::-1], -grid[::-1])
-                ranks, back = np.unique(np.clip((up + down) / 2, tail, 1 - tail), return_inverse=True)
+                mid = np.where(v <= knots[c][0], 0.0, np.where(v >= knots[c][-1], 1.0, (up + down) / 2))
+                ranks, back = np.unique(np.clip(mid, tail, 1 - tail), return_inverse=True)
                 out = np.array([normal.inv_cdf(p) if p == p else np.nan for p in ranks])[back]
                 batch = batch.set_column(at, c, pa.array(out, pa.float64(), from_pandas=True))
             yield batch

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plotshift.operators import bands, categorical, dates, evaluate, numeric, profile, shapes
 from plotshift.plans.common import rounded
+from plotshift.session import materialize
 from plotshift.sources.parcels import model_probabilities, parcels
 from plotshift.vocabulary import STATUS_COLUMNS
 
@@ -25,6 +26,11 @@ def measured(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stored(df: DataFrame, *columns: str) -> DataFrame:
+    """Write the narrow table that several passes follow on, instead of measuring every polygon once per pass."""
+    return materialize(df.select(*columns), "measures")
+
+
 NUMBERS = [*MEASURES, *[f"days_between_{i}_{i + 1}" for i in range(4)], "img_red_mean_date1", "img_green_std_date2"]
 
 
@@ -49,7 +55,7 @@ def profile_numbers(spark, sf_dir):
 
 
 def profile_describe(spark, sf_dir):
-    return rounded(profile.describe(measured(spark, sf_dir).drop("lab", "fid"), NUMBERS))
+    return rounded(profile.describe(stored(measured(spark, sf_dir), *NUMBERS), NUMBERS))
 
 
 def describe_lineitem(spark, sf_dir):
@@ -89,8 +95,9 @@ def shape_measures(spark, sf_dir):
 
 
 def box_stats(spark, sf_dir):
-    df = shape_measures(spark, sf_dir)
-    return rounded(profile.box_stats(df, "lab", ["log_area", "log_perimeter", "convexity", "solidity"]))
+    columns = ["log_area", "log_perimeter", "convexity", "solidity"]
+    df = stored(shape_measures(spark, sf_dir), "lab", *columns)
+    return rounded(profile.box_stats(df, "lab", columns))
 
 
 def hist_hull_ratio(spark, sf_dir):
@@ -209,7 +216,7 @@ def label_onehot(spark, sf_dir):
 
 
 def fill_median(spark, sf_dir):
-    df = measured(spark, sf_dir)
+    df = stored(measured(spark, sf_dir), "fid", "split", *NUMBERS)
     train = df.where("split = 'train'")
     own = numeric.fill_median(df, NUMBERS).select("fid", *NUMBERS)
     fitted = numeric.fill_median(df, ["area", "days_between_0_1"], fit=train)
@@ -224,6 +231,7 @@ def fill_const_inf(spark, sf_dir):
         F.when(F.col("bounding_width") % 7 == 0, float("inf")).otherwise(F.col("bounding_width")).alias("a"),
         F.when(F.col("bounding_height") % 5 == 0, float("-inf")).otherwise(F.col("bounding_height")).alias("b"),
     )
+    df = stored(df, "fid", "a", "b")
     cols = ["a", "b"]
     zero = numeric.fill_constant(numeric.infinite_to(df, cols, 0.0), cols)
     median = numeric.fill_median(numeric.infinite_to(df, cols, None), cols)
@@ -233,7 +241,7 @@ def fill_const_inf(spark, sf_dir):
 
 
 def scale_std(spark, sf_dir):
-    df = measured(spark, sf_dir)
+    df = stored(measured(spark, sf_dir), "fid", "split", *NUMBERS)
     return rounded(numeric.standard_scale(df.where("split = 'train'"), df, NUMBERS).select("fid", *NUMBERS))
 
 
@@ -244,7 +252,7 @@ def scale_minmax(spark, sf_dir):
 
 
 def scale_quantile(spark, sf_dir):
-    df = measured(spark, sf_dir).select("fid", "area", "days_between_0_1")
+    df = stored(measured(spark, sf_dir), "fid", "area", "days_between_0_1")
     return rounded(numeric.quantile_normal(df, df, ["area", "days_between_0_1"]))
 
 
@@ -253,7 +261,7 @@ def log_features(spark, sf_dir):
 
 
 def select_anova(spark, sf_dir):
-    df = measured(spark, sf_dir).where("split = 'train'")
+    df = stored(measured(spark, sf_dir).where("split = 'train'"), "lab", *NUMBERS)
     scores = numeric.anova_scores(df, NUMBERS, "lab")
     best = numeric.select_k_best(df, NUMBERS, "lab", 5)
     return rounded(scores.select("column", "f", F.col("column").isin(best).cast("int").alias("selected")), 4)

@@ -1,0 +1 @@
+"""The workload is batch only: whole tables in, whole tables out. Row-local feature operators take streaming frames unchanged."""

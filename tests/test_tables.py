@@ -170,13 +170,25 @@ def test_submission_file(spark, tmp_path):
         submission.write_submission(out, str(tmp_path), "m", rows=11)
 
 
-def test_shared_folder_is_read_from_session(spark):
-    before = shared_dir(spark)
-    spark.conf.set("spark.checkpoint.dir", before + "/other")
-    try:
-        assert shared_dir(spark) == before + "/other"
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+def test_shared_folder_comes_from_the_session():
+    class Context:
+        master, folder = "spark://cluster", None
+
+        def getCheckpointDir(self):
+            return self.folder
+
+        def setCheckpointDir(self, folder):
+            self.folder = folder
+
+    class Session:
+        def __init__(self, **conf):
+            self.conf, self.sparkContext = conf, Context()
+
+    named = Session(**{"spark.checkpoint.dir": "hdfs://shared/x"})
+    assert shared_dir(named) == named.sparkContext.folder == "hdfs://shared/x"
+    # A cluster without the setting must not fall back to one machine's disk.
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Session())
 
 
 def test_parcels_scan_only_two_columns(spark, sf):
