@@ -24,7 +24,7 @@ CUTOFF = 8.6
 SIDE = 0.5
 TERMS = 12
 # Cells whose moments may be broadcast (1.2 kB each).
-MAX_CELLS = 100_000
+MAX_CELLS = 50_000
 
 
 def whitened(df: DataFrame, x: str, y: str, key: str, by: str | None) -> DataFrame:
@@ -71,10 +71,12 @@ def kernel_density(
     powers = [f"power(s, {i}) AS s{i}" for i in range(TERMS)] + [f"power(t, {i}) AS t{i}" for i in range(TERMS)]
     sums = [f"sum(e * s{a} * t{b}) AS m{a}_{b}" for a in range(TERMS) for b in range(TERMS)]
     moments = weighted.selectExpr("g", "cu", "cv", "e", *powers).groupBy("g", "cu", "cv").agg(*[F.expr(m) for m in sums])
-    cells = {
-        (r[0], r[1], r[2]): np.array(r[3:], dtype=float).reshape(TERMS, TERMS) for r in moments.collect()
-    }  # at most max_cells entries, counted above
-    shared = df.sparkSession.sparkContext.broadcast(cells)
+    table = moments.toArrow()  # at most max_cells rows of fixed width, counted above
+    place = [table.column(c).to_numpy() for c in ("g", "cu", "cv")]
+    values = np.column_stack([table.column(i).to_numpy() for i in range(3, table.num_columns)])
+    shared = df.sparkSession.sparkContext.broadcast(
+        ({(int(g), int(u), int(v)): i for i, (g, u, v) in enumerate(zip(*place))}, values.reshape(-1, TERMS, TERMS))
+    )
     reach = math.ceil(CUTOFF / SIDE)
     offsets = np.arange(-reach, reach + 1)
     factorial = np.array([math.factorial(i) for i in range(TERMS)], dtype=float)
@@ -86,7 +88,7 @@ def kernel_density(
         return (terms / factorial).reshape(len(x), -1)
 
     def evaluate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
+        known, fields = shared.value
         size = len(offsets)
         at, field = None, None
         for batch in batches:
@@ -103,7 +105,7 @@ def kernel_density(
                         for j, dv in enumerate(offsets):
                             m = known.get((cell[0], cell[1] + int(du), cell[2] + int(dv)))
                             if m is not None:
-                                field[i, :, j, :] = m
+                                field[i, :, j, :] = fields[m]
                     field = field.reshape(size * TERMS, size * TERMS)
                 bu, bv = basis(u[a:b], cell[1]), basis(v[a:b], cell[2])
                 out[a:b] = ((bu @ field) * bv).sum(1) * factor[a:b]

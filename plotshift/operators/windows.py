@@ -2,7 +2,8 @@
 
 Row ids are cut into runs of ``2**bits`` ids. A window inside a run never sees more than that many rows; what
 crosses a run (the last row before it, the total before it) comes from one summary row per run. The runs are
-summarised again, ``bits`` at a time, so no group of any level exceeds ``2**bits`` rows for any 63-bit id.
+summarised again, ``bits`` at a time, for as many levels as the largest id needs, so no group of any level exceeds
+``2**bits`` rows.
 """
 
 from __future__ import annotations
@@ -13,9 +14,15 @@ from pyspark.sql import functions as F
 BITS = 16
 
 
-def _before(summary: DataFrame, bits: int, combine, level: int = 1) -> DataFrame:
+def _levels(df: DataFrame, order: str, bits: int) -> int:
+    """Summary levels needed: one more for every factor ``2**bits`` in the number of runs. Reads the id column only."""
+    widest = df.agg(F.max(F.abs(F.col(order).cast("long")))).first()[0] or 0
+    return max(1, -(-((widest >> bits).bit_length()) // bits))
+
+
+def _before(summary: DataFrame, bits: int, combine, levels: int) -> DataFrame:
     """Per run, the combination of all earlier runs: (run, prior). ``summary`` holds (run, value)."""
-    top = level * bits + bits >= 63
+    top = levels == 1
     parent = F.lit(0).cast("long") if top else F.shiftright("run", bits)
     order = Window.partitionBy("parent").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     inner = summary.withColumn("parent", parent).withColumn("prior", combine(F.col("value"), order))
@@ -23,7 +30,7 @@ def _before(summary: DataFrame, bits: int, combine, level: int = 1) -> DataFrame
         return inner.select("run", "prior")
     agg = F.max(F.struct("run", "value"))["value"] if combine is _last else F.sum("value")
     upper = summary.groupBy(F.shiftright("run", bits).alias("run")).agg(agg.alias("value"))
-    outer = _before(upper, bits, combine, level + 1).select(F.col("run").alias("parent"), F.col("prior").alias("carry"))
+    outer = _before(upper, bits, combine, levels - 1).select(F.col("run").alias("parent"), F.col("prior").alias("carry"))
     joined = inner.join(outer, "parent", "left")
     merged = (
         F.coalesce("prior", "carry")
@@ -47,7 +54,7 @@ def row_change(df: DataFrame, column: str, out: str, order: str = "fid", bits: i
     tagged = df.withColumn("run", run)
     # The last row of a run is wrapped in a struct, so that a null value there still counts as a row.
     ends = tagged.groupBy("run").agg(F.max(F.struct(order, F.col(column).alias("v"))).alias("value"))
-    before = _before(ends, bits, _last)
+    before = _before(ends, bits, _last, _levels(df, order, bits))
     w = Window.partitionBy("run").orderBy(order)
     previous = F.when(F.row_number().over(w) > 1, F.lag(column).over(w)).otherwise(F.col("prior")["v"])
     joined = tagged.join(before, "run", "left")
@@ -59,7 +66,7 @@ def running_total(df: DataFrame, column: str, out: str, order: str = "fid", bits
     run = F.shiftright(F.col(order).cast("long"), bits)
     tagged = df.withColumn("run", run)
     totals = tagged.groupBy("run").agg(F.sum(column).alias("value"))
-    before = _before(totals, bits, _total)
+    before = _before(totals, bits, _total, _levels(df, order, bits))
     w = Window.partitionBy("run").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     joined = tagged.join(before, "run", "left")
     total = F.sum(column).over(w) + F.coalesce("prior", F.lit(0.0))

@@ -15,3 +15,8 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
             for f in df.schema.fields
         ]
     )
+
+
+def as_doubles(df: DataFrame, *columns: str) -> DataFrame:
+    """Nullable integers and flags as DOUBLE, so that a missing value looks the same in every client."""
+    return df.withColumns({c: F.col(c).cast("int").cast("double") if t == "boolean" else F.col(c).cast("double") for c, t in df.dtypes if c in columns})

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from plotshift.operators import bands, dates, shapes
 from plotshift.operators.windows import running_total, row_change
 from plotshift.operators.profile import status_transitions, value_counts
-from plotshift.plans.common import rounded
+from plotshift.plans.common import as_doubles, rounded
 from plotshift.sources.parcels import parcels
 
 
@@ -91,7 +91,7 @@ def geom_reproject(spark, sf_dir):
 
 
 def geom_validity(spark, sf_dir):
-    return shapes.with_validity(parcels(spark, sf_dir).select("fid", "rings")).drop("rings")
+    return as_doubles(shapes.with_validity(parcels(spark, sf_dir).select("fid", "rings")).drop("rings"), "is_valid")
 
 
 def geom_types(spark, sf_dir):
@@ -106,8 +106,9 @@ def dates_parse(spark, sf_dir):
 def dates_gaps(spark, sf_dir):
     df = dates.with_gaps(dates.parse_dates(parcels(spark, sf_dir)))
     df = dates.with_delta_days(dates.with_dynamics(df))
+    days = [c for c in df.columns if c.startswith(("days_between", "delta_days", "total_days"))]
     return rounded(
-        df.select(
+        as_doubles(df, *days).select(
             "fid",
             *[f"days_between_{i}_{i + 1}" for i in range(4)],
             *[f"delta_days_{i}" for i in range(1, 4)],
@@ -124,7 +125,8 @@ def dates_parts(spark, sf_dir):
     df = dates.with_epochs(dates.with_season(dates.parse_dates(parcels(spark, sf_dir))))
     df = dates.with_parts(df)
     parts = [f"date{i}_{p}" for i in range(5) for p in ("day", "month", "year", "epoch")]
-    return df.select("fid", "high_change_2015_2018", *[f"month_date{i}" for i in range(5)], *parts)
+    months = [f"month_date{i}" for i in range(5)]
+    return as_doubles(df.select("fid", "high_change_2015_2018", *months, *parts), *months, *parts)
 
 
 def change_acceleration(spark, sf_dir):

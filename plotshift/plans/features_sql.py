@@ -134,19 +134,19 @@ def _sql() -> dict[str, str]:
     out["geom_reproject"] = base + " SELECT fid, " + ", ".join(
         f"{r((mx if c[-1] == 'x' else my).format(c), 3)} AS {c}" for c in ("minx", "miny", "maxx", "maxy")
     ) + " FROM geo"
-    out["geom_validity"] = with_(PARCELS, VERTICES, EDGE_CROSSINGS) + " SELECT fid, is_valid FROM validity"
+    out["geom_validity"] = with_(PARCELS, VERTICES, EDGE_CROSSINGS) + " SELECT fid, CAST(CAST(is_valid AS INT) AS DOUBLE) AS is_valid FROM validity"
     out["geom_types"] = with_(PARCELS) + (
         " SELECT geometry_type, count(*) AS n FROM parcels WHERE geometry_type IS NOT NULL GROUP BY 1"
     )
     dated = with_(PARCELS, DATED)
     out["dates_parse"] = dated + " SELECT fid, " + ", ".join(f"strftime(d{i}, '%Y-%m-%d') AS date{i}" for i in range(5)) + " FROM dated"
     out["dates_gaps"] = dated + " SELECT fid, " + ", ".join(
-        [f"g{i} AS days_between_{i}_{i + 1}" for i in range(4)] + [f"g{i} AS delta_days_{i}" for i in range(1, 4)]
-    ) + f""", CAST(d4 - d1 AS INT) AS total_days_from_1, total AS total_days, freq AS change_frequency,
+        [f"g{i}::DOUBLE AS days_between_{i}_{i + 1}" for i in range(4)] + [f"g{i}::DOUBLE AS delta_days_{i}" for i in range(1, 4)]
+    ) + f""", CAST(d4 - d1 AS DOUBLE) AS total_days_from_1, total::DOUBLE AS total_days, freq AS change_frequency,
       {r('speed')} AS change_speed, {r('freq / (total + 1e-9)')} AS change_rate FROM speeds"""
     parts = ", ".join(
-        f"CAST(day(d{i}) AS INT) AS date{i}_day, CAST(month(d{i}) AS INT) AS date{i}_month, CAST(year(d{i}) AS INT) AS date{i}_year, "
-        f"CAST(month(d{i}) AS INT) AS month_date{i}, CAST(d{i} - DATE '1970-01-01' AS BIGINT) * 86400 AS date{i}_epoch"
+        f"CAST(day(d{i}) AS DOUBLE) AS date{i}_day, CAST(month(d{i}) AS DOUBLE) AS date{i}_month, CAST(year(d{i}) AS DOUBLE) AS date{i}_year, "
+        f"CAST(month(d{i}) AS DOUBLE) AS month_date{i}, CAST(d{i} - DATE '1970-01-01' AS DOUBLE) * 86400 AS date{i}_epoch"
         for i in range(5)
     )
     out["dates_parts"] = dated + f""" SELECT fid, {parts}, CAST(coalesce(year(d0) BETWEEN 2015 AND 2018, FALSE)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plotshift.operators import bands, categorical, dates, evaluate, numeric, profile, shapes
-from plotshift.plans.common import rounded
+from plotshift.plans.common import as_doubles, rounded
 from plotshift.session import materialize
 from plotshift.sources.parcels import model_probabilities, parcels
 from plotshift.vocabulary import STATUS_COLUMNS
@@ -51,7 +51,7 @@ def profile_numbers(spark, sf_dir):
     df = measured(spark, sf_dir)
     a = profile.nonpositive_counts(df, MEASURES)
     b = profile.nonfinite_counts(df, NUMBERS)
-    return b.join(a, "column", "left").select("column", "nan", "inf", "nonpositive")
+    return as_doubles(b.join(a, "column", "left").select("column", "nan", "inf", "nonpositive"), "nonpositive")
 
 
 def profile_describe(spark, sf_dir):
@@ -195,7 +195,7 @@ def cat_target_customer(spark, sf_dir):
 def cat_status_codes(spark, sf_dir):
     df = parcels(spark, sf_dir).select("fid", "split", *STATUS_COLUMNS)
     codes = categorical.status_codes([df.where("split = 'train'"), df.where("split = 'test'")])
-    return categorical.encode_statuses(df, codes).drop("split")
+    return as_doubles(categorical.encode_statuses(df, codes).drop("split"), *STATUS_COLUMNS)
 
 
 def label_map(spark, sf_dir):

@@ -48,7 +48,7 @@ def _sql() -> dict[str, str]:
     out["profile_numbers"] = measured + " " + rows(
         {
             c: f"count(*) FILTER ({c} IS NULL) AS nan, CAST(0 AS BIGINT) * count(*) AS inf, "
-            + (f"count(*) FILTER ({c} <= 0) AS nonpositive" if c in MEASURES else "CASE WHEN count(*) < 0 THEN count(*) END AS nonpositive")
+            + (f"(count(*) FILTER ({c} <= 0))::DOUBLE AS nonpositive" if c in MEASURES else "CASE WHEN count(*) < 0 THEN 0.0::DOUBLE END AS nonpositive")
             for c in NUMBERS
         },
         "measured",
@@ -140,7 +140,7 @@ def _sql() -> dict[str, str]:
     out["cat_target_customer"] = "WITH" + target("orders", "o_custkey", "o_totalprice", 2) + f"""
       SELECT o_orderkey AS fid, {r('w * m + (1 - w) * prior', 2)} AS te FROM orders JOIN enc ON o_custkey = key"""
     codes = {s: i for i, s in enumerate(sorted(STATUSES))}
-    code = lambda c: "CAST(CASE " + c + " " + " ".join(f"WHEN {lit(s)} THEN {i}" for s, i in codes.items()) + f" END AS INT) AS {c}"
+    code = lambda c: "CAST(CASE " + c + " " + " ".join(f"WHEN {lit(s)} THEN {i}" for s, i in codes.items()) + f" END AS DOUBLE) AS {c}"
     out["cat_status_codes"] = base + f" SELECT fid, {', '.join(code(c) for c in STATUS_COLUMNS)} FROM parcels"
     out["label_map"] = base + " SELECT fid, lab AS code FROM parcels WHERE split = 'train'"
     alpha = " ".join(f"WHEN {lit(n)} THEN {i}" for i, n in enumerate(sorted(CHANGE_TYPES)))
