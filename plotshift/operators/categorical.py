@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -197,3 +199,21 @@ def label_encode(fit: DataFrame, column: str = "change_type", out: str = "label"
 
 def label_one_hot(column: str, classes: int = 6) -> Column:
     return F.array(*[(F.col(column) == c).cast("double") for c in range(classes)])
+
+
+def with_absent(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add only those derived columns that the frame lacks."""
+    return df.withColumns({name: value for name, value in columns.items() if name not in df.columns})
+
+
+def plain_names(df: DataFrame) -> DataFrame:
+    """Column names stripped, with anything but letters, digits and underscores replaced; clashes get a number."""
+    names: list[str] = []
+    for c in df.columns:
+        base = name = re.sub(r"\W", "_", str(c).strip())
+        n = 1
+        while name in names:
+            n += 1
+            name = f"{base}_{n}"
+        names.append(name)
+    return df.toDF(*names)

@@ -94,13 +94,16 @@ class OneVsRestModel:
 
 def one_vs_rest(df: DataFrame, make: Callable, label: str, classes: int, scale: float, parallelism: int = 3) -> OneVsRestModel:
     """Fit one binary model per class, a few at a time, all on the same cached rows."""
-    df = df.persist()
+    cached_here = not df.is_cached
+    if cached_here:
+        df = df.persist()
     try:
         fit = lambda c: make().setLabelCol("_y").fit(df.withColumn("_y", (F.col(label) == c).cast("double")))
         with ThreadPool(parallelism) as pool:
             models = pool.map(inheritable_thread_target(df.sparkSession)(fit), range(classes))
     finally:
-        df.unpersist()
+        if cached_here:
+            df.unpersist()
     return OneVsRestModel(models, scale)
 
 

@@ -45,6 +45,12 @@ def test_self_and_cross(cloud, small_blocks):
     np.testing.assert_allclose(got.avg_distance_to_neighbors, near[:, :5].mean(1))
 
 
+def test_negative_ids_and_too_few_points(spark):
+    df = spark.createDataFrame([(-1, 0.0, 0.0), (-2, 3.0, 4.0)], "fid bigint, x double, y double")
+    got = by_id(N.nearest(N.points(df, ["x", "y"]), None, 5, 2))
+    assert [[(e["d"], e["id"]) for e in v] for v in got.neighbors] == [[(0, -2), (5, -1)], [(0, -1), (5, -2)]]
+
+
 def test_queries_far_from_all_data(spark, small_blocks):
     rng = np.random.default_rng(1)
     data, asking = rng.normal(0, 1, (400, 2)), rng.normal(500, 0.1, (300, 2))
