@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from plotshift.operators import bands, dates, shapes
 from plotshift.operators.windows import running_total, row_change
 from plotshift.operators.profile import status_transitions, value_counts
-from plotshift.plans.common import as_doubles, rounded
+from plotshift.plans.common import as_doubles, rounded, stored
 from plotshift.sources.parcels import parcels
 
 
@@ -130,12 +130,12 @@ def dates_parts(spark, sf_dir):
 
 
 def change_acceleration(spark, sf_dir):
-    df = dates.with_dynamics(dates.with_gaps(dates.parse_dates(parcels(spark, sf_dir)))).select("fid", "change_speed")
+    df = stored(dates.with_dynamics(dates.with_gaps(dates.parse_dates(parcels(spark, sf_dir)))), "fid", "change_speed")
     return rounded(row_change(df, "change_speed", "change_acceleration").select("fid", "change_acceleration"))
 
 
 def change_cumulative(spark, sf_dir):
-    df = dates.with_dynamics(dates.with_gaps(dates.parse_dates(parcels(spark, sf_dir)))).select("fid", "change_rate")
+    df = stored(dates.with_dynamics(dates.with_gaps(dates.parse_dates(parcels(spark, sf_dir)))), "fid", "change_rate")
     return rounded(running_total(df, "change_rate", "cumulative_change_rate").select("fid", "cumulative_change_rate"), 3)
 
 

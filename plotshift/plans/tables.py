@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plotshift.operators import bands, categorical, dates, evaluate, numeric, profile, shapes
-from plotshift.plans.common import as_doubles, rounded
-from plotshift.session import materialize
+from plotshift.plans.common import as_doubles, rounded, stored
 from plotshift.sources.parcels import model_probabilities, parcels
 from plotshift.vocabulary import STATUS_COLUMNS
 
@@ -26,11 +25,6 @@ def measured(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def stored(df: DataFrame, *columns: str) -> DataFrame:
-    """Write the narrow table that several passes follow on, instead of measuring every polygon once per pass."""
-    return materialize(df.select(*columns), "measures")
-
-
 NUMBERS = [*MEASURES, *[f"days_between_{i}_{i + 1}" for i in range(4)], "img_red_mean_date1", "img_green_std_date2"]
 
 
