@@ -95,16 +95,16 @@ def geom_validity(spark, sf_dir):
 
 
 def geom_types(spark, sf_dir):
-    return value_counts(parcels(spark, sf_dir).select("geometry_type"), "geometry_type")
+    return value_counts(parcels(spark, sf_dir, geometry=False).select("geometry_type"), "geometry_type")
 
 
 def dates_parse(spark, sf_dir):
-    df = dates.parse_dates(parcels(spark, sf_dir))
+    df = dates.parse_dates(parcels(spark, sf_dir, geometry=False))
     return df.select("fid", *[F.date_format(c, "yyyy-MM-dd").alias(c) for c in dates.DATE_COLUMNS])
 
 
 def dates_gaps(spark, sf_dir):
-    df = dates.with_gaps(dates.parse_dates(parcels(spark, sf_dir)))
+    df = dates.with_gaps(dates.parse_dates(parcels(spark, sf_dir, geometry=False)))
     df = dates.with_delta_days(dates.with_dynamics(df))
     days = [c for c in df.columns if c.startswith(("days_between", "delta_days", "total_days"))]
     return rounded(
@@ -122,7 +122,7 @@ def dates_gaps(spark, sf_dir):
 
 
 def dates_parts(spark, sf_dir):
-    df = dates.with_epochs(dates.with_season(dates.parse_dates(parcels(spark, sf_dir))))
+    df = dates.with_epochs(dates.with_season(dates.parse_dates(parcels(spark, sf_dir, geometry=False))))
     df = dates.with_parts(df)
     parts = [f"date{i}_{p}" for i in range(5) for p in ("day", "month", "year", "epoch")]
     months = [f"month_date{i}" for i in range(5)]
@@ -130,12 +130,12 @@ def dates_parts(spark, sf_dir):
 
 
 def change_acceleration(spark, sf_dir):
-    df = stored(dates.with_dynamics(dates.with_gaps(dates.parse_dates(parcels(spark, sf_dir)))), "fid", "change_speed")
+    df = stored(dates.with_dynamics(dates.with_gaps(dates.parse_dates(parcels(spark, sf_dir, geometry=False)))), "fid", "change_speed")
     return rounded(row_change(df, "change_speed", "change_acceleration").select("fid", "change_acceleration"))
 
 
 def change_cumulative(spark, sf_dir):
-    df = stored(dates.with_dynamics(dates.with_gaps(dates.parse_dates(parcels(spark, sf_dir)))), "fid", "change_rate")
+    df = stored(dates.with_dynamics(dates.with_gaps(dates.parse_dates(parcels(spark, sf_dir, geometry=False)))), "fid", "change_rate")
     return rounded(running_total(df, "change_rate", "cumulative_change_rate").select("fid", "cumulative_change_rate"), 3)
 
 
@@ -147,28 +147,28 @@ def event_running_value(spark, sf_dir):
 
 
 def transitions(spark, sf_dir):
-    return status_transitions(parcels(spark, sf_dir))
+    return status_transitions(parcels(spark, sf_dir, geometry=False))
 
 
 def status_changes(spark, sf_dir):
     from plotshift.operators.profile import with_status_changes
 
-    return with_status_changes(parcels(spark, sf_dir)).select("fid", "n_changes")
+    return with_status_changes(parcels(spark, sf_dir, geometry=False)).select("fid", "n_changes")
 
 
 def bands_basic(spark, sf_dir):
-    df = bands.with_first_ndvi(bands.with_band_columns(parcels(spark, sf_dir)))
+    df = bands.with_first_ndvi(bands.with_band_columns(parcels(spark, sf_dir, geometry=False)))
     return rounded(df.select("fid", "NDVI", *[c for c in df.columns if c.startswith("spectral_")]))
 
 
 def bands_indices(spark, sf_dir):
-    df = bands.with_indexes(parcels(spark, sf_dir))
+    df = bands.with_indexes(parcels(spark, sf_dir, geometry=False))
     keep = [c for c in df.columns if c.startswith(bands.INDEXES)]
     return rounded(df.select("fid", *keep))
 
 
 def bands_stats(spark, sf_dir):
-    df = bands.with_index_stats(bands.with_indexes(parcels(spark, sf_dir)))
+    df = bands.with_index_stats(bands.with_indexes(parcels(spark, sf_dir, geometry=False)))
     keep = [f"{x}_{s}" for x in bands.INDEXES for s in ("mean", "std")]
     # The variation coefficient divides by means that may be next to zero; it is compared on a log scale.
     cv = [shapes.G.signed_log(F.col(f"{x}_cv")).alias(f"{x}_cv_log") for x in bands.INDEXES]

@@ -110,7 +110,7 @@ def cv_compare(spark, sf_dir):
 
 def pca_fixed(spark, sf_dir):
     """Ten components of the one-hot block; signs are arbitrary, so magnitudes are returned."""
-    df = categorical.with_interaction(parcels(spark, sf_dir)).select("fid", "split", "urban_geo_interaction")
+    df = categorical.with_interaction(parcels(spark, sf_dir, geometry=False)).select("fid", "split", "urban_geo_interaction")
     levels = categorical.vocabulary(df, "urban_geo_interaction")
     df = categorical.one_hot(df, "urban_geo_interaction", levels)
     hot = [c for c in df.columns if c.startswith("urban_geo_interaction_")]
@@ -164,7 +164,7 @@ def submission_csv(spark, sf_dir):
 
 
 def submission_names(spark, sf_dir):
-    test = parcels(spark, sf_dir, "test").select("fid", F.col("lab").alias("pred"))
+    test = parcels(spark, sf_dir, "test", geometry=False).select("fid", F.col("lab").alias("pred"))
     return submission(test, names=True)
 
 

@@ -29,7 +29,7 @@ NUMBERS = [*MEASURES, *[f"days_between_{i}_{i + 1}" for i in range(4)], "img_red
 
 
 def frames(spark, sf_dir):
-    df = parcels(spark, sf_dir)
+    df = parcels(spark, sf_dir, geometry=False)
     return df.where("split = 'train'"), df.where("split = 'test'")
 
 
@@ -58,16 +58,16 @@ def describe_lineitem(spark, sf_dir):
 
 
 def profile_types(spark, sf_dir):
-    df = parcels(spark, sf_dir).select("fid", "change_type", "urban_type", "date0", "img_red_mean_date1")
+    df = parcels(spark, sf_dir, geometry=False).select("fid", "change_type", "urban_type", "date0", "img_red_mean_date1")
     return profile.type_report(df)
 
 
 def profile_distinct(spark, sf_dir):
-    return profile.distinct_values(parcels(spark, sf_dir), ["change_type", "urban_type", "geography_type", *STATUS_COLUMNS])
+    return profile.distinct_values(parcels(spark, sf_dir, geometry=False), ["change_type", "urban_type", "geography_type", *STATUS_COLUMNS])
 
 
 def value_shares(spark, sf_dir):
-    return rounded(profile.value_counts(parcels(spark, sf_dir), "change_type", normalize=True))
+    return rounded(profile.value_counts(parcels(spark, sf_dir, geometry=False), "change_type", normalize=True))
 
 
 def min_max_columns(spark, sf_dir):
@@ -75,11 +75,11 @@ def min_max_columns(spark, sf_dir):
 
 
 def class_weights(spark, sf_dir):
-    return rounded(evaluate.class_weights(parcels(spark, sf_dir, "train"), "change_type"))
+    return rounded(evaluate.class_weights(parcels(spark, sf_dir, "train", geometry=False), "change_type"))
 
 
 def sample_weights(spark, sf_dir):
-    df = evaluate.with_sample_weights(parcels(spark, sf_dir, "train").select("fid", "change_type"), "change_type")
+    df = evaluate.with_sample_weights(parcels(spark, sf_dir, "train", geometry=False).select("fid", "change_type"), "change_type")
     return rounded(df.select("fid", "weight"))
 
 
@@ -107,13 +107,13 @@ def hist2d_shape(spark, sf_dir):
 
 def preview_sample(spark, sf_dir):
     """Three repeatable rows and the first hundred."""
-    df = parcels(spark, sf_dir).select("fid", "urban_type", "date0")
+    df = parcels(spark, sf_dir, geometry=False).select("fid", "urban_type", "date0")
     picked = profile.sample_rows(df, 3).withColumn("part", F.lit("sample"))
     return picked.unionByName(profile.head(df, 100).withColumn("part", F.lit("head")))
 
 
 def cat_interaction(spark, sf_dir):
-    df = categorical.with_interaction(parcels(spark, sf_dir))
+    df = categorical.with_interaction(parcels(spark, sf_dir, geometry=False))
     return df.select("fid", "urban_geo_interaction")
 
 
@@ -145,7 +145,7 @@ def cat_dummies_filled(spark, sf_dir):
 
 
 def cat_multilabel(spark, sf_dir):
-    df = parcels(spark, sf_dir).select("fid", "split", "urban_type", "geography_type")
+    df = parcels(spark, sf_dir, geometry=False).select("fid", "split", "urban_type", "geography_type")
     train = df.where("split = 'train'")
     df = categorical.multilabel(train, df, "urban_type", "urban")
     df = categorical.multilabel(train, df, "geography_type", "geo")
@@ -153,7 +153,7 @@ def cat_multilabel(spark, sf_dir):
 
 
 def cat_multilabel_whole(spark, sf_dir):
-    df = parcels(spark, sf_dir).select("fid", "split", "urban_type", "geography_type")
+    df = parcels(spark, sf_dir, geometry=False).select("fid", "split", "urban_type", "geography_type")
     train = df.where("split = 'train'")
     df = categorical.multilabel(train, df, "urban_type", "urban", whole=True)
     df = categorical.multilabel(train, df, "geography_type", "geo", fill=None)
@@ -161,7 +161,7 @@ def cat_multilabel_whole(spark, sf_dir):
 
 
 def cat_frequency(spark, sf_dir):
-    df = parcels(spark, sf_dir).select("fid", "split", "urban_type", "geography_type")
+    df = parcels(spark, sf_dir, geometry=False).select("fid", "split", "urban_type", "geography_type")
     train = df.where("split = 'train'")
     out = categorical.frequency_encode(train, df, "urban_type")
     out = categorical.frequency_encode(train, out, "geography_type")
@@ -169,7 +169,7 @@ def cat_frequency(spark, sf_dir):
 
 
 def cat_target(spark, sf_dir):
-    df = categorical.with_interaction(parcels(spark, sf_dir)).select(
+    df = categorical.with_interaction(parcels(spark, sf_dir, geometry=False)).select(
         "fid", "split", "urban_geo_interaction", categorical.label_code().alias("code")
     )
     train = df.where("split = 'train'")
@@ -187,24 +187,24 @@ def cat_target_customer(spark, sf_dir):
 
 
 def cat_status_codes(spark, sf_dir):
-    df = parcels(spark, sf_dir).select("fid", "split", *STATUS_COLUMNS)
+    df = parcels(spark, sf_dir, geometry=False).select("fid", "split", *STATUS_COLUMNS)
     codes = categorical.status_codes([df.where("split = 'train'"), df.where("split = 'test'")])
     return as_doubles(categorical.encode_statuses(df, codes).drop("split"), *STATUS_COLUMNS)
 
 
 def label_map(spark, sf_dir):
-    df = parcels(spark, sf_dir, "train")
+    df = parcels(spark, sf_dir, "train", geometry=False)
     return df.select("fid", categorical.label_code(strict=True).alias("code"))
 
 
 def label_alpha(spark, sf_dir):
-    df = parcels(spark, sf_dir, "train").select("fid", "change_type")
+    df = parcels(spark, sf_dir, "train", geometry=False).select("fid", "change_type")
     model, back = categorical.label_encode(df)
     return back.transform(model.transform(df)).select("fid", F.col("label").cast("int").alias("label"), "label_name")
 
 
 def label_onehot(spark, sf_dir):
-    df = parcels(spark, sf_dir).select("fid", categorical.label_one_hot("lab").alias("h"))
+    df = parcels(spark, sf_dir, geometry=False).select("fid", categorical.label_one_hot("lab").alias("h"))
     back = evaluate.argmax_array(F.col("h")).alias("label")
     return df.select("fid", *[F.get("h", F.lit(c)).cast("int").alias(f"class_{c}") for c in range(6)], back)
 
@@ -267,12 +267,12 @@ def anova_lineitem(spark, sf_dir):
 
 
 def folds_stratified(spark, sf_dir):
-    df = parcels(spark, sf_dir, "train").select("fid", "lab")
+    df = parcels(spark, sf_dir, "train", geometry=False).select("fid", "lab")
     return evaluate.stratified_folds(df, "lab").select("fid", "fold")
 
 
 def folds_in_order(spark, sf_dir):
-    df = parcels(spark, sf_dir, "train").select("fid", "lab")
+    df = parcels(spark, sf_dir, "train", geometry=False).select("fid", "lab")
     return evaluate.stratified_folds(df, "lab", shuffle=False).select("fid", "fold")
 
 
@@ -286,7 +286,7 @@ def folds_lineitem(spark, sf_dir):
 
 
 def split_stratified(spark, sf_dir):
-    df = parcels(spark, sf_dir, "train").select("fid", "lab")
+    df = parcels(spark, sf_dir, "train", geometry=False).select("fid", "lab")
     a = evaluate.stratified_split(df, "lab").select("fid", "is_train")
     b = evaluate.tail_split(df).select("fid", F.col("is_train").alias("is_train_tail"))
     return a.join(b, "fid")

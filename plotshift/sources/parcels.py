@@ -49,8 +49,11 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
-def parcels(spark: SparkSession, sf_dir: str, split: str | None = None) -> DataFrame:
-    """The parcel view over ``{sf_dir}/orders.parquet``; ``split`` keeps only ``train`` or ``test`` rows."""
+def parcels(spark: SparkSession, sf_dir: str, split: str | None = None, geometry: bool = True) -> DataFrame:
+    """The parcel view over ``{sf_dir}/orders.parquet``; ``split`` keeps only ``train`` or ``test`` rows.
+
+    ``geometry=False`` leaves out ``rings`` for queries that need none.
+    """
     orders = spread(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderdate"), "o_orderkey")
     if split is not None:
         orders = orders.where("o_orderkey % 11 IN (3, 8)" if split == "test" else "o_orderkey % 11 NOT IN (3, 8)")
@@ -102,9 +105,8 @@ def parcels(spark: SparkSession, sf_dir: str, split: str | None = None) -> DataF
             columns[f"img_{band}_mean_date{d}"] = f"if(fid % 59 <> 0, CAST({mean} AS DOUBLE), NULL)"
             columns[f"img_{band}_std_date{d}"] = f"if(fid % 59 <> 0, CAST({std} AS DOUBLE), NULL)"
     # The polygon leaves a generator, as it would leave a scan: later predicates refer to it instead of repeating its rule.
-    return base.selectExpr(
-        "fid", "split", "lab", *[f"{e} AS {c}" for c, e in columns.items()], f"explode(array({rings})) AS rings"
-    )
+    polygon = [f"explode(array({rings})) AS rings"] if geometry else []
+    return base.selectExpr("fid", "split", "lab", *[f"{e} AS {c}" for c, e in columns.items()], *polygon)
 
 
 def model_probabilities(spark: SparkSession, sf_dir: str, models: int = 3, folds: int = 5) -> DataFrame:
