@@ -187,7 +187,6 @@ def report(docs: DataFrame, items: DataFrame) -> DataFrame:
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
-        "n_near",
     )
 
 

@@ -147,7 +147,6 @@ def report(docs: DataFrame) -> DataFrame:
         F.col("q_repeat").alias("n_repeat_words"),
         "base_failed",
         "kept",
-        "failed_rules",
     )
 
 
