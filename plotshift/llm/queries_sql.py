@@ -17,7 +17,7 @@ def _quality() -> str:
     return rf"""
     WITH w AS (
       SELECT doc_id, coalesce(text, '') AS body, regexp_extract_all(coalesce(text, ''), '{WORD}') AS ws,
-             list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
+             list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
       FROM documents),
     r AS (
       SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, run) AS n
@@ -28,7 +28,7 @@ def _quality() -> str:
              len(regexp_extract_all(body, '[#*$%&|<>]'))::BIGINT AS n_symbols,
              len(regexp_extract_all(body, '[!#*$%&<>{{}}\[\]=~^]'))::BIGINT AS n_marks,
              (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words,
-             len(list_filter(ws, x -> x IN ({stop})))::BIGINT AS n_stop, len(ls) AS n_lines
+             len(list_filter(ws, lambda x: x IN ({stop})))::BIGINT AS n_stop, len(ls) AS n_lines
       FROM w LEFT JOIN c USING (doc_id)),
     b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, greatest(n_words, 1) AS k FROM m)
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
@@ -41,11 +41,11 @@ def _quality() -> str:
 
 NEAR = rf"""
     WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({LOWER}, '{WORD}') AS ws FROM documents),
-    s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 1 THEN [ws[1]] ELSE list_transform(range(1, len(ws)), i -> ws[i] || ' ' || ws[i + 1]) END) AS x
+    s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 1 THEN [ws[1]] ELSE list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) END) AS x
           FROM w WHERE len(ws) > 0),
     n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-    k AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
-    l AS (SELECT a, b FROM k JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * both >= 80 * (na.n + nb.n - both)),
+    k AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS hits FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+    l AS (SELECT a, b FROM k JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * hits >= 80 * (na.n + nb.n - hits)),
     e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
     r(a, b) AS (SELECT doc_id, doc_id FROM w UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
     SELECT r.a AS doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(r.b) AS component_id, r.a = min(r.b) AS kept
