@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plotshift.llm import blobs
-from plotshift.llm.text import NOT_SPACE, U, Words, slices, split_words, windows
+from plotshift.llm.text import NOT_SPACE, U, Words, mix, slices, split_words, windows
 
 LAST = (1 << 63) - 1
 PACKED = "bucket long, keys binary, counts binary"
@@ -52,8 +52,37 @@ def _probes(block: int, n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator
     return run
 
 
-def _shared_blocks(table: pa.Table) -> pa.Table:
-    """Of one bucket: for each document the probes that are some document's block and that two documents hold."""
+def _answer(f: Callable[[pa.Table], pa.Table]):
+    def answer(table: pa.Table) -> pa.Table:
+        return f(table)
+
+    return answer
+
+
+def _routed(n: int, keys: np.ndarray, found: np.ndarray) -> pa.Table:
+    """What one bucket found, packed by groups of documents: a row per document and bucket would be as many as both allow."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    out = blobs.deal(mix(keys.view(np.uint64), 50) % U(n), keys, found=found[order])
+    empty = {"bucket": pa.array([], pa.int64()), **{c: pa.array([], pa.binary()) for c in ("keys", "counts", "found")}}
+    return pa.Table.from_batches([out]) if out is not None else pa.table(empty)
+
+
+def _by_document(kind: type):
+    def gather(table: pa.Table) -> pa.Table:
+        keys, found = blobs.record_keys(table), blobs.joined(table, "found", kind)
+        order = np.argsort(keys, kind="stable")
+        return blobs.by_key(keys[order], found[order])
+
+    return gather
+
+
+def _shared_blocks(n: int):
+    return lambda table: _routed(n, *_shared(table))
+
+
+def _shared(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Of one bucket: the probes that are some document's block and that two documents hold, with their documents."""
     keys, probe = blobs.record_keys(table), blobs.joined(table, "probe", np.uint32)
     index = np.unique(probe[blobs.joined(table, "anchor", bool)])
     hit = np.flatnonzero(index[np.minimum(np.searchsorted(index, probe), len(index) - 1)] == probe) if len(index) else []
@@ -62,9 +91,7 @@ def _shared_blocks(table: pa.Table) -> pa.Table:
     keys, probe = keys[order], probe[order]
     starts, sizes = blobs.runs(probe)
     several = np.repeat(keys[starts] != keys[starts + sizes - 1], sizes) if len(starts) else np.empty(0, bool)
-    keys, probe = keys[several], probe[several]
-    order = np.argsort(keys, kind="stable")
-    return blobs.by_key(keys[order], probe[order])
+    return keys[several], probe[several]
 
 
 def _member(first: np.ndarray, at: np.ndarray, values: np.ndarray, found: list[bytes], kind: type) -> np.ndarray:
@@ -78,10 +105,6 @@ def _member(first: np.ndarray, at: np.ndarray, values: np.ndarray, found: list[b
     return np.concatenate(out) if out else np.empty(0, np.int64)
 
 
-def _found(batch: pa.RecordBatch) -> list[bytes]:
-    return [b"".join(x) if x else b"" for x in batch.column("found").to_pylist()]
-
-
 def _run_hashes(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     return windows(words.hashes(), words.first, size, salt=5)
 
@@ -92,7 +115,7 @@ def _candidates(block: int, size: int, n: int) -> Callable[[Iterator[pa.RecordBa
             words = split_words(texts, NOT_SPACE, False)
             hashes = words.hashes()
             value, at = windows(hashes, words.first, block, salt=3)
-            hits = at[_member(words.first, at, (value >> U(32)).astype(np.uint32), _found(batch), np.uint32)]
+            hits = at[_member(words.first, at, (value >> U(32)).astype(np.uint32), batch.column("found").to_pylist(), np.uint32)]
             value, at = windows(hashes, words.first, size, salt=5)
             other, _ = windows(hashes, words.first, size, salt=6)
             reach = np.zeros(len(hashes) + 1, np.int32)  # runs that hold the hit's block start this far before it
@@ -108,8 +131,12 @@ def _candidates(block: int, size: int, n: int) -> Callable[[Iterator[pa.RecordBa
     return run
 
 
-def _later_runs(table: pa.Table) -> pa.Table:
-    """Of one bucket: for each document the runs that a document with a smaller key holds as well."""
+def _later_runs(n: int):
+    return lambda table: _routed(n, *_later(table))
+
+
+def _later(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Of one bucket: the runs that a document with a smaller key holds as well, with their documents."""
     keys, run = blobs.record_keys(table), blobs.joined(table, "run", np.uint64)
     more = blobs.joined(table, "more", np.uint32)
     order = np.lexsort((keys, more, run))
@@ -118,15 +145,13 @@ def _later_runs(table: pa.Table) -> pa.Table:
     starts = np.flatnonzero(np.concatenate([[True], ~same])) if len(run) else np.empty(0, np.int64)
     least = np.repeat(keys[starts], np.diff(np.append(starts, len(run))))
     later = keys > least
-    keys, run = keys[later], run[later]
-    order = np.argsort(keys, kind="stable")
-    return blobs.by_key(keys[order], run[order])
+    return keys[later], run[later]
 
 
 def _cut(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches):
         for batch, texts in slices(batches):
-            found = _found(batch)
+            found = batch.column("found").to_pylist()
             some = [i for i, blob in enumerate(found) if blob]
             lists = [t.split() for t in texts]
             kept = [b" ".join(x) for x in lists]
@@ -169,12 +194,12 @@ def remove(docs: DataFrame, size: int = 50) -> DataFrame:
     body = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("k"))
     n = blobs.buckets(docs)
     probes = body.select("k", "text").mapInArrow(_probes(block, n), f"{PACKED}, probe binary, anchor binary")
-    shared = probes.groupBy("bucket").applyInArrow(_shared_blocks, "k long, found binary")
-    hits = shared.groupBy("k").agg(F.collect_list("found").alias("found"))
+    shared = probes.groupBy("bucket").applyInArrow(_answer(_shared_blocks(n)), f"{PACKED}, found binary")
+    hits = shared.groupBy("bucket").applyInArrow(_answer(_by_document(np.uint32)), "k long, found binary")
     texts = body.select("k", "doc_id", "text")
     runs = texts.join(hits, "k").mapInArrow(_candidates(block, size, n), f"{PACKED}, run binary, more binary")
-    later = runs.groupBy("bucket").applyInArrow(_later_runs, "k long, found binary")
-    confirmed = later.groupBy("k").agg(F.collect_list("found").alias("found"))
+    later = runs.groupBy("bucket").applyInArrow(_answer(_later_runs(n)), f"{PACKED}, found binary")
+    confirmed = later.groupBy("bucket").applyInArrow(_answer(_by_document(np.uint64)), "k long, found binary")
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, n_words long, n_removed long, removed array<struct<start:long,end:long>>, kept_text string"
     return texts.join(confirmed, "k", "left").mapInArrow(_cut(size), schema)
 
