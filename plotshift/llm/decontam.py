@@ -19,6 +19,7 @@ their own; empty tables give no rows (or rows without hits); extra columns stay
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -114,29 +115,38 @@ def _look_up(asked: pa.Table, index: pa.Table) -> pa.Table:
     cover = np.zeros(int(first[-1]) + 1, np.int32)
     exact: list[set[int]] = [set() for _ in ids]
     near: list[set[int]] = [set() for _ in ids]
-    for window, order in zip(asked.column("window").to_pylist(), asked.column("plan").to_pylist()):
-        at = lists[order[0]["t"]]
+    edges = asked.column("terms").combine_chunks().offsets.to_pylist()
+    terms = asked.column("terms").combine_chunks().values.to_pylist()
+    offsets = asked.column("offsets").combine_chunks().values.to_pylist()
+    for window, lo, hi in zip(asked.column("window").to_pylist(), edges, edges[1:]):
+        at, size = lists[terms[lo]], hi - lo
         doc = np.searchsorted(first, at, "right") - 1
-        starts, size = at - order[0]["pos"], len(order)
-        whole = (starts >= first[doc]) & (starts + size <= first[doc + 1])
-        close = np.ones(len(at), np.int32)
-        for term in order[1:]:
-            other = lists.get(term["t"])
+        begin, end = first[doc], first[doc + 1]
+        starts = at - offsets[lo]
+        whole = (starts >= begin) & (starts + size <= end)
+        missed, most = np.zeros(len(at), np.int32), size - math.ceil(NEAR_SHARE * size)
+        for place in range(lo + 1, hi):
+            other = lists.get(terms[place])
             if other is None:
+                missed += 1
                 whole[:] = False
-                continue
-            want = starts + term["pos"]
-            got = np.minimum(np.searchsorted(other, np.maximum(want - SLOP, first[doc])), len(other) - 1)
-            close += (other[got] >= np.maximum(want - SLOP, first[doc])) & (other[got] <= want + SLOP) & (other[got] < first[doc + 1])
-            if whole.any():
-                same = np.minimum(np.searchsorted(other, want), len(other) - 1)
-                whole &= other[same] == want
-        for d in np.unique(doc[whole]).tolist():
-            exact[d].add(window)
-        np.add.at(cover, starts[whole], 1)
-        np.add.at(cover, starts[whole] + size, -1)
-        for d in np.unique(doc[close >= NEAR_SHARE * size]).tolist():
-            near[d].add(window)
+            else:
+                want = starts + offsets[place]
+                least = np.maximum(want - SLOP, begin)
+                got = other[np.minimum(np.searchsorted(other, least), len(other) - 1)]
+                missed += (got < least) | (got > want + SLOP) | (got >= end)
+                whole &= other[np.minimum(np.searchsorted(other, want), len(other) - 1)] == want
+            if missed.min() > most:  # what is no proximity match is no exact one either
+                break
+        near_at = missed <= most
+        if near_at.any():
+            for d in np.unique(doc[near_at]).tolist():
+                near[d].add(window)
+            whole &= near_at
+            for d in np.unique(doc[whole]).tolist():
+                exact[d].add(window)
+            np.add.at(cover, starts[whole], 1)
+            np.add.at(cover, starts[whole] + size, -1)
     hit = np.concatenate([[0], np.cumsum(np.cumsum(cover)[:-1] > 0)])
     segment = index.column("segment")[0].as_py()
     return pa.table(
@@ -164,7 +174,7 @@ def look_up(index: DataFrame, windows: DataFrame) -> DataFrame:
     plans = known.agg(F.sort_array(F.collect_list(F.struct("count", "pos", "t"))).alias("plan")).where(F.size("plan") == F.col("size"))
     asked = plans.withColumn("rarest", F.col("plan")[0]["t"])
     postings = index.where("term is not null").select(F.col("segment").alias("at"), F.col("term").alias("rarest"))
-    asked = asked.join(postings, "rarest").select("at", "window", "plan")
+    asked = asked.join(postings, "rarest").select("at", "window", F.col("plan.t").alias("terms"), F.col("plan.pos").alias("offsets"))
     return asked.groupBy("at").cogroup(index.groupBy("segment")).applyInArrow(_look_up, FOUND)
 
 
