@@ -252,7 +252,7 @@ def _stretches(edges: np.ndarray) -> np.ndarray:
     return np.append(np.concatenate(cuts) if cuts else np.empty(0, np.int64), edges[-1])
 
 
-def _parts(batch: pa.RecordBatch, limit: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def _parts(batch: pa.RecordBatch, limit: int = 1 << 18) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Rows of about ``limit`` tokens: the rows, their classes and the edges of texts."""
     data, lo, size = batch.column("classes").to_pylist(), 0, 0
     for i in range(len(data) + 1):
