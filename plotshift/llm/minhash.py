@@ -164,7 +164,9 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80, k: int = K) -> Dat
         x = left.select("v", F.col("k").alias("a"), "n", F.col("comp").alias("ca"))
         y = left.select("v", F.col("k").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
         rest = x.join(y, "v").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _comparable(F.col("n"), F.col("nb"), percent))
-        labels = components(links.union(verified(rest.select("a", "b").distinct())))
+        more = verified(rest.select("a", "b").distinct())
+        if not more.isEmpty():
+            labels = components(links.union(more))
     out = members.join(labels.toDF("rep", "comp"), "rep", "left")
     return out.select("k", "n", F.coalesce("comp", "rep").alias("comp"))
 
