@@ -203,4 +203,4 @@ def report(docs: DataFrame, items: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents without an exact match, with the columns they came with."""
     hit = find(docs, items).where("n_hit > 0").select(F.col("doc_id").alias("hit_id")).distinct()
-    return docs.join(hit, F.col("doc_id").cast("long").eqNullSafe(F.col("hit_id")), "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    return docs.join(hit, F.col("doc_id").cast("long").eqNullSafe(hit["hit_id"]), "left_anti")

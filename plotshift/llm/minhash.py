@@ -183,4 +183,4 @@ def first_of_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     """The documents that stand for their group, with the columns they came with."""
     gone = groups(docs, size, percent).where("k <> comp").select("k").distinct()
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
-    return docs.join(gone, key == F.col("k"), "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    return docs.join(gone, key == gone["k"], "left_anti")

@@ -152,4 +152,5 @@ def report(docs: DataFrame) -> DataFrame:
 
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The documents that pass, with the columns they came with."""
-    return apply_rules(docs).where("kept").select(*[f"`{c}`" for c in docs.columns])
+    whole = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("q_row"), "text")  # no name of theirs can clash
+    return apply_rules(whole).where("kept").select("q_row.*")
