@@ -283,8 +283,9 @@ def test_pipeline_stages(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     seen = docs
     for _, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, seen, sf)
+        out = stage(spark, seen, sf).cache()
         assert out.columns == docs.columns and out.count() <= seen.count()
-        seen = out.cache()
-    rows = corpus_pipeline.run(spark, sf).collect()
+        seen = out
+    rows = corpus_pipeline.STAGES[-1][1](spark, seen, sf).collect()
+    assert corpus_pipeline.STAGES[0][0] == "quality_rules"
     assert {r.doc_id for r in rows} == {r.doc_id for r in seen.collect()}
