@@ -182,4 +182,4 @@ def sample_rows(df: DataFrame, n: int, seed: int = 42, key: str = "fid") -> Data
 
 def head(df: DataFrame, n: int, key: str = "fid") -> DataFrame:
     """The first ``n`` rows by row id."""
-    return df.where(F.col(key) < n)
+    return df.orderBy(key).limit(n)
