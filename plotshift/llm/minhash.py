@@ -28,12 +28,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plotshift.llm.graph import components
+from plotshift.llm.graph import components, contracted, smallest_seen
 from plotshift.llm.text import LOWER, NOT_SPACE, slices, split_words, windows
 from plotshift.session import materialize
 
-K = 64
+#: Sets of up to 0.8 K shingles are compared as wholes: their lists hold only the rarest fifth of their values, so that a passage
+#: in many texts, which is more frequent than their own words, makes no list.
+K = 256
 MISS = 1e-9
+#: Members of a list whose pairs are joined as rows; longer lists are compared inside tasks, in pairs of blocks of about BLOCK members.
+FEW = 24
+BLOCK = 1024
 LAST = (1 << 63) - 1
 
 
@@ -107,10 +112,55 @@ def _comparable(n: Column, m: Column, percent: int) -> Column:
     return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
 
-def _estimated(a: Column, b: Column, k: int) -> Column:
-    """Share of the union's k smallest values that both sketches hold."""
-    union = F.slice(F.sort_array(F.array_union(a, b)), 1, k)
-    return F.size(F.array_intersect(union, F.array_intersect(a, b))) / F.size(union)
+def _alike(a: Column, b: Column, k: int, percent: int, share: int) -> Column:
+    """Sketches of less than k values are whole sets and decide; else the union's k smallest values must hold ``share`` common ones."""
+    both, union = F.size(F.array_intersect(a, b)), F.slice(F.sort_array(F.array_union(a, b)), 1, k)
+    exact = 100 * both >= percent * (F.size(a) + F.size(b) - both)
+    return F.when((F.size(a) < k) & (F.size(b) < k), exact).otherwise(F.size(F.array_intersect(union, F.array_intersect(a, b))) >= share)
+
+
+def _common(values: np.ndarray, row: np.ndarray, rows: int, step: int = 2048) -> np.ndarray:
+    """For each two rows, how many values both hold; values of one row only are left out, the rest come ``step`` at a time."""
+    names, column, n = np.unique(values, return_inverse=True, return_counts=True)
+    place = np.cumsum(n > 1) - 1
+    used = (n > 1)[column]
+    row, column = row[used], place[column[used]]
+    out = np.zeros((rows, rows), np.float32)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for lo in range(0, int((n > 1).sum()), step):
+        own = slice(*np.searchsorted(column, [lo, lo + step]))
+        part = np.zeros((rows, step), np.float32)
+        part[row[own], column[own] - lo] = 1
+        out += part @ part.T
+    return out
+
+
+def _block(k: int, percent: int, share: int):
+    """Candidates among the members of one block pair (i, j) of a list: those of different components that ``_alike`` lets pass."""
+
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        i, j = (x.as_py() for x in key[1:])
+        ids, comp, salt = (t.column(c).to_numpy() for c in ("k", "comp", "salt"))
+        sketches = t.column("sketch").combine_chunks()
+        size = sketches.value_lengths().to_numpy().astype(np.int64)
+        values = sketches.flatten().to_numpy()
+        common = _common(values, np.repeat(np.arange(len(ids)), size), len(ids))
+        whole = (size < k)[:, None] & (size < k)[None, :]
+        passed = np.where(whole, 100 * common >= percent * (size[:, None] + size[None, :] - common), common >= share)
+        passed &= (ids[:, None] < ids[None, :]) & (comp[:, None] != comp[None, :])
+        if i != j:
+            passed &= salt[:, None] != salt[None, :]
+        ends = np.cumsum(size)
+        own = lambda x: values[ends[x] - size[x] : ends[x]].view(np.uint64)
+        x, y = np.nonzero(passed)
+        keep = np.ones(len(x), bool)
+        for at in np.flatnonzero(~whole[x, y]):
+            p, q = own(x[at]), own(y[at])
+            keep[at] = np.count_nonzero(np.intersect1d(p, q) <= np.union1d(p, q)[:k][-1]) >= share
+        return pa.table({"a": ids[x[keep]], "b": ids[y[keep]]})
+
+    return run
 
 
 def groups(docs: DataFrame, size: int = 5, percent: int = 80, k: int = K) -> DataFrame:
@@ -119,9 +169,11 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80, k: int = K) -> Dat
     sketches = materialize(body.mapInArrow(_sketches(size, k), "k long, key binary, n long, sketch array<long>"), "sketches")
     share = required(k, percent / 100)
 
-    alike = sketches.where("n > 0").groupBy("key").agg(F.min("k").alias("rep"))
-    members = materialize(sketches.select("k", "key", "n").join(alike, "key", "left").select("k", "n", F.coalesce("rep", "k").alias("rep")), "members")
-    reps = sketches.where("n > 0").join(members.where("k = rep and n > 0").select("k").distinct(), "k", "left_semi")
+    # texts with one key have one set, so any of their sketches is the class's
+    alike = sketches.where("n > 0").groupBy("key").agg(F.min("k").alias("k"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    reps = materialize(alike, "classes")
+    classes = reps.select("key", F.col("k").alias("rep"))
+    members = sketches.select("k", "key", "n").join(classes, "key", "left").select("k", "n", F.coalesce("rep", "k").alias("rep"))
 
     entries = reps.select("k", "n", F.explode("sketch").alias("v"))
     shared = entries.groupBy("v").count().where("count > 1")
@@ -134,39 +186,43 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80, k: int = K) -> Dat
 
     wanted = lists.select("k").distinct()
     texts = materialize(body.join(wanted, "k", "left_semi").select("k", F.coalesce("text", F.lit("")).alias("text")), "texts")
-    small = sketches.select("k", "sketch")
-    floor = F.lit(share / k)
+    small = reps.select("k", "sketch")
+
+    def near(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(small.toDF("a", "sa"), "a").join(small.toDF("b", "sb"), "b")
+        return both.where(_alike(F.col("sa"), F.col("sb"), k, percent, share)).select("a", "b")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        near = (
-            pairs.join(small.toDF("a", "sa"), "a").join(small.toDF("b", "sb"), "b").where(_estimated(F.col("sa"), F.col("sb"), k) >= floor)
-        ).select("a", "b")
-        whole = near.distinct().join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
+        whole = pairs.distinct().join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
         return materialize(whole.mapInArrow(_verify(size, percent), "a long, b long"), "links")
 
     left = lists.withColumn("comp", F.col("k"))
-    links = None
+    edges, before = None, math.inf
     while True:
         pivots = left.groupBy("v").agg(F.min(F.struct("k", "n", "comp")).alias("p"))
         held = left.join(pivots, "v").where(F.col("k") != F.col("p.k"))
         star = held.where(F.col("comp") != F.col("p.comp")).where(_comparable(F.col("n"), F.col("p.n"), percent))
-        found = verified(star.select(F.col("p.k").alias("a"), F.col("k").alias("b")).distinct())
-        links = found if links is None else links.union(found)
-        labels = components(links)
-        held = held.drop("p", "comp").join(labels.toDF("k", "comp"), "k", "left").withColumn("comp", F.coalesce("comp", "k"))
+        found = verified(near(star.select(F.col("p.k").alias("a"), F.col("k").alias("b")).distinct()))
+        edges = contracted(found if edges is None else edges.union(found))
+        held = held.select("v", "k", "n").join(smallest_seen(edges).toDF("k", "comp"), "k", "left").withColumn("comp", F.coalesce("comp", "k"))
         sizes = held.groupBy("v", "comp").count().groupBy("v").agg(F.sum("count").alias("m"), F.sum(F.col("count") * F.col("count")).alias("own"))
-        mixed = sizes.where("m * m > own")
-        left = materialize(held.join(mixed.select("v"), "v", "left_semi"), "left")
-        state = mixed.agg(F.coalesce(F.sum("m"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.col("m") * F.col("m") - F.col("own")) / 2, F.lit(0)).alias("pairs")).first()
-        if state["pairs"] <= 4 * state["rows"] or found.isEmpty():
+        mixed = sizes.where("m * m > own").select("v", "m", ((F.col("m") * F.col("m") - F.col("own")) / (2 * F.col("m"))).alias("share"))
+        left = materialize(held.join(mixed, "v"), "left")  # share: pairs of different components in the list, per member
+        state = left.agg(F.count("*").alias("rows"), F.coalesce(F.sum("share"), F.lit(0.0)).alias("pairs")).first()
+        if state["pairs"] <= 4 * state["rows"] or state["pairs"] > before / 2 or found.isEmpty():
             break
+        before = state["pairs"]
     if state["pairs"]:
-        x = left.select("v", F.col("k").alias("a"), "n", F.col("comp").alias("ca"))
-        y = left.select("v", F.col("k").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-        rest = x.join(y, "v").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _comparable(F.col("n"), F.col("nb"), percent))
-        more = verified(rest.select("a", "b").distinct())
-        if not more.isEmpty():
-            labels = components(links.union(more))
+        few = left.where(F.col("m") <= FEW)
+        x = few.select("v", F.col("k").alias("a"), "n", F.col("comp").alias("ca"))
+        y = few.select("v", F.col("k").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
+        pairs = x.join(y, "v").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _comparable(F.col("n"), F.col("nb"), percent))
+        many = left.where(F.col("m") > FEW).join(small, "k").withColumn("of", F.ceil(F.col("m") / BLOCK))
+        many = many.withColumn("salt", F.pmod(F.xxhash64("k"), "of")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("of") - 1)))
+        many = many.select("v", F.least("salt", "other").alias("i"), F.greatest("salt", "other").alias("j"), "k", "comp", "salt", "sketch")
+        blocks = many.groupBy("v", "i", "j").applyInArrow(_block(k, percent, share), "a long, b long")
+        edges = edges.union(verified(near(pairs.select("a", "b").distinct()).union(blocks)))
+    labels = components(edges)
     out = members.join(labels.toDF("rep", "comp"), "rep", "left")
     return out.select("k", "n", F.coalesce("comp", "rep").alias("comp"))
 
