@@ -119,23 +119,29 @@ def _alike(a: Column, b: Column, k: int, percent: int, share: int) -> Column:
     return F.when((F.size(a) < k) & (F.size(b) < k), exact).otherwise(F.size(F.array_intersect(union, F.array_intersect(a, b))) >= share)
 
 
-def _common(values: np.ndarray, row: np.ndarray, rows: int, step: int = 2048) -> np.ndarray:
-    """For each two rows, how many values both hold; values of one row only are left out, the rest come ``step`` at a time."""
-    names, column, n = np.unique(values, return_inverse=True, return_counts=True)
-    place = np.cumsum(n > 1) - 1
-    used = (n > 1)[column]
+def _common(values: np.ndarray, row: np.ndarray, n: int, left: np.ndarray, right: np.ndarray, step: int = 2048) -> np.ndarray:
+    """How many values row x of ``left`` and row y of ``right`` both hold; values of one row only are left out, the rest come ``step`` at a time."""
+    _, column, seen = np.unique(values, return_inverse=True, return_counts=True)
+    place = np.cumsum(seen > 1) - 1
+    used = np.flatnonzero(seen[column] > 1)
+    used = used[np.argsort(place[column[used]], kind="stable")]
     row, column = row[used], place[column[used]]
-    out = np.zeros((rows, rows), np.float32)
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    for lo in range(0, int((n > 1).sum()), step):
+    out = np.zeros((len(left), len(right)), np.float32)
+    for lo in range(0, int((seen > 1).sum()), step):
         own = slice(*np.searchsorted(column, [lo, lo + step]))
-        part = np.zeros((rows, step), np.float32)
+        part = np.zeros((n, step), np.float32)
         part[row[own], column[own] - lo] = 1
-        out += part @ part.T
+        out += part[left] @ part[right].T
     return out
 
 
+def _held_by_both(p: np.ndarray, q: np.ndarray, k: int) -> int:
+    """How many of the ``k`` smallest values of two sorted sets' union are in both."""
+    u = np.sort(np.concatenate((p, q)))
+    twice = np.concatenate(([0], np.cumsum(u[1:] == u[:-1])))
+    return int(twice[np.searchsorted(np.arange(1, len(u) + 1) - twice, k, "right") - 1])
+
+
 def _block(k: int, percent: int, share: int):
     """Candidates among the members of one block pair (i, j) of a list: those of different components that ``_alike`` lets pass."""
 
@@ -145,20 +151,24 @@ def _block(k: int, percent: int, share: int):
         sketches = t.column("sketch").combine_chunks()
         size = sketches.value_lengths().to_numpy().astype(np.int64)
         values = sketches.flatten().to_numpy()
-        common = _common(values, np.repeat(np.arange(len(ids)), size), len(ids))
-        whole = (size < k)[:, None] & (size < k)[None, :]
-        passed = np.where(whole, 100 * common >= percent * (size[:, None] + size[None, :] - common), common >= share)
-        passed &= (ids[:, None] < ids[None, :]) & (comp[:, None] != comp[None, :])
-        if i != j:
-            passed &= salt[:, None] != salt[None, :]
         ends = np.cumsum(size)
         own = lambda x: values[ends[x] - size[x] : ends[x]].view(np.uint64)
+        left, right = np.flatnonzero(salt == i), np.flatnonzero(salt == j)
+        common = _common(values, np.repeat(np.arange(len(ids)), size), len(ids), left, right)
+        total = size[left][:, None] + size[right][None, :]
+        whole = (size[left] < k)[:, None] & (size[right] < k)[None, :]
+        passed = np.where(whole, 100 * common >= percent * (total - common), common >= share)
+        passed &= comp[left][:, None] != comp[right][None, :]
+        if i == j:
+            passed &= ids[left][:, None] < ids[right][None, :]
         x, y = np.nonzero(passed)
+        cut = ~whole[x, y]
+        x, y = left[x], right[y]
         keep = np.ones(len(x), bool)
-        for at in np.flatnonzero(~whole[x, y]):
-            p, q = own(x[at]), own(y[at])
-            keep[at] = np.count_nonzero(np.intersect1d(p, q) <= np.union1d(p, q)[:k][-1]) >= share
-        return pa.table({"a": ids[x[keep]], "b": ids[y[keep]]})
+        for at in np.flatnonzero(cut):
+            keep[at] = _held_by_both(own(x[at]), own(y[at]), k) >= share
+        x, y = ids[x[keep]], ids[y[keep]]
+        return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y)})
 
     return run
 
