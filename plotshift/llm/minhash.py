@@ -63,10 +63,10 @@ def _sketches(size: int, k: int):
             for i in range(len(texts)):
                 lo, hi = words.first[i], words.first[i + 1]
                 if hi - lo >= size:
-                    own = np.unique(value[edges[i] : edges[i + 1]])
+                    own = np.unique(value[edges[i] : edges[i + 1]].view(np.int64))  # signed, the order of Spark's longs
                 else:  # the words of a shorter text are one shingle
-                    own = windows(hashes[lo:hi], np.array([0, hi - lo]), int(hi - lo), salt=8)[0] if hi > lo else hashes[:0]
-                sets.append(own[:k].view(np.int64))
+                    own = windows(hashes[lo:hi], np.array([0, hi - lo]), int(hi - lo), salt=8)[0].view(np.int64) if hi > lo else hashes[:0].view(np.int64)
+                sets.append(own[:k])
                 counts.append(len(own))
                 keys.append(_digest(own))
             yield pa.RecordBatch.from_pydict(
@@ -152,7 +152,7 @@ def _block(k: int, percent: int, share: int):
         size = sketches.value_lengths().to_numpy().astype(np.int64)
         values = sketches.flatten().to_numpy()
         ends = np.cumsum(size)
-        own = lambda x: values[ends[x] - size[x] : ends[x]].view(np.uint64)
+        own = lambda x: values[ends[x] - size[x] : ends[x]]
         left, right = np.flatnonzero(salt == i), np.flatnonzero(salt == j)
         common = _common(values, np.repeat(np.arange(len(ids)), size), len(ids), left, right)
         total = size[left][:, None] + size[right][None, :]

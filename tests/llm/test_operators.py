@@ -11,6 +11,8 @@ import sys
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from plotshift.llm import chat, decontam, hmm, langid, minhash, packing, pii, quality, secret_scan, substring
@@ -113,6 +115,34 @@ def test_near_duplicates(docs, texts):
     assert minhash.first_of_groups(docs, 2).count() == sum(root(d) == d for d in ids)
 
 
+def test_blocks_of_long_lists():
+    """The candidates of all block pairs are those of the filter on every pair; sets below and above the sketch's length."""
+    rng, k, share = np.random.default_rng(5), 32, 18
+    base = rng.integers(-(1 << 63), 1 << 63, 60, dtype=np.int64)
+    sets = []
+    for n in range(40):
+        own = np.concatenate([rng.choice(base[:24] if n % 2 else base, 22 if n % 2 else 52, replace=False), rng.integers(-(1 << 63), 1 << 63, 2, dtype=np.int64)])
+        sets.append(np.unique(own)[:k])
+    comp, salt = np.arange(40) // 3, np.arange(40) % 3
+    expected, found = set(), []
+    for a in range(40):
+        for b in range(a + 1, 40):
+            both, union = np.intersect1d(sets[a], sets[b]), np.union1d(sets[a], sets[b])
+            if max(len(sets[a]), len(sets[b])) < k:
+                alike = 100 * len(both) >= 80 * len(union)
+            else:
+                alike = np.isin(union[:k], both).sum() >= share
+            if alike and comp[a] != comp[b]:
+                expected.add((a, b))
+    for i in range(3):
+        for j in range(i, 3):
+            at = np.flatnonzero((salt == i) | (salt == j))
+            table = pa.table({"k": at, "comp": comp[at], "salt": salt[at], "sketch": pa.array([sets[x] for x in at], pa.list_(pa.int64()))})
+            out = minhash._block(k, 80, share)((pa.scalar(0), pa.scalar(i), pa.scalar(j)), table)
+            found += zip(out["a"].to_pylist(), out["b"].to_pylist())
+    assert len(found) == len(set(found)) and set(found) == expected and expected
+
+
 def test_required_is_a_lower_tail():
     m = minhash.required(64, 0.8)
     assert sum(math.comb(64, i) * 0.8**i * 0.2 ** (64 - i) for i in range(m)) <= 1e-9 and 20 < m < 51
