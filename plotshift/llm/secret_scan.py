@@ -1,9 +1,10 @@
 """Secret scans with a worklist of decoded layers.
 
-A text is the first layer. Every layer is scanned, and every encoded stretch in it (percent escapes, ``\\u``/``\\x`` and
-character references, base64, zlib and gzip inside base64) is decoded to a new layer that goes on the worklist, until no
-layer gives another. A layer seen before is not opened again, which ends cycles. A find in a layer is reported at the
-stretch of the outermost text that it came from. Everything happens in the row, without a shuffle.
+A text is the first layer. Every layer is scanned, and for every code (percent escapes, ``\\u``/``\\x`` and character
+references, base64, also over several lines, zlib and gzip inside base64) the whole layer with its stretches replaced by
+their decoding is a new layer that goes on the worklist, until no layer gives another. A layer with the same text from the
+same places is not opened again, which ends cycles. A find in a layer is reported at the part of the outermost text that it
+came from, wherever it stands. Everything happens in the row, without a shuffle.
 
 Kinds: ``assign``, ``access`` and ``hex`` by their stated rules on the text itself; finds in inner layers are additions
 named ``<kind>@<steps>``, for instance ``access@base64``.
@@ -19,7 +20,10 @@ import binascii
 import html
 import re
 import zlib
+from bisect import bisect_right
+from collections import deque
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,11 +36,16 @@ KINDS = (("assign", ASSIGN, 1, 8), ("access", ACCESS, 0, 16), ("hex", HEX, 0, 32
 #: A text without any of these holds no find of its kind; testing that is cheaper than trying the rule at every place.
 HINTS = {"assign": re.compile(r"[:=]"), "access": re.compile("AKIA"), "hex": re.compile("[0-9a-f]{32}")}
 
-#: Runs of visible characters, and what makes one of them a percent-coded or character-coded stretch.
-RUN = re.compile(r"\S+")
-PERCENT = re.compile(r"%([0-9A-Fa-f]{2})")
+#: Percent-coded and character-coded stretches, and base64: a line's run, the lines that may continue it, and a run's end.
+PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#[0-9]{1,7};|&#x[0-9A-Fa-f]{1,6};")
+ESCAPES = re.compile(rf"(?:{ESCAPE.pattern})+".replace("([", "(?:["))
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
+NEXT = re.compile(r"[\x20\t]*\r?\n[\x20\t]*([A-Za-z0-9+/_-]+={0,2}|={1,2})")
+LINE_END = re.compile(r"[\x20\t]*(?:\r?\n|\Z)")
+#: How base64 of a gzip or zlib stream begins.
+ZIPPED = ("H4s", "eA", "eF", "eJ", "eN")
+STANDARD = str.maketrans("-_", "+/", "=")
 MOST_BYTES = 16 << 20
 
 
@@ -59,66 +68,177 @@ def _inflate(data: bytes) -> bytes | None:
         return None
 
 
-def _percent(stretch: str) -> list[tuple[str, str]]:
-    if not PERCENT.search(stretch):
-        return []
-    raw = re.sub(rb"%([0-9A-Fa-f]{2})", lambda m: bytes.fromhex(m[1].decode()), stretch.encode())
-    return [("url", raw.decode("utf-8", "replace"))]
+#: What one step decodes together: its name, and (start, end, text) of its parts, each with the text that takes its place.
+Decoded = tuple[str, list[tuple[int, int, str]]]
 
 
-def _unicode(stretch: str) -> list[tuple[str, str]]:
-    if not ESCAPE.search(stretch):
-        return []
-    plain = ESCAPE.sub(lambda m: chr(int(m[1] or m[2], 16)) if m[1] or m[2] else html.unescape(m[0]), stretch)
-    return [("unicode", plain.encode("utf-16", "surrogatepass").decode("utf-16", "replace"))]
+def _percent(layer: str) -> Iterator[Decoded]:
+    for m in PERCENT.finditer(layer):
+        yield "url", [(*m.span(), bytes.fromhex(m[0].replace("%", "")).decode("utf-8", "replace"))]
 
 
-def _base64(stretch: str) -> list[tuple[str, str]]:
-    body = stretch.rstrip("=").translate(str.maketrans("-_", "+/"))
+def _unicode(layer: str) -> Iterator[Decoded]:
+    for m in ESCAPES.finditer(layer):
+        plain = ESCAPE.sub(lambda e: chr(int(e[1] or e[2], 16)) if e[1] or e[2] else html.unescape(e[0]), m[0])
+        yield "unicode", [(*m.span(), plain.encode("utf-16", "surrogatepass").decode("utf-16", "replace"))]
+
+
+def _unpacked(body: str) -> tuple[str, str] | int:
+    """Step and text of one base64 body; else how many of its bytes may begin a readable text."""
     if len(body) % 4 == 1:
-        return []
+        return len(body) * 3 // 4
     try:
         data = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
     except binascii.Error:
-        return []
+        return 0
     inner = _inflate(data)
-    step = "base64" if inner is None else "base64+zip"
     if inner is not None and len(inner) > MOST_BYTES:
-        return [("oversized", "")]
+        return "oversized", ""
     try:
         text = (data if inner is None else inner).decode()
-    except UnicodeDecodeError:
-        return []
-    readable = sum(c.isprintable() or c in "\t\n\r" for c in text)
-    return [(step, text)] if readable == len(text) else []
-
-
-DECODERS = (
-    (PERCENT.search, RUN, _percent),
-    (ESCAPE.search, RUN, _unicode),
-    (lambda t: True, BASE64, _base64),
-)
+    except UnicodeDecodeError as e:
+        return e.start if inner is None else 0
+    for i, c in enumerate(text):
+        if not (c.isprintable() or c in "\t\n\r"):
+            return len(text[:i].encode()) if inner is None else 0
+    return "base64" if inner is None else "base64+zip", text
+
+
+def _base64(layer: str) -> Iterator[Decoded]:
+    """Of a run with the lines that continue it (all of one length, the last may be shorter) the longest part that decodes."""
+    at = 0
+    while m := BASE64.search(layer, at):
+        at = m.end()
+        body = m[0].translate(STANDARD)
+        begin, full = _unpacked(body[: len(body) // 4 * 4]), len(body) // 4 * 3
+        if isinstance(begin, int) and begin + 4 <= full and not body.startswith(ZIPPED):
+            continue  # what is unreadable before the run's end stays so with more lines
+        parts, lines, length = [body], [(len(body), *m.span())], 0  # characters so far, and the line's place
+        while layer[lines[-1][2] - 1] != "=" and LINE_END.match(layer, lines[-1][2]) and (n := NEXT.match(layer, lines[-1][2])):
+            run = n[1].translate(STANDARD)
+            if length and len(run) > length:
+                break
+            parts.append(run)
+            lines.append((lines[-1][0] + len(run), *n.span(1)))
+            if length and len(run) < length:
+                break
+            length = length or len(run)
+        whole = "".join(parts)
+        while lines:
+            out = _unpacked(whole[: lines[-1][0]])
+            if isinstance(out, tuple):
+                at = lines[-1][2]
+                yield out[0], _by_line(lines, out[1]) if out[0] == "base64" else [(m.start(), at, out[1])]
+                break
+            lines.pop()
+            while len(lines) > 1 and lines[-1][0] * 3 // 4 > out:
+                lines.pop()
+
+
+def _by_line(lines: list[tuple[int, int, int]], text: str) -> list[tuple[int, int, str]]:
+    """The text cut where its base64 lines end between two bytes and two characters; breaks between the lines go."""
+    data, out, begin, done = text.encode(), [], lines[0][1], 0
+    for i, (n, _, end) in enumerate(lines):
+        to = n // 4 * 3
+        if i + 1 == len(lines):
+            out.append((begin, end, data[done:].decode()))
+        elif n % 4 == 0 and (to >= len(data) or data[to] & 0xC0 != 0x80):
+            out += [(begin, end, data[done:to].decode()), (end, lines[i + 1][1], "")]
+            begin, done = lines[i + 1][1], to
+    return out
+
+
+#: What a layer must contain for a decoder to be tried, and the decoder.
+DECODERS = ((PERCENT.search, _percent), (ESCAPE.search, _unicode), (BASE64.search, _base64))
+
+
+@dataclass(frozen=True)
+class Layer:
+    """A text and where it comes from: from place ``at[i]`` on it is the outermost text from ``lo[i]`` on, character by
+    character if ``hi[i]`` is None, else decoded from the stretch that ends at ``hi[i]``."""
+
+    text: str
+    at: tuple[int, ...] = (0,)
+    lo: tuple[int, ...] = (0,)
+    hi: tuple[int | None, ...] = (None,)
+
+    def outer(self, s: int, e: int) -> tuple[int, int]:
+        i, j = bisect_right(self.at, s) - 1, bisect_right(self.at, e - 1) - 1
+        start = self.lo[i] + (s - self.at[i] if self.hi[i] is None else 0)
+        return start, self.lo[j] + e - self.at[j] if self.hi[j] is None else self.hi[j]
+
+    def replaced(self, stretches: list[tuple[int, int, str]]) -> Layer:
+        """The layer with the stretches' decoding in their places."""
+        text, at, lo, hi, size = [], [], [], [], 0
+
+        def add(part: str, start: int, end: int | None) -> None:
+            nonlocal size
+            if part:
+                text.append(part), at.append(size), lo.append(start), hi.append(end)
+                size += len(part)
+
+        place = 0
+        for s, e, inner in [*stretches, (len(self.text), len(self.text), "")]:
+            while place < s:  # what stands between is taken over piece by piece
+                i = bisect_right(self.at, place) - 1
+                to = min(s, self.at[i + 1]) if i + 1 < len(self.at) else s
+                add(self.text[place:to], self.lo[i] + (place - self.at[i] if self.hi[i] is None else 0), self.hi[i])
+                place = to
+            if e > s:
+                add(inner, *self.outer(s, e))
+                place = e
+        return Layer("".join(text), tuple(at), tuple(lo), tuple(hi)) if size else Layer("")
+
+
+def _together(decoded: list[Decoded]) -> Iterator[Decoded]:
+    """Stretches of one step that open together; new texts of up to ``MOST_BYTES`` in all, or of one stretch."""
+    for name in sorted({step for step, _ in decoded}):
+        own, size = [], 0
+        for step, parts in decoded:
+            if step == name:
+                more = sum(len(t) for _, _, t in parts)
+                if own and size + more > MOST_BYTES:
+                    yield name, own
+                    own, size = [], 0
+                own.extend(parts)
+                size += more
+        yield name, own
 
 
 def find(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, str, int, int]]]:
     """Finds in the text itself, and (start, kind, end, layers) of those in layers below, at their place in the text."""
-    base, added, seen = scan(text), set(), {text}
-    work = [(text, None, "", 0)]  # a layer, its stretch of the text, the steps that led to it, its depth
+    base, added, top = scan(text), set(), Layer(text)
+    told = {(k, s, e, text[s:e]) for s, k, e in base}
+    seen = {top}  # with their origin: a layer left out has its finds at the same places
+    work = deque([(top, "", 0, frozenset())])  # a layer, the steps that led to it, its depth, the packed stretches opened on the way
     while work:
-        layer, place, steps, depth = work.pop()
-        for hint, rule, decode in DECODERS:
-            if not hint(layer):
+        layer, steps, depth, opened = work.popleft()
+        for hint, decode in DECODERS:
+            if not hint(layer.text):
                 continue
-            for m in rule.finditer(layer):
-                span = place or m.span()
-                for step, inner in decode(m[0]):
-                    path = f"{steps}+{step}" if steps else step
-                    if step == "oversized":
-                        added.add((span[0], "oversized", span[1], depth + 1))
-                    elif inner not in seen:
-                        seen.add(inner)
-                        added.update((span[0], f"{KINDS[k][0]}@{path}", span[1], depth + 1) for _, k, _ in scan(inner))
-                        work.append((inner, span, path, depth + 1))
+            decoded = []
+            for step, parts in decode(layer.text):
+                place = layer.outer(parts[0][0], parts[-1][1])
+                if step == "oversized":
+                    added.add((place[0], step, place[1], depth + 1))
+                elif step != "base64+zip" or (place, layer.text[parts[0][0] : parts[-1][1]]) not in opened:
+                    decoded.append((step, parts))
+            for step, parts in _together(decoded):
+                inner = layer.replaced(parts)
+                if inner in seen:
+                    continue
+                seen.add(inner)
+                path = f"{steps}+{step}" if steps else step
+                found = {(k, *inner.outer(s, e), inner.text[s:e]) for s, k, e in scan(inner.text)}
+                for own in [p for n, p in decoded if n == step]:  # also alone: what stands before may end a find elsewhere
+                    alone, (lo, hi) = "".join(t for _, _, t in own), layer.outer(own[0][0], own[-1][1])
+                    for s, k, e in scan(alone):
+                        if not any(x[0] == k and lo <= x[1] and x[2] <= hi and alone[s:e] in x[3] for x in found):
+                            found.add((k, lo, hi, alone[s:e]))
+                added.update((lo, f"{KINDS[k][0]}@{path}", hi, depth + 1) for k, lo, hi, _ in found - told)
+                told |= found
+                packed = {(layer.outer(s, e), layer.text[s:e]) for s, e, _ in parts} if step == "base64+zip" else ()
+                work.append((inner, path, depth + 1, opened.union(packed)))
     return base, sorted(added)
 
 
