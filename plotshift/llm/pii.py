@@ -44,7 +44,7 @@ _LOCAL = "[A-Za-z0-9._%+-]"
 KINDS = (
     Kind("email", rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@", ("mail", "contact", "write"), 0.9, 1.0),
     Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", r"[0-9]\.[0-9]", ("ip", "address", "host", "server"), 0.6, 0.9),
-    Kind("card", r"[0-9](?:[\x20-]?[0-9])++", "[0-9][0-9]", ("card", "visa", "credit", "payment"), 0.8, 1.0, 13),
+    Kind("card", r"[0-9](?:[\x20-]?[0-9])++", r"[0-9][\x20-]?[0-9]", ("card", "visa", "credit", "payment"), 0.8, 1.0, 13),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+", ("phone", "call", "tel", "mobile"), 0.7, 1.0, 10),
     Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", "[0-9][0-9]", ("iban", "account", "konto", "bank"), 0.9, 1.0),
     Kind(
