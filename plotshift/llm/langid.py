@@ -9,14 +9,16 @@ The model is fitted on the driver on a sample bounded by ``SAMPLE`` texts, those
 lines are joined in twos and threes across texts so that switches occur. Prediction is one scan over whole texts: features
 are computed once per distinct word of a few megabytes, the recursions run over all chains of such a part side by side.
 
-Defined cases: null texts and texts without a letter are ``und`` with score 0, as all are if nothing is labelled; ties go to
+Defined cases: null texts and texts without a letter (Unicode category L) are ``und`` with score 0, as all are if nothing is labelled; ties go to
 the first language in order; rows are predicted one by one; extra columns are not looked at.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +31,6 @@ SAMPLE = 1200
 BITS = 15
 LEXICON = 300
 EPOCHS, RATE, PARTS = 4, 0.3, 12
-LETTER = np.zeros(256, bool)
-LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC3, 0x100)]] = True
-
-
 @dataclass
 class Model:
     labels: list[str]
@@ -79,6 +77,28 @@ def _features(words: Words, sample: np.ndarray, hashes: np.ndarray, model: Model
     return number, of
 
 
+@cache
+def _letters() -> np.ndarray:
+    """Of every code point whether its Unicode category is a letter's."""
+    return np.array([unicodedata.category(chr(c))[0] == "L" for c in range(0x110000)])
+
+
+def lettered(words: Words) -> np.ndarray:
+    """Whether each word holds a letter."""
+    buf = words.buf
+    at = np.flatnonzero((buf & 0xC0) != 0x80)  # first bytes of code points
+    lead = buf[at].astype(np.int64)
+    size = 1 + (lead >= 0xC0) + (lead >= 0xE0) + (lead >= 0xF0)
+    code = lead & np.array([0, 0x7F, 0x1F, 0x0F, 0x07])[size]
+    for j in range(1, 4):
+        more = np.flatnonzero(size > j)
+        code[more] = (code[more] << 6) | (buf[at[more] + j] & 0x3F)
+    sums = np.zeros(len(buf) + 1, np.int64)
+    sums[at + 1] = _letters()[code]
+    np.cumsum(sums, out=sums)
+    return sums[words.ends] > sums[words.starts]
+
+
 def _scores(model: Model, number: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
     return np.stack([np.bincount(of, model.weights[number, k], n) for k in range(len(model.labels))], axis=1)
 
@@ -186,16 +206,15 @@ def _predict(model: Model | None):
             words = split_words(texts, NOT_SPACE, True)
             if model is not None and len(words.starts):
                 gamma = label_words(model, words)
-                letters = np.concatenate([[0], np.cumsum(LETTER[words.buf])])
-                lettered = letters[words.ends] > letters[words.starts]
+                spoken = lettered(words)
                 best = gamma.argmax(axis=1)
-                gamma = np.concatenate([np.zeros((1, gamma.shape[1])), np.cumsum(gamma * lettered[:, None], axis=0)])
+                gamma = np.concatenate([np.zeros((1, gamma.shape[1])), np.cumsum(gamma * spoken[:, None], axis=0)])
                 total = np.diff(gamma[words.first], axis=0)
                 for i in np.flatnonzero(total.sum(axis=1) > 0).tolist():
                     k = int(total[i].argmax())
                     lang[i], score[i] = model.labels[k], min(1.0, float(total[i, k] / total[i].sum()))
                     own = slice(words.first[i], words.first[i + 1])
-                    mixed[i] = int((lettered[own] & (best[own] != k)).sum())
+                    mixed[i] = int((spoken[own] & (best[own] != k)).sum())
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc_id": batch.column("doc_id"),
