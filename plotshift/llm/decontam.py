@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plotshift.llm.blobs import runs
+from plotshift.llm.frames import numbered
 from plotshift.llm.text import ALNUM, U, slices, split_words
 from plotshift.session import materialize
 
@@ -201,6 +202,7 @@ def report(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents without an exact match, with the columns they came with."""
-    hit = find(docs, items).where("n_hit > 0").select(F.col("doc_id").alias("hit_id")).distinct()
-    return docs.join(hit, F.col("doc_id").cast("long").eqNullSafe(hit["hit_id"]), "left_anti")
+    """The documents without an exact match, with the columns they came with. Rows are told apart by a stored number, not by id."""
+    rows = numbered(docs)
+    hit = find(rows.select(F.col("number").alias("doc_id"), "row.text"), items).where("n_hit > 0").select(F.col("doc_id").alias("number"))
+    return rows.join(hit, "number", "left_anti").select("row.*")

@@ -13,8 +13,8 @@
    exactly on the full sets of the texts.
 
 Defined cases: null, empty and word-free texts have an empty set and stay alone; a text with fewer words than a shingle is
-one shingle; a null id stands behind all others and comes out as null again; rows with one id count as one document; extra
-columns stay with ``first_of_groups``.
+one shingle; a null id stands behind all others and comes out as null again; rows with one id count as one document in ``report``,
+while ``first_of_groups`` judges row by row; extra columns stay with it.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plotshift.llm.frames import numbered
 from plotshift.llm.graph import components, contracted, smallest_seen
 from plotshift.llm.text import LOWER, NOT_SPACE, slices, split_words, windows
 from plotshift.session import materialize
@@ -246,7 +247,17 @@ def report(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFrame:
 
 
 def first_of_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The documents that stand for their group, with the columns they came with."""
-    gone = groups(docs, size, percent).where("k <> comp").select("k").distinct()
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
-    return docs.join(gone, key == gone["k"], "left_anti")
+    """The documents that stand for their group, with the columns they came with.
+
+    Rows are told apart by a stored number; ids only order them: of a group the row with the smallest id stays, null ids last.
+    """
+    rows = numbered(docs)
+    labels = groups(rows.select(F.col("number").alias("doc_id"), "row.text"), size, percent)
+    linked = materialize(labels.where("k <> comp").select(F.col("k").alias("number"), "comp"), "linked")
+    members = linked.union(linked.select(F.col("comp").alias("number"), "comp").distinct())
+    ids = rows.select("number", F.col("row.doc_id").cast("long").alias("id"))
+    order = F.struct(F.col("id").isNull().alias("last"), "id", "number")
+    members = materialize(members.join(ids, "number").select("comp", "number", order.alias("order")), "members")
+    first = members.groupBy("comp").agg(F.min("order").alias("first")).select(F.col("first.number").alias("number"))
+    gone = members.select("number").join(first, "number", "left_anti")
+    return rows.join(gone, "number", "left_anti").select("row.*")
