@@ -5,7 +5,9 @@ is folded into one array of failed rule names and one verdict, and everything ha
 so neither copies nor a hot source matter, and a lost executor costs its own tasks only.
 
 Defined cases: a null text counts as empty; an empty text has no words and fails on its length; rows with the same id or
-text are judged one by one; extra columns are carried along by ``apply_rules`` and dropped by ``base_measures``.
+text are judged one by one; extra columns are carried along by ``apply_rules`` and dropped by ``base_measures``; the rules
+on stop words and word length are made for four languages: ``report`` asks them of every text, as its SQL does,
+``kept_documents`` only of texts whose letters, and label if there is one, can be of those languages.
 """
 
 from __future__ import annotations
@@ -26,23 +28,30 @@ STOP_WORDS = {
 }
 
 
+#: Letters that those languages are written with; a text with more than ``FOREIGN`` of its letters outside is in another one.
+ALPHABET = "A-Za-zÀÁÂÄÆÇÈÉÊËÍÎÏÑÓÔÖÙÚÛÜßàáâäæçèéêëíîïñóôöùúûüÿŒœŸªº"
+FOREIGN = 0.01
+
+
 @dataclass(frozen=True)
 class Rule:
-    """A text passes while ``low <= measure <= high``; an open end is None."""
+    """A text passes while ``low <= measure <= high``; an open end is None. ``listed``: made for the languages of
+    ``STOP_WORDS``, so the pipeline asks it of their texts only."""
 
     name: str
     measure: str
     low: float | None = None
     high: float | None = None
+    listed: bool = False
 
 
 #: The thresholds in use. Shares are per word or per line with a word.
 RULES = (
     Rule("too_short", "n_words", low=10),
     Rule("repetitive", "repeat_share", high=0.20),
-    Rule("word_length", "mean_word_length", low=1.5, high=25.0),
+    Rule("word_length", "mean_word_length", low=1.5, high=25.0, listed=True),
     Rule("symbols", "symbol_share", high=0.25),
-    Rule("stop_words", "stop_share", low=0.02),
+    Rule("stop_words", "stop_share", low=0.02, listed=True),
     Rule("repeated_lines", "dup_line_share", high=0.50),
     Rule("shouting", "mark_share", high=0.30),
 )
@@ -120,24 +129,39 @@ def _fails(rule: Rule) -> Column:
     return low | (value > rule.high) if rule.high is not None else low
 
 
-def apply_rules(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
+def listed(text: Column, lang: Column | None = None) -> Column:
+    """Whether a text can be in a language of ``STOP_WORDS``: by its letters, and by its label where it has one."""
+    size = lambda rule: F.length(text) - F.length(F.regexp_replace(text, rule, ""))
+    other = rf"[\p{{L}}&&[^{ALPHABET}]]"
+    written = F.when(text.rlike(other), size(other + "++") <= FOREIGN * size(r"\p{L}++")).otherwise(F.lit(True))
+    if lang is None:
+        return written
+    return written & F.coalesce(F.lower(F.regexp_extract(lang, "^[A-Za-z]+", 0)).isin("", *STOP_WORDS), F.lit(True))
+
+
+def apply_rules(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", asked: Column | None = None) -> DataFrame:
     """``df`` with its measures, ``failed_rules`` (names in the table's order) and ``kept``.
 
-    The base's two limits are compared in whole numbers, so that a text on the limit is judged alike everywhere.
+    The base's two limits are compared in whole numbers, so that a text on the limit is judged alike everywhere. Where
+    ``asked`` is false the rules of listed languages pass; without it they are asked of every text.
     """
     df = base_measures(df, text)
+
+    def fails(rule: Rule) -> Column:
+        return F.when(_fails(rule), asked).otherwise(F.lit(False)) if rule.listed and asked is not None else _fails(rule)
+
     base_failed = (F.col("q_n") < 10) | (100 * F.col("q_repeat") > 20 * F.col("q_n"))
     others = [r for r in rules if r.name not in BASE_RULES]
     named = {"too_short": F.col("q_n") < 10, "repetitive": 100 * F.col("q_repeat") > 20 * F.col("q_n")}
-    flags = [F.when(named[r.name] if r.name in named else _fails(r), F.lit(r.name)) for r in rules]
+    flags = [F.when(named[r.name] if r.name in named else fails(r), F.lit(r.name)) for r in rules]
     verdict = base_failed
     for r in others:
-        verdict = verdict | _fails(r)
+        verdict = verdict | fails(r)
     return df.withColumns({"base_failed": base_failed, "failed_rules": F.array_compact(F.array(*flags)), "kept": ~verdict})
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """One row per document with the base counts and the verdict."""
+    """One row per document with the base counts and the verdict of all rules, as the query's SQL states it for every text."""
     return apply_rules(docs.select("doc_id", "text")).select(
         "doc_id",
         F.col("q_n").cast("bigint").alias("n_words"),
@@ -151,9 +175,10 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """The documents that pass, with the columns they came with."""
+    """The documents that pass, with the columns they came with; the rules of listed languages are asked of their texts only."""
     whole = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("q_row"), "text")  # no name of theirs can clash
+    asked = listed(F.col("text"), F.col("q_row.lang") if "lang" in docs.columns else None)
     # A filter on a column that is only computed in the row is moved below the projections, where every lambda would compute
     # its arrays again; one that also needs the row's number stays above them.
-    judged = apply_rules(whole).withColumn("q_number", F.monotonically_increasing_id())
+    judged = apply_rules(whole, asked=asked).withColumn("q_number", F.monotonically_increasing_id())
     return judged.where(F.col("kept") & (F.col("q_number") >= 0)).select("q_row.*")
