@@ -9,7 +9,8 @@ a state sum to one, as the base's do.
    list's hashes with training counts as one row per hash bucket. One tokenisation serves everything after it.
 2. Counts. A bucket's rows meet in one task, which adds the counts up and answers each chunk with the counts and classes of
    its words. Chunks and answers meet, and texts become class numbers with the base score and the shares within classes.
-3. Baum-Welch. From a start on a bounded sample, each iteration runs forward and backward over all training texts, in
+3. Baum-Welch. From a start on the first ``WARM_TOKENS`` tokens of ``WARM_TEXTS`` texts, iterations go on until the likelihood
+   of all training texts settles (``SETTLED``). Each runs forward and backward over all training texts, in
    stretches of up to ``STRETCH`` tokens; expected counts per class and state are added up across partitions by a shuffle.
 4. Scores. The scaled forward recursion over whole texts gives the exact likelihood.
 
@@ -39,14 +40,16 @@ from plotshift.session import materialize
 HEAD, TAILS = 8192, 1024
 UNSEEN, ENDING = HEAD + TAILS, HEAD + TAILS + 1
 CLASSES = HEAD + TAILS + 2
-STATES, ITERATIONS, WARM_TEXTS, WARM_ITERATIONS = 8, 2, 300, 15
+STATES, WARM_TEXTS, WARM_TOKENS, WARM_ITERATIONS = 8, 300, 4000, 15
+#: Training ends when an iteration over all texts adds less than this share to the log-likelihood.
+SETTLED = 1e-3
 STRETCH = 256
-#: A word this often in one chunk may be among the most frequent.
-OFTEN = 4
 #: Weight of the base distribution in a state's emissions, in tokens.
 PRIOR = 1000.0
 CHUNKS = "chunk long, bucket long, ids array<long>, held array<boolean>, first binary, words binary, counts binary, tails binary"
-DOCS, FREQUENT = -1, -2
+DOCS = -1
+#: Groups that the buckets' most frequent words are merged in before the driver merges the rest.
+MERGED = 16
 
 
 def _chunks(n: int):
@@ -67,8 +70,7 @@ def _chunks(n: int):
             place[order] = np.arange(len(order))
             distinct, counts, tails = distinct[order], counts[order], tails[order]
             starts, sizes = blobs.runs(distinct % U(n))
-            often = counts >= OFTEN
-            rows = [(int(distinct[lo] % U(n)), slice(lo, lo + k)) for lo, k in zip(starts.tolist(), sizes.tolist())] + [(FREQUENT, often)]
+            rows = [(int(distinct[lo] % U(n)), slice(lo, lo + k)) for lo, k in zip(starts.tolist(), sizes.tolist())]
             empty = [None] * len(rows)
             yield pa.RecordBatch.from_pydict(
                 {
@@ -87,11 +89,19 @@ def _chunks(n: int):
     return run
 
 
-def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        words = np.frombuffer(b"".join(batch.column("words").to_pylist()), np.int64)
-        counts = np.frombuffer(b"".join(batch.column("counts").to_pylist()), np.int32)
-        yield pa.RecordBatch.from_pydict({"word": pa.array(words), "n": pa.array(counts.astype(np.int64))})
+def _frequent(kind: type):
+    """Of one group's rows: a row with the ``HEAD`` most frequent words by exact totals; ties by the word as a signed number."""
+
+    def run(table: pa.Table) -> pa.Table:
+        words, counts = blobs.joined(table, "words", np.int64), blobs.joined(table, "counts", kind)
+        distinct, which = np.unique(words, return_inverse=True)
+        total = np.bincount(which, counts, len(distinct)).astype(np.int64)
+        top = np.argsort(-total, kind="stable")[:HEAD]
+        top = top[total[top] > 0]
+        row = {"bucket": table.column("bucket")[:1], "words": [distinct[top].tobytes()], "counts": [total[top].tobytes()]}
+        return pa.table(row, schema=pa.schema({"bucket": pa.int64(), "words": pa.binary(), "counts": pa.binary()}))
+
+    return run
 
 
 def _answers(head: np.ndarray):
@@ -216,8 +226,8 @@ def log_likelihood(model: Model, kinds: np.ndarray, edges: np.ndarray) -> np.nda
     return np.add.reduceat(np.log10(scale[place, 0]), edges[:-1]) if len(edges) > 1 else np.empty(0)
 
 
-def expected(model: Model, kinds: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected counts of starts, moves and emissions (class by state) of the chains."""
+def expected(model: Model, kinds: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Expected counts of starts, moves and emissions (class by state) of the chains, and their log-likelihood."""
     emit, ahead, scale, row, place = _forward(model, kinds, edges)
     onward, back = emit / scale, np.ones_like(emit)
     for t in range(len(row) - 3, -1, -1):
@@ -232,7 +242,7 @@ def expected(model: Model, kinds: np.ndarray, edges: np.ndarray) -> tuple[np.nda
     start = state[: row[1]].sum(axis=0) if len(row) > 1 else np.zeros(len(model.start))
     own = state[place]
     by_class = np.stack([np.bincount(kinds, own[:, s], CLASSES) for s in range(own.shape[1])], axis=1)
-    return start, moves * model.moves, by_class
+    return start, moves * model.moves, by_class, float(np.log(scale).sum())
 
 
 def maximise(counts: Counts, start: np.ndarray, moves: np.ndarray, by_class: np.ndarray) -> Model:
@@ -267,11 +277,12 @@ def _parts(batch: pa.RecordBatch, limit: int = 1 << 18) -> Iterator[tuple[pa.Rec
 
 def _counted(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((CLASSES + STATES + 1, STATES))  # classes, then moves, then starts
+        sums = np.zeros((CLASSES + STATES + 2, STATES))  # classes, then moves, starts, and the log-likelihood
         for batch in batches:
             for _, kinds, edges in _parts(batch):
-                start, moves, by_class = expected(model, kinds, _stretches(edges))
-                sums += np.concatenate([by_class, moves, start[None]])
+                start, moves, by_class, gain = expected(model, kinds, _stretches(edges))
+                sums[:-1] += np.concatenate([by_class, moves, start[None]])
+                sums[-1, 0] += gain
         own = np.flatnonzero(sums.any(axis=1))
         yield pa.RecordBatch.from_pydict({"row": pa.array(own), **{f"s{s}": pa.array(sums[own, s]) for s in range(STATES)}})
 
@@ -292,9 +303,11 @@ def encode(docs: DataFrame) -> tuple[DataFrame, Counts]:
     """Texts as class numbers with their base scores (stored), and the training counts. ``docs``: doc_id, text, held."""
     n = blobs.buckets(docs)
     chunks = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "held").mapInArrow(_chunks(n), CHUNKS), "chunks")
-    often = chunks.where(F.col("bucket") == FREQUENT).select("words", "counts").mapInArrow(_frequent, "word long, n long")
-    top = often.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(HEAD).collect()
-    head = np.sort(np.array([r["word"] for r in top], np.int64).view(np.uint64))
+    top, schema = chunks.where("bucket >= 0").select("bucket", "words", "counts"), "bucket long, words binary, counts binary"
+    top = top.groupBy("bucket").applyInArrow(_frequent(np.int32), schema)
+    top = top.groupBy(F.pmod("bucket", F.lit(MERGED))).applyInArrow(_frequent(np.int64), schema).collect()  # MERGED rows
+    rows = pa.table({c: pa.array([r[c] for r in top], t) for c, t in (("bucket", pa.int64()), ("words", pa.binary()), ("counts", pa.binary()))})
+    head = np.sort(blobs.joined(_frequent(np.int64)(rows), "words", np.uint64)) if top else np.empty(0, np.uint64)
     asked = chunks.where("bucket >= 0").select("chunk", "bucket", "words", "counts", "tails")
     answers = materialize(asked.groupBy("bucket").applyInArrow(_answers(head), ANSWERS), "answers")
     totals = answers.where("chunk is null")
@@ -313,10 +326,11 @@ def encode(docs: DataFrame) -> tuple[DataFrame, Counts]:
 
 
 def train(coded: DataFrame, counts: Counts) -> Model:
-    """Baum-Welch: a warm start on a bounded sample, then iterations over all training texts."""
+    """Baum-Welch: a start on the beginnings of a few texts, then iterations over all training texts until the likelihood settles."""
     rng = np.random.default_rng(11)
     own = coded.where(~F.col("held_out")).select("classes", "n_tokens", "doc_id")
-    sample = own.where(F.col("n_tokens") <= 4000).orderBy(F.xxhash64("doc_id"), "doc_id").limit(WARM_TEXTS).collect()
+    begin = F.substring("classes", 1, 2 * WARM_TOKENS).alias("classes")
+    sample = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(WARM_TEXTS).select(begin).collect()
     noise = rng.gamma(2.0, 1.0, (CLASSES, STATES))
     prior = counts.mass / counts.all
     moves = np.full((STATES, STATES), 0.3 / STATES) + 0.7 * np.eye(STATES)
@@ -326,14 +340,18 @@ def train(coded: DataFrame, counts: Counts) -> Model:
         kinds = np.frombuffer(b"".join(bytes(r["classes"]) for r in sample), np.uint16)
         edges = _stretches(np.cumsum([0, *[len(r["classes"]) // 2 for r in sample]]))
         for _ in range(WARM_ITERATIONS):
-            model = maximise(counts, *expected(model, kinds, edges))
-        for _ in range(ITERATIONS):
-            schema = "row long, " + ", ".join(f"s{s} double" for s in range(STATES))
-            sums = np.zeros((CLASSES + STATES + 1, STATES))
-            counted = own.select("classes").mapInArrow(_counted(model), schema).groupBy("row").agg(*[F.sum(f"s{s}").alias(f"s{s}") for s in range(STATES)])
-            for r in counted.collect():  # one row per class and state
-                sums[r["row"]] = [r[f"s{s}"] for s in range(STATES)]
-            model = maximise(counts, sums[-1], sums[CLASSES:-1], sums[:CLASSES])
+            model = maximise(counts, *expected(model, kinds, edges)[:3])
+    schema, before = "row long, " + ", ".join(f"s{s} double" for s in range(STATES)), -math.inf
+    while sample:
+        sums = np.zeros((CLASSES + STATES + 2, STATES))
+        counted = own.select("classes").mapInArrow(_counted(model), schema).groupBy("row").agg(*[F.sum(f"s{s}").alias(f"s{s}") for s in range(STATES)])
+        for r in counted.collect():  # one row per class and state
+            sums[r["row"]] = [r[f"s{s}"] for s in range(STATES)]
+        likelihood = sums[-1, 0]
+        if not likelihood - before > SETTLED * abs(likelihood):
+            break
+        before = likelihood
+        model = maximise(counts, sums[-2], sums[CLASSES:-2], sums[:CLASSES])
     return model
 
 
