@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plotshift.llm import chat, decontam, hmm, langid, minhash, packing, pii, quality, secret_scan, substring
+from plotshift.llm import alignment, chat, decontam, hmm, langid, minhash, packing, pii, prefix_trie, quality, secret_scan, sharding, substring
 from plotshift.llm.frames import table
 from plotshift.llm.queries_sql import SQL  # noqa: F401
 
@@ -24,5 +24,8 @@ QUERIES = {
     "op8_positional_index": lambda s, d: decontam.report(table(s, d, "documents"), table(s, d, "benchmark")),
     "op9_best_two_fit": lambda s, d: packing.report(table(s, d, "documents")),
     "op10_block_anchors": lambda s, d: substring.report(table(s, d, "documents")),
+    "op11_external_shuffle": lambda s, d: sharding.report(table(s, d, "documents")),
+    "op12_galloping_alignment": lambda s, d: alignment.report(table(s, d, "documents")),
+    "op13_burst_trie": lambda s, d: prefix_trie.report(table(s, d, "conversations")),
     "pipeline": pipeline,
 }

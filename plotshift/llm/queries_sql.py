@@ -77,9 +77,38 @@ LEAKS = rf"""
            sha256(coalesce(xs, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
     FROM w LEFT JOIN p USING (doc_id) LEFT JOIN t USING (doc_id)"""
 
+#: Unsigned CRC-32 of an ASCII string, bit by bit.
+CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({x}, ''), lambda z: ascii(z)::BIGINT)),
+    lambda a, z: list_reduce([xor(a, z), 0, 0, 0, 0, 0, 0, 0, 0], lambda b, n: xor(b >> 1, 3988292384 * (b & 1)))))"""
+
+TRIE = f"""
+    WITH o AS (
+      SELECT conv_id, coalesce(role, '') AS r, coalesce(text, '') AS x,
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+                                md5(strlen(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, ''))) AS p
+      FROM conversations WHERE conv_id IS NOT NULL),
+    c AS (SELECT DISTINCT conv_id, {CRC.format(x="conv_id::VARCHAR")} % 9 AS h, conv_id - conv_id % 5 AS donor FROM o),
+    b AS (SELECT c.conv_id, p, r, x FROM c JOIN o ON o.conv_id = c.donor AND p <= h
+          UNION ALL SELECT c.conv_id, p, r, x FROM c JOIN o ON o.conv_id = c.conv_id AND p > h),
+    q AS (SELECT c.conv_id, coalesce(list({{'r': r, 'x': x}} ORDER BY p) FILTER (WHERE p IS NOT NULL), []) AS seq FROM c LEFT JOIN b USING (conv_id) GROUP BY c.conv_id),
+    m AS (SELECT conv_id, len(seq) AS n, unnest(range(0, len(seq) + 1)) AS d, seq FROM q),
+    k AS (SELECT conv_id, d, n = d AS ends, min(conv_id) OVER (PARTITION BY d, md5(seq[1:d]::VARCHAR), seq[1:d]) AS node,
+                 CASE WHEN d > 0 THEN strlen(seq[d].x) ELSE 0 END AS bytes FROM m),
+    v AS (SELECT node, d, count(*) AS n_convs, any_value(bytes) AS bytes, min(CASE WHEN d > 0 THEN up END) AS parent,
+                 sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256
+          FROM (SELECT *, lag(node) OVER (PARTITION BY conv_id ORDER BY d) AS up FROM k) GROUP BY node, d),
+    g AS (SELECT parent AS node, d - 1 AS d, count(*) AS n FROM v WHERE parent IS NOT NULL GROUP BY 1, 2),
+    t AS (SELECT DISTINCT a.node, a.d, z.node AS below, z.d AS e FROM k a JOIN k z ON a.conv_id = z.conv_id AND z.d >= a.d),
+    s AS (SELECT t.node, t.d, count(*) FILTER (WHERE g.n IS NULL) AS n_leaves, sum((w.n_convs - 1) * w.bytes) AS saved
+          FROM t JOIN v w ON w.node = t.below AND w.d = t.e LEFT JOIN g ON g.node = t.below AND g.d = t.e GROUP BY t.node, t.d)
+    SELECT v.node AS conv_id, v.d AS depth, v.parent AS parent_conv_id, v.n_convs, coalesce(g.n, 0)::BIGINT AS n_children,
+           s.n_leaves, s.saved::BIGINT AS saved_tokens, v.ends_sha256
+    FROM v JOIN s ON s.node = v.node AND s.d = v.d LEFT JOIN g ON g.node = v.node AND g.d = v.d"""
+
 SQL = {
     "op4_bottom_k_near_dedup": NEAR,
     "op6_quality_rules": _quality(),
     "op8_positional_index": LEAKS,
     "op10_block_anchors": REPEATS,
+    "op13_burst_trie": TRIE,
 }
