@@ -1,10 +1,11 @@
 """Alignment of two tokenizers' outputs by galloping intersection of their token ends.
 
 Both tokenizers cut the same bytes, so a place where tokens of both end cuts both sequences. The ends of a text are two
-ascending lists. The shorter drives: each of its ends goes up the longer one in doubling steps and is then found by binary
-search between the last two steps, so lists of very different lengths cost the shorter's length times a logarithm. The
+ascending lists. The shorter drives: its ends, a run at a time, go up the longer one in doubling steps and are then found by
+binary search between the last two, so lists of very different lengths cost the shorter's length times a logarithm. The
 common indices slice the tokens into groups; the differences of neighbouring indices are the numbers of tokens of either
-side in a group, which is all that is stored beside the ids. A link joins the two tokens that end a group.
+side in a group. Stored beside the ids is a byte per token that tells whether it ends a group. A link joins the two tokens
+that end a group.
 
 ``align`` is one pass over the texts without a shuffle. What a pair of ids is linked for in the whole corpus is summed per
 task first. The number of different pairs does not grow with the corpus: of two tokens that end together one is a suffix of
@@ -14,17 +15,17 @@ public vocabularies) is broadcast to a second pass over the stored alignment.
 Defined cases: a null or empty text, and one whose tokens of either side do not spell a space and the text, has no tokens
 and no groups; special tokens' strings inside a text are text; repeated rows, null ids and ties stay rows of their own; a
 text of any length is whole (its ids and ends are held in arrays, its digest is built in blocks); an empty table gives no
-rows; other columns stay as they are, but for the five names of ``COLUMNS``, which replace columns of the same name.
+rows; other columns stay as they are, but for the names of ``COLUMNS``, which replace columns of the same name.
 """
 
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,10 +34,14 @@ from plotshift.llm.packing import Encoder, _byte_letters
 from plotshift.llm.text import slices
 from plotshift.session import materialize
 
-#: Ids of both sides, and how many of them each group has.
-COLUMNS = ("a_ids", "b_ids", "a_sizes", "b_sizes")
+#: Ids of both sides (little-endian, two bytes each, or four for a vocabulary above 65536), and a byte per id: 1 at a group's end.
+COLUMNS = ("a_ids", "b_ids", "a_ends", "b_ends")
 #: Groups whose text form is put together at a time.
 BLOCK = 1 << 16
+#: Ends that go up together.
+RUN = 1024
+#: Bytes of text that a task encodes at a time, and tokens that it reads at a time, one text at least.
+SLICE = 1 << 20
 
 
 def vocabularies() -> tuple[str, str]:
@@ -78,90 +83,109 @@ class Pieces:
         return [np.array(ids, np.uint32) for ids in self.model.encode([t.decode() for t in texts], num_threads=1)]
 
 
-def gallop(short: list[int], long: list[int]) -> tuple[list[int], list[int]]:
-    """Indices in both ascending lists of the values they share."""
-    mine, theirs = [], []
+def gallop(short: np.ndarray, long: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indices in both ascending arrays of the values they share.
+
+    A run of ``RUN`` values goes up together: doubling steps until the longer array has passed its last value, then a
+    binary search of each value between where the run before ended and there.
+    """
+    mine, theirs = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     n, lo = len(long), 0
-    for i, value in enumerate(short):
-        hi, step = lo, 1
-        while hi < n and long[hi] < value:  # doubling steps up
-            lo = hi + 1
+    for at in range(0, len(short), RUN):
+        run = short[at : at + RUN]
+        hi, step = lo, len(run)
+        while hi < n and long[hi] < run[-1]:  # doubling steps up
             hi += step
             step += step
-        lo = bisect_left(long, value, lo, min(hi, n))  # binary search between the last two
-        if lo == n:
-            break
-        if long[lo] == value:
-            mine.append(i)
-            theirs.append(lo)
-            lo += 1
-    return mine, theirs
+        between = long[lo : hi + 1]
+        place = np.searchsorted(between, run)  # binary search between the last two
+        same = np.flatnonzero(between[np.minimum(place, len(between) - 1)] == run) if len(between) else mine[0]
+        mine.append(at + same)
+        theirs.append(lo + place[same])
+        lo += int(place[-1])
+    return np.concatenate(mine), np.concatenate(theirs)
 
 
 def common_ends(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Indices in ``a`` and in ``b`` of their common values; the shorter drives."""
-    if len(a) <= len(b):
-        i, j = gallop(a.tolist(), b.tolist())
-    else:
-        j, i = gallop(b.tolist(), a.tolist())
-    return np.array(i, np.int64), np.array(j, np.int64)
+    return gallop(a, b) if len(a) <= len(b) else gallop(b, a)[::-1]
 
 
 def _aligned(first: str, second: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sides = ByteLevel(first), Pieces(second)
         sizes_of = [np.array([len(x) for x in side.bytes], np.int64) for side in sides]
-        for batch, texts in slices(batches):
-            out: list[list[np.ndarray]] = [[], [], [], []]
+        for batch, texts in slices(batches, SLICE):
+            out: list[list[bytes]] = [[], [], [], []]
             for text, *ids in zip(texts, *(side(texts) for side in sides)):
                 spelt = b" " + text
                 if not text or any(b"".join(side.bytes[x].tolist()) != spelt for side, x in zip(sides, ids)):
                     ids = [np.empty(0, np.uint32)] * 2
-                ends = common_ends(*(np.cumsum(n[x]) for n, x in zip(sizes_of, ids)))
-                for column, values in zip(out, (*ids, *(np.diff(e, prepend=-1) for e in ends))):
-                    column.append(values)
+                found = common_ends(*(np.cumsum(n[x]) for n, x in zip(sizes_of, ids)))
+                for i, (side, x, last) in enumerate(zip(sides, ids, found)):
+                    ends = np.zeros(len(x), np.uint8)
+                    ends[last] = 1
+                    out[i].append(x.astype("<u2" if len(side.bytes) <= 1 << 16 else "<u4").tobytes())
+                    out[i + 2].append(ends.tobytes())
             rest = {n: batch.column(n) for n in batch.schema.names if n not in COLUMNS}
-            yield pa.RecordBatch.from_pydict(rest | {n: _lists(v) for n, v in zip(COLUMNS, out)})
+            yield pa.RecordBatch.from_pydict(rest | {n: pa.array(v, pa.binary()) for n, v in zip(COLUMNS, out)})
 
     return run
 
 
-def _lists(values: list[np.ndarray]) -> pa.ListArray:
-    offsets = np.cumsum([0, *map(len, values)])
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([[], *values]).astype(np.int32)))
-
-
 def align(docs: DataFrame, first: str | None = None, second: str | None = None) -> DataFrame:
-    """``docs`` with the ids of both tokenizers and the groups' numbers of tokens (``COLUMNS``)."""
+    """``docs`` with the ids of both tokenizers and the ends of their groups (``COLUMNS``)."""
     kept = [f for f in docs.schema.fields if f.name not in COLUMNS]
-    schema = T.StructType([*kept, *[T.StructField(c, T.ArrayType(T.IntegerType())) for c in COLUMNS]])
+    schema = T.StructType([*kept, *[T.StructField(c, T.BinaryType()) for c in COLUMNS]])
     paths = vocabularies()
     return docs.select(*[f"`{f.name}`" for f in kept]).mapInArrow(_aligned(first or paths[0], second or paths[1]), schema)
 
 
-def _flat(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
-    """All values of a list column and where each row's begin."""
-    lists = batch.column(name)
-    offsets = lists.offsets.to_numpy()
-    return lists.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]].astype(np.int64), (offsets - offsets[0]).astype(np.int64)
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of about ``SLICE`` tokens, so that memory does not follow the batch size."""
+    sizes = np.cumsum([0, *pc.binary_length(batch.column("a_ends")).to_pylist()])
+    lo = 0
+    while lo < batch.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(sizes, sizes[lo] + SLICE, "right")) - 1)
+        yield batch.slice(lo, hi - lo)
+        lo = hi
 
 
-def _linked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """A key per link (the two ids) and where each row's links begin."""
-    keys = []
-    for side in "ab":
-        ids, _ = _flat(batch, f"{side}_ids")
-        sizes, first = _flat(batch, f"{side}_sizes")  # the sizes of all groups of a row add up to its tokens
-        keys.append(ids[np.cumsum(sizes) - 1])
-    return keys[0] << 32 | keys[1], first
+def _side(batch: pa.RecordBatch, side: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of all rows, the places among them that end groups, and where each row's ids and groups begin."""
+    ids, ends = (b"".join(batch.column(f"{side}_{c}").to_pylist()) for c in ("ids", "ends"))
+    first = np.cumsum([0, *pc.binary_length(batch.column(f"{side}_ends")).to_pylist()])
+    last = np.flatnonzero(np.frombuffer(ends, np.uint8))
+    values = np.frombuffer(ids, f"<u{len(ids) // max(len(ends), 1) or 2}").astype(np.int64)
+    return values, last, first, np.searchsorted(last, first)
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        pairs, n = np.unique(_linked(batch)[0], return_counts=True)
+    for part in (p for batch in batches for p in _slices(batch)):
+        a, b = (ids[last] for ids, last, _, _ in (_side(part, s) for s in "ab"))
+        pairs, n = np.unique(a << 32 | b, return_counts=True)
         yield pa.RecordBatch.from_pydict({"pair": pa.array(pairs, pa.int64()), "n": pa.array(n, pa.int64())})
 
 
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in (p for batch in batches for p in _slices(batch)):
+        sides = []
+        for ids, last, _, of in (_side(part, s) for s in "ab"):
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, last + 1), pa.int32()), pa.array(ids, pa.int32()))
+            sides.append((lists, of))
+        groups = pa.ListArray.from_arrays(pa.array(sides[0][1], pa.int32()), pa.StructArray.from_arrays([x for x, _ in sides], ["a", "b"]))
+        rest = {n: part.column(n) for n in part.schema.names if n not in COLUMNS}
+        yield pa.RecordBatch.from_pydict(rest | {"groups": groups})
+
+
+def groups(aligned: DataFrame) -> DataFrame:
+    """The result of :func:`align` with a column ``groups`` in place of its packed ones: the ids of both sides per group."""
+    kept = [f for f in aligned.schema.fields if f.name not in (*COLUMNS, "groups")]
+    ids = T.ArrayType(T.IntegerType())
+    schema = T.StructType([*kept, T.StructField("groups", T.ArrayType(T.StructType([T.StructField("a", ids), T.StructField("b", ids)])))])
+    return aligned.select(*[f"`{f.name}`" for f in kept], *COLUMNS).mapInArrow(_grouped, schema)
+
+
 def pair_counts(aligned: DataFrame) -> DataFrame:
     """(a_id, b_id, n): how many links of the corpus hold each pair."""
     counts = aligned.select(*COLUMNS).mapInArrow(_counted, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
@@ -206,20 +230,18 @@ def _reported(counts):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs, numbers, leads = counts.value
-        for batch in batches:
-            keys, first = _linked(batch)
-            at = np.searchsorted(pairs, keys)
-            held = np.append(0, np.cumsum(numbers[at]))[first] if len(keys) else np.zeros(len(first), np.int64)
-            best = np.append(0, np.cumsum(leads[at]))[first] if len(keys) else held
-            (a, of_a), (b, of_b) = _flat(batch, "a_ids"), _flat(batch, "b_ids")
-            n_a, n_b = _flat(batch, "a_sizes")[0], _flat(batch, "b_sizes")[0]
+        for part in (p for batch in batches for p in _slices(batch)):
+            (a, last_a, of_a, first), (b, last_b, of_b, _) = _side(part, "a"), _side(part, "b")
+            at = np.searchsorted(pairs, a[last_a] << 32 | b[last_b])
+            held, best = (np.append(0, np.cumsum(x[at]))[first] for x in (numbers, leads))
+            n_a, n_b = np.diff(last_a, prepend=-1), np.diff(last_b, prepend=-1)
             spelled = [
                 _spelled(a[p:q], b[r:s], n_a[lo:hi], n_b[lo:hi]) if hi > lo else ""
                 for p, q, r, s, lo, hi in zip(of_a, of_a[1:], of_b, of_b[1:], first, first[1:])
             ]
-            numbers_of = {"n_a": np.diff(of_a), "n_b": np.diff(of_b), "n_groups": np.diff(first), "n_links": np.diff(first), "n_best": np.diff(best), "count_sum": np.diff(held)}
-            columns = {k: pa.array(v, pa.int64()) for k, v in numbers_of.items()}
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id")} | columns | {"groups_sha256": pa.array(spelled, pa.string())})
+            numbers_of = {"n_a": of_a, "n_b": of_b, "n_groups": first, "n_links": first, "n_best": best, "count_sum": held}
+            columns = {k: pa.array(np.diff(v), pa.int64()) for k, v in numbers_of.items()}
+            yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id")} | columns | {"groups_sha256": pa.array(spelled, pa.string())})
 
     return run
 

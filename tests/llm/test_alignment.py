@@ -72,23 +72,24 @@ def test_report(docs):
 
 def test_groups_spell_the_text(docs):
     sides = alignment.ByteLevel(alignment.vocabularies()[0]), alignment.Pieces(alignment.vocabularies()[1])
-    rows = alignment.align(docs)
-    assert rows.columns == ["doc_id", "text", "pair", *alignment.COLUMNS]
-    for r in rows.collect():
-        for side, ids, sizes in zip(sides, (r.a_ids, r.b_ids), (r.a_sizes, r.b_sizes)):
-            assert sum(sizes) == len(ids)
-            assert not ids or b"".join(side.bytes[ids]) == (" " + r.text).encode()
+    aligned = alignment.align(docs)
+    assert aligned.columns == ["doc_id", "text", "pair", *alignment.COLUMNS]
+    for r in alignment.groups(aligned).collect():
+        whole = {b"".join(side.bytes[i] for g in r.groups for i in g[k]) for k, side in enumerate(sides)}
+        assert whole in ({b""}, {(" " + (r.text or "")).encode()})
+        assert all(g.a and g.b for g in r.groups)
 
 
-def test_gallop():
+@pytest.mark.parametrize("run", [1, 7, 1024])
+def test_gallop(monkeypatch, run):
+    monkeypatch.setattr(alignment, "RUN", run)
     rng = random.Random(3)
     for n, m in ((0, 5), (5, 0), (1, 1000), (40, 1000), (300, 300), (1000, 3)):
         a, b = sorted(rng.sample(range(2000), n)), sorted(rng.sample(range(2000), m))
         both = sorted(set(a) & set(b))
-        i, j = alignment.gallop(a, b)
-        assert [a[x] for x in i] == both == [b[x] for x in j]
-        i, j = alignment.common_ends(alignment.np.array(a), alignment.np.array(b))
-        assert [a[x] for x in i] == both == [b[x] for x in j]
+        for find in (alignment.gallop, alignment.common_ends):
+            i, j = find(alignment.np.array(a, int), alignment.np.array(b, int))
+            assert [a[x] for x in i] == both == [b[x] for x in j]
 
 
 def test_digest_in_blocks(monkeypatch):
@@ -103,5 +104,12 @@ def test_digest_in_blocks(monkeypatch):
     assert whole == hashlib.sha256(";".join(parts).encode()).hexdigest()
 
 
+def test_slices(monkeypatch):
+    monkeypatch.setattr(alignment, "SLICE", 5)
+    batch = alignment.pa.RecordBatch.from_pydict({"a_ends": alignment.pa.array([b"", b"123", b"12", b"1234567", b"", b"1"])})
+    parts = [p.column("a_ends").to_pylist() for p in alignment._slices(batch)]
+    assert parts == [[b"", b"123", b"12"], [b"1234567"], [b"", b"1"]]
+
+
 def test_empty_table(docs):
     assert alignment.report(docs.limit(0)).count() == 0
