@@ -176,12 +176,25 @@ def geojson_scan(spark, sf_dir):
     return rounded(shapes.with_core(df).select("fid", "geometry_type", "change_type", "urban_type", "date0", "area", "perimeter"))
 
 
+def geojson_collection(spark, sf_dir):
+    """Parcels as feature collections and back: notes full of quotes, brackets and escapes, and some polygons in two parts."""
+    note = F.format_string('}{"[\\%d\n]', "fid")
+    twice = F.when(F.expr("fid % 5 = 0"), F.concat("rings", "rings")).otherwise(F.col("rings"))
+    df = parcels(spark, sf_dir).withColumns({"parcel": F.col("fid"), "note": note, "rings": twice})
+    folder = f"{shared_dir(spark)}/collection-{uuid.uuid4().hex}"
+    geojson.write_geojson(df, folder, ["parcel", "note", "change_type", "date0"])
+    back = geojson.read_geojson(spark, folder, "parcel bigint, note string, change_type string, date0 string")
+    columns = ["parcel", "geometry_type", "note", "change_type", "date0", "outlines", "area"]
+    outlines = F.size(F.filter("rings", lambda r: ~r["hole"])).cast("double")
+    return rounded(shapes.with_core(back).withColumn("outlines", outlines).select(*columns))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         train_gbt, train_gbt_early_stop, train_gbt_leafy, train_gbt_columns, train_rf, train_logreg, train_svm_rff, train_mlp,
         train_mlp_two_blocks, train_adaboost, train_neighbors, importances_top10, training_curve, cv_compare, pca_fixed,
         pca_var95, pca_embeddings, pipeline_ensemble, pipeline_boosting, pipeline_selection, submission_csv,
-        submission_names, geojson_scan,
+        submission_names, geojson_scan, geojson_collection,
     )
 }

@@ -13,4 +13,9 @@ SQL = {
     "submission_names": with_(PARCELS) + f" SELECT fid AS Id, CASE lab {_names} END AS change_type FROM parcels WHERE split = 'test'",
     "geojson_scan": with_(PARCELS, VERTICES)
     + f" SELECT fid, geometry_type, change_type, urban_type, date0, {r('area')} AS area, {r('perimeter')} AS perimeter FROM geo",
+    "geojson_collection": with_(PARCELS, VERTICES)
+    + r""" SELECT fid AS parcel, CASE WHEN fid % 5 = 0 AND kind IN ('star', 'bow') THEN 'MultiPolygon' ELSE geometry_type END AS geometry_type,
+    '}{"[\' || fid || chr(10) || ']' AS note, change_type, date0,
+    CASE kind WHEN 'null' THEN NULL WHEN 'empty' THEN 0.0 ELSE CASE WHEN fid % 5 = 0 THEN 2.0 ELSE 1.0 END END AS outlines, """
+    + r("CASE WHEN fid % 5 = 0 THEN 2 ELSE 1 END * area") + " AS area FROM geo",
 }

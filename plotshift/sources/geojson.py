@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plotshift.sources import collection
 from plotshift.vocabulary import GEOMETRY_TYPE
 
 
@@ -34,14 +38,15 @@ def _tabular(features: DataFrame) -> DataFrame:
 
 
 def read_geojson(spark: SparkSession, path: str, properties: str) -> DataFrame:
-    """A feature collection in one JSON document; ``fid`` is the position in the file.
+    """Feature collections, each one JSON document; ``fid`` is the feature's position in its file.
 
-    ``properties`` lists the columns to read, for example ``"change_type string, date0 string"``. One document is one
-    task, so ingest it once and keep working on the Parquet copy.
+    ``properties`` lists the columns to read, for example ``"change_type string, date0 string"``. A file of any size is
+    read by as many tasks as it has splits, see :mod:`plotshift.sources.collection`.
     """
-    feature = ", ".join(f"{k}: {v}" for k, v in _schema(properties).items())
-    doc = spark.read.schema(f"features ARRAY<STRUCT<{feature}>>").option("multiLine", True).json(path)
-    return _tabular(doc.select(F.posexplode("features").alias("fid", "f")).withColumn("fid", F.col("fid").cast("long")))
+    fields = _schema(properties)
+    features = collection.features(spark, path)
+    f = F.from_json("text", f"type STRING, geometry {fields['geometry']}, properties {fields['properties']}")
+    return _tabular(features.select("fid", f.alias("f")))
 
 
 def read_geojson_lines(spark: SparkSession, path: str, properties: str, key: str = "fid") -> DataFrame:
@@ -55,9 +60,35 @@ def read_geojson_lines(spark: SparkSession, path: str, properties: str, key: str
     )
 
 
+def _feature(properties: list[str]) -> Column:
+    """A row as a GeoJSON feature: one outline with its holes is a polygon, several outlines are a multi-polygon."""
+    ring = lambda r: F.transform(r["pts"], lambda p: F.array(p["x"], p["y"]))
+    outlines = F.filter(F.sequence(F.lit(0), F.size("rings") - 1), lambda i: ~F.get("rings", i)["hole"])
+    last = lambda i: F.coalesce(F.get(outlines, i + 1), F.size("rings"))
+    polygons = F.transform(outlines, lambda at, i: F.transform(F.slice("rings", at + 1, last(i) - at), ring))
+    shape = lambda kind, coordinates: F.to_json(F.struct(F.lit(kind).alias("type"), coordinates.alias("coordinates")))
+    several = F.size(F.filter("rings", lambda r: ~r["hole"])) > 1
+    geometry = F.when(several, shape("MultiPolygon", polygons)).when(F.col("rings").isNotNull(), shape("Polygon", F.transform("rings", ring)))
+    text = F.to_json(F.struct(*properties), {"ignoreNullFields": "false"})
+    return F.format_string('{"type": "Feature", "geometry": %s, "properties": %s}', F.coalesce(geometry, F.lit("null")), text)
+
+
 def write_geojson_lines(df: DataFrame, path: str, properties: list[str]) -> None:
-    """One polygon feature per line, the layout :func:`read_geojson_lines` reads."""
-    coordinates = F.expr("transform(rings, r -> transform(r.pts, p -> array(p.x, p.y)))")
-    geometry = F.when(F.col("rings").isNotNull(), F.struct(F.lit("Polygon").alias("type"), coordinates.alias("coordinates")))
-    feature = F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), F.struct(*properties).alias("properties"))
-    df.select(F.to_json(feature).alias("value")).write.text(path)
+    """One feature per line, the layout :func:`read_geojson_lines` reads."""
+    df.select(_feature(properties).alias("value")).write.text(path)
+
+
+def write_geojson(df: DataFrame, path: str, properties: list[str]) -> None:
+    """A feature collection per partition of ``df``, the layout :func:`read_geojson` reads."""
+    df.select(_feature(properties).alias("value")).mapInArrow(_collected, "value string").write.text(path)
+
+
+def _collected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    line = lambda *texts: pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["value"])
+    yield line('{"type": "FeatureCollection", "features": [')
+    first = True
+    for batch in batches:
+        features = batch.column("value").to_pylist()
+        yield line(*[text if first and not i else "," + text for i, text in enumerate(features)])
+        first = first and not features
+    yield line("]}")
