@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from plotshift.operators import boosting, categorical, dates, evaluate, numeric, shapes, train
 from plotshift.operators.boosting import HistogramBoosting
+from plotshift.operators.network import Network
 from plotshift.plans import pipelines
 from plotshift.plans.common import rounded
 from plotshift.plans.tables import MEASURES, NUMBERS, blend_argmax, measured
@@ -42,12 +43,13 @@ def wide_columns() -> list[str]:
     return [*MEASURES, *[f"days_between_{i}_{i + 1}" for i in range(4)], *bands_of]
 
 
-def wide_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+def wide_matrix(spark: SparkSession, sf_dir: str, scaled: bool = False) -> DataFrame:
     """All numbers of the training parcels, medians for what is missing; ``held`` marks a fifth of each class."""
     names = wide_columns()
     df = dates.with_gaps(dates.parse_dates(shapes.with_bounds(shapes.with_core(parcels(spark, sf_dir, "train")))))
     df = materialize(df.select("fid", F.col("lab").alias("label"), *[F.col(c).cast("double").alias(c) for c in names]), "measures")
-    df = train.assemble(numeric.fill_median(df, names), names).select("fid", "label", "features")
+    df = numeric.fill_median(df, names)
+    df = train.assemble(numeric.standard_scale(df, df, names) if scaled else df, names).select("fid", "label", "features")
     df = evaluate.with_sample_weights(evaluate.stratified_split(df, "label"), "label").withColumn("held", ~F.col("is_train"))
     return materialize(df.drop("is_train"), "matrix")
 
@@ -113,16 +115,28 @@ def train_svm_rff(spark, sf_dir):
     return _validated(train.FourierSVM(components=64, rounds=10), matrix(spark, sf_dir))
 
 
+def _netted(spec: Network, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores on the held rows, with the epochs that were run and the best of them."""
+    df = wide_matrix(spark, sf_dir, scaled=True)
+    model = replace(spec, validation="held").fit(df)
+    run = evaluate.scores(model.transform(df.where("held")))
+    return rounded(run.withColumns({"epochs": F.lit(len(model.curve)), "best_epoch": F.lit(model.best_epoch)}), 4)
+
+
 def train_mlp(spark, sf_dir):
-    return _validated(train.Perceptron(hidden=(64, 32), rounds=25), matrix(spark, sf_dir))
+    """Three normalised layers with dropout and class weights; ten epochs without a better loss end it."""
+    return _netted(Network(), spark, sf_dir)
 
 
 def train_mlp_two_blocks(spark, sf_dir):
-    """Net on the date block and the shape block, joined into one vector."""
-    df = matrix(spark, sf_dir).drop("features")
-    df = train.assemble(df, [c for c in NUMBERS if c.startswith("days")], "dates")
-    df = train.assemble(df, [c for c in NUMBERS if not c.startswith("days")], "shape")
-    return _validated(train.Perceptron(hidden=(32, 16), rounds=15), train.assemble(df, ["dates", "shape"]))
+    """A branch over gaps and bands, which change with the dates, and one over the shape, joined in front of the trunk."""
+    names = wide_columns()
+    shape = tuple(i for i, c in enumerate(names) if c in MEASURES)
+    dated = tuple(i for i, c in enumerate(names) if c not in MEASURES)
+    spec = Network(
+        columns=(dated, shape), branch=(128,), trunk=(256,), dropout=(0.3,), activation="swish", trunk_norm=False, l2=0.0, decay=1.0, epochs=100
+    )
+    return _netted(spec, spark, sf_dir)
 
 
 def train_adaboost(spark, sf_dir):
