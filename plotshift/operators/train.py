@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from plotshift.operators.evaluate import argmax_array, scores, with_sample_weights
-from plotshift.session import materialize
+from plotshift.session import materialize, materialize_at, remove
 from plotshift.vocabulary import SEED
 
 CLASSES = 6
@@ -65,19 +65,22 @@ class OneVsRestModel:
     def __init__(self, models: list, scale: float):
         self.models, self.scale = models, scale
 
-    def transform(self, df: DataFrame) -> DataFrame:
-        out = df.drop("probability")
+    def margins(self, df: DataFrame, out: str) -> DataFrame:
+        """``df`` with one margin per class, as array ``out``."""
+        k = len(self.models)
         for c, m in enumerate(self.models):
             m = m.copy().setRawPredictionCol(f"_raw{c}").setPredictionCol("")
             if m.hasParam("probabilityCol"):
                 m = m.setProbabilityCol("")
-            out = m.transform(out)
-        k = len(self.models)
+            df = m.transform(df)
         margins = F.array(*[F.get(vector_to_array(f"_raw{c}"), F.lit(1)) * self.scale for c in range(k)])
-        out = out.withColumn("_m", margins)
+        return df.withColumn(out, margins).drop(*[f"_raw{c}" for c in range(k)])
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        out = self.margins(df.drop("probability"), "_m")
         out = out.withColumn("_e", F.expr("transform(_m, v -> exp(v - array_max(_m)))"))
         share = F.expr("transform(_e, v -> v / aggregate(_e, 0D, (s, x) -> s + x))")
-        return _with_prediction(out, share).drop("_m", "_e", *[f"_raw{c}" for c in range(k)])
+        return _with_prediction(out, share).drop("_m", "_e")
 
     def importances(self) -> np.ndarray:
         return np.mean([m.featureImportances.toArray() for m in self.models], axis=0)
@@ -196,11 +199,16 @@ def balanced_copies(df: DataFrame, label: str, key: str = "fid") -> DataFrame:
 
 @dataclass(frozen=True)
 class FourierSVM:
-    """Kernel machine with a Gaussian kernel, approximated by random cosine features and linear machines."""
+    """Kernel machine with a Gaussian kernel, approximated by random cosine features and linear machines.
+
+    Margins become probabilities by one sigmoid per class, fitted on margins of rows that the machine behind them has not
+    seen (``folds`` parts, equal feature vectors in one part), and divided by their sum.
+    """
 
-    components: int = 128
+    components: int = 256
     rounds: int = 50
     penalty: float = 1e-3
+    folds: int = 3
     classes: int = CLASSES
 
     def fit(self, df: DataFrame, label: str = "label") -> "FourierModel":
@@ -211,15 +219,74 @@ class FourierSVM:
         b = rng.uniform(0, 2 * math.pi, self.components)
         lift = lambda rows: _fourier(rows, w, b)
         make = lambda: LinearSVC(featuresCol="_lifted", maxIter=self.rounds, regParam=self.penalty)
-        return FourierModel(one_vs_rest(lift(df), make, label, self.classes, scale=1.0), lift)
+        part = F.pmod(F.xxhash64(vector_to_array("features")), F.lit(self.folds)).cast("int")
+        rows = lift(df.select("features", label)).withColumn("_part", part).persist()
+        try:
+            fit = lambda some: one_vs_rest(some, make, label, self.classes, scale=1.0)
+            unseen = None
+            for k in range(self.folds):
+                held = fit(rows.where(F.col("_part") != k)).margins(rows.where(F.col("_part") == k), "margins").select(label, "margins")
+                unseen = held if unseen is None else unseen.unionByName(held)
+            stored, path = materialize_at(unseen, "margins")
+            sigmoids = fit_sigmoids(stored, label, self.classes)
+            remove(df.sparkSession, path)
+            return FourierModel(fit(rows), lift, sigmoids)
+        finally:
+            rows.unpersist()
+
+
+def fit_sigmoids(df: DataFrame, label: str, classes: int, column: str = "margins", steps: int = 50) -> list[tuple[float, float]]:
+    """(slope, offset) of each class's sigmoid over its margin, by Newton steps; one aggregate over ``df`` a step, all classes at once.
+
+    Targets are a little inside 0 and 1 by the classes' sizes, so separable classes keep a finite slope. A class without
+    rows, or with all of them, has slope 0.
+    """
+    y = [(F.col(label) == c).cast("double") for c in range(classes)]
+    counts = df.agg(F.count("*").alias("n"), *[F.sum(y[c]).alias(f"y{c}") for c in range(classes)]).first()
+    n, own = counts["n"], [counts[f"y{c}"] or 0.0 for c in range(classes)]
+    target = [F.when(y[c] == 1, F.lit((own[c] + 1) / (own[c] + 2))).otherwise(F.lit(1 / (n - own[c] + 2))) for c in range(classes)]
+    now = [(0.0, math.log((own[c] + 1) / (n - own[c] + 1))) for c in range(classes)]
+    last, move, best = [math.inf] * classes, [np.zeros(2)] * classes, list(now)
+    for _ in range(steps):
+        sums = []
+        for c, (slope, offset) in enumerate(now):
+            m = F.get(column, F.lit(c))
+            z = m * slope + offset
+            p = 1 / (1 + F.exp(-z))
+            # loss as log(1 + exp(-|z|)) + max(z, 0) - t z
+            loss = F.log1p(F.exp(-F.abs(z))) + F.greatest(z, F.lit(0.0)) - target[c] * z
+            d, h = p - target[c], p * (1 - p)
+            sums += [F.sum(v).alias(f"{k}{c}") for k, v in (("l", loss), ("gm", d * m), ("g", d), ("hmm", h * m * m), ("hm", h * m), ("h", h))]
+        row, moving = df.agg(*sums).first(), False
+        for c in range(classes):
+            if not 0 < own[c] < n:
+                continue
+            loss = row[f"l{c}"]
+            if loss > last[c] + 1e-9 * abs(last[c]):  # too far: half the way back
+                move[c] = move[c] / 2
+                now[c] = tuple(np.array(best[c]) - move[c])
+                moving = moving or np.abs(move[c]).max() > 1e-9
+                continue
+            best[c], done = now[c], last[c] - loss < 1e-10 * max(1.0, abs(loss))
+            last[c] = loss
+            if not done:
+                h = np.array([[row[f"hmm{c}"], row[f"hm{c}"]], [row[f"hm{c}"], row[f"h{c}"]]]) + 1e-9 * np.eye(2)
+                move[c] = np.linalg.solve(h, [row[f"gm{c}"], row[f"g{c}"]])
+                now[c], moving = tuple(np.array(now[c]) - move[c]), True
+        if not moving:
+            break
+    return [(float(a), float(b)) for a, b in best]
 
 
 class FourierModel:
-    def __init__(self, inner: OneVsRestModel, lift: Callable):
-        self.inner, self.lift = inner, lift
+    def __init__(self, inner: OneVsRestModel, lift: Callable, sigmoids: list[tuple[float, float]]):
+        self.inner, self.lift, self.sigmoids = inner, lift, sigmoids
 
     def transform(self, df: DataFrame) -> DataFrame:
-        return self.inner.transform(self.lift(df)).drop("_lifted")
+        out = self.inner.margins(self.lift(df.drop("probability")), "_m").drop("_lifted")
+        shares = [1 / (1 + F.exp(-(F.get("_m", F.lit(c)) * a + b))) for c, (a, b) in enumerate(self.sigmoids)]
+        out = out.withColumn("_p", F.array(*shares))
+        return _with_prediction(out, F.expr("transform(_p, v -> v / aggregate(_p, 0D, (s, x) -> s + x))")).drop("_m", "_p")
 
 
 def _fourier(df: DataFrame, w: np.ndarray, b: np.ndarray) -> DataFrame:

@@ -112,7 +112,7 @@ def train_logreg(spark, sf_dir):
 
 
 def train_svm_rff(spark, sf_dir):
-    return _validated(train.FourierSVM(components=64, rounds=10), matrix(spark, sf_dir))
+    return _validated(train.FourierSVM(), matrix(spark, sf_dir))
 
 
 def _netted(spec: Network, spark: SparkSession, sf_dir: str) -> DataFrame:

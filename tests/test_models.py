@@ -59,3 +59,36 @@ def test_cross_validation_averages_folds(blobs):
     assert results.count() == 3
     p = np.array([r[0] for r in scored.select("p_logistic").collect()])
     np.testing.assert_allclose(p.sum(1), 1, atol=1e-9)
+
+
+def test_sigmoids_are_the_likeliest_and_reliable(spark):
+    """Margins of rows whose classes were drawn with known chances: the fit finds the chances, and its gradient is zero."""
+    rng = np.random.default_rng(4)
+    m = rng.normal(0, 2, (6000, 3))
+    chance = 1 / (1 + np.exp(-(1.7 * m[:, 0] - 0.6)))
+    label = np.where(rng.random(6000) < chance, 0, 1)
+    df = spark.createDataFrame([(int(y), [float(v) for v in x]) for y, x in zip(label, m)], "label int, margins array<double>")
+    (a, b), (c, d), (e, f) = train.fit_sigmoids(df, "label", 3)
+    assert abs(a - 1.7) < 0.15 and abs(b + 0.6) < 0.15 and abs(c) < 0.1 and e == 0 and f < -8
+    p = 1 / (1 + np.exp(-(a * m[:, 0] + b)))
+    t = np.where(label == 0, ((label == 0).sum() + 1) / ((label == 0).sum() + 2), 1 / ((label != 0).sum() + 2))
+    assert abs((p - t).sum()) < 1e-3 and abs(((p - t) * m[:, 0]).sum()) < 1e-3
+    for lo in np.arange(0, 1, 0.2):
+        inside = (p >= lo) & (p < lo + 0.2)
+        assert abs(p[inside].mean() - (label[inside] == 0).mean()) < 0.05
+    # separable margins keep a finite slope
+    apart = spark.createDataFrame([(i % 2, [1.0 if i % 2 == 0 else -1.0] * 2) for i in range(40)], "label int, margins array<double>")
+    assert all(abs(v) < 50 for pair in train.fit_sigmoids(apart, "label", 2) for v in pair)
+
+
+def test_kernel_machine_probabilities_are_reliable(spark):
+    rng = np.random.default_rng(5)
+    label = rng.integers(0, 2, 3000)
+    x = rng.normal(0, 1, (3000, 2)) + label[:, None] * 1.0
+    df = train.assemble(spark.createDataFrame(pd.DataFrame(x, columns=["a", "b"]).assign(label=label, fid=np.arange(3000))), ["a", "b"])
+    fitted, fresh = df.where("fid < 2000"), df.where("fid >= 2000")
+    rows = train.FourierSVM(components=64, rounds=20, classes=2).fit(fitted).transform(fresh).select("probability", "label").collect()
+    p, y = np.array([r[0][1] for r in rows]), np.array([r[1] for r in rows])
+    for lo in (0, 0.25, 0.5, 0.75):
+        inside = (p >= lo) & (p < lo + 0.25)
+        assert inside.sum() > 50 and abs(p[inside].mean() - y[inside].mean()) < 0.12
