@@ -45,8 +45,8 @@ def test_bracketed_quantiles(spark, ties):
     v = rng.integers(0, 5, 4000).astype(float) if ties else rng.normal(size=4000)
     df = spark.createDataFrame(pd.DataFrame({"g": np.arange(4000) % 3, "v": v}))
     probs = (0.0, 0.25, 0.5, 0.9, 1.0)
-    for limit, accuracy in ((10, 20_000), (10, 200), (10**6, 1)):
-        got = quantiles(df, ["v"], probs, by=("g",), exact_rows=limit, accuracy=accuracy).toPandas()
+    for keep, grid in ((20_000, 1000), (200, 1000), (60, 12), (40, 10)):  # no sketch, a sketch alone, several narrowings
+        got = quantiles(df, ["v"], probs, by=("g",), keep=keep, grid=grid).toPandas()
         for g in range(3):
             mine = got[got.g == g].sort_values("p").value
             np.testing.assert_allclose(mine, np.quantile(v[np.arange(4000) % 3 == g], probs))
