@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plotshift.operators.profile import _as_rows
-from plotshift.operators.quantiles import medians
+from plotshift.operators.quantiles import curve, medians
 
 INF = float("inf")
 
@@ -87,18 +87,18 @@ def minmax_scale(fit: DataFrame, apply: DataFrame, columns: list[str], prefix: s
 def quantile_normal(fit: DataFrame, apply: DataFrame, columns: list[str], points: int = 1000) -> DataFrame:
     """Map each column to a normal distribution through its own quantile curve, clipped at the 1e-7 tails.
 
-    The curve has ``points`` knots (never more than rows) taken from a sketch, a fixed-size state whatever the table holds.
-    Values at or beyond the ends of the curve land on the clipped tails.
+    The curve has ``points`` exact knots (never more than rows), a fixed-size state whatever the table holds. Values at or
+    beyond the ends of the curve land on the clipped tails; a column without a number stays missing.
     """
     points = max(2, min(points, fit.count()))
     probs = [k / (points - 1) for k in range(points)]
-    row = fit.agg(
-        *[F.percentile_approx(_c(c).cast("double"), probs, 10 * points).alias(f"q{i}") for i, c in enumerate(columns)]
-    ).first()
+    found: dict[str, list[float]] = {}
+    for r in curve(fit, columns, points).orderBy("column", "k").collect():
+        found.setdefault(r["column"], []).append(r["value"])
     grid = np.asarray(probs)
     tail = 1e-7
     normal = NormalDist()
-    knots = {c: np.asarray(row[f"q{i}"], dtype=float) for i, c in enumerate(columns)}
+    knots = {c: np.asarray(found.get(c, [np.nan] * points)) for c in columns}
 
     def to_normal(batches):
         for batch in batches:

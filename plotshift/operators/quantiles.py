@@ -117,3 +117,32 @@ def medians(df: DataFrame, columns: list[str], exact: bool = True) -> dict[str,
         row = df.agg(*[F.percentile_approx(F.col(f"`{c}`"), 0.5, 10_000).alias(c) for c in columns]).first()
         return {c: row[c] for c in columns if row[c] is not None}
     return {r["column"]: r["value"] for r in quantiles(df, columns, (0.5,)).collect()}
+
+
+def curve(df: DataFrame, columns: list[str], points: int) -> DataFrame:
+    """(column, k, value): ``points`` evenly spaced quantiles of every column, k = 0 the least and points - 1 the largest.
+
+    So many ranks need all values in order: different values with their counts are sorted by ranges, running counts are
+    taken inside each range and over the ranges' totals, and each value gives the k whose ranks it covers.
+    """
+    counted = long_form(df, columns).groupBy("column", "value").agg(F.count("*").alias("c"))
+    ordered = counted.repartitionByRange("column", "value").sortWithinPartitions("column", "value")
+    at = F.monotonically_increasing_id()
+    stored, path = materialize_at(ordered.select("column", "value", "c", at.alias("at"), F.shiftright(at, 33).alias("part")), "ordered")
+    whole = Window.partitionBy("column")
+    ranges = stored.groupBy("column", "part").agg(F.sum("c").alias("s"))
+    before = F.sum("s").over(whole.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    ranges = ranges.select("column", "part", F.coalesce(before, F.lit(0)).alias("base"), F.sum("s").over(whole).alias("n"))
+    upto = F.col("base") + F.sum("c").over(Window.partitionBy("column", "part").orderBy("at"))
+    ranked = stored.join(ranges, ["column", "part"]).select("column", "value", "n", upto.alias("upto"), (upto - F.col("c")).alias("from"))
+    last, steps = F.greatest(F.col("n") - 1, F.lit(1)), F.lit(points - 1)
+    # rank k * (n - 1) / steps lies between two places: "a" takes the lower, "z" the upper
+    lower = F.ceil(F.col("from") * steps / last), F.when(F.col("n") == 1, steps).otherwise(F.expr(f"(upto * {points - 1} - 1) div (n - 1)"))
+    upper = F.greatest(F.floor((F.col("from") - 1) * steps / last) + 1, F.lit(0)), F.when(F.col("n") == 1, steps).otherwise(F.floor((F.col("upto") - 1) * steps / last))
+    side = lambda name, ks: ranked.where(ks[0] <= ks[1]).select("column", "n", F.explode(F.sequence(ks[0].cast("long"), ks[1].cast("long"))).alias("k"), F.lit(name).alias("side"), "value")
+    both = side("a", (lower[0], F.least(lower[1], steps))).union(side("z", (upper[0], F.least(upper[1], steps))))
+    pair = both.groupBy("column", "n", "k").agg(*[F.max(F.when(F.col("side") == x, F.col("value"))).alias(x) for x in "az"])
+    rank = F.col("k") * (F.col("n") - 1) / steps
+    out, _ = materialize_at(pair.select("column", "k", (F.col("a") + (rank - F.floor(rank)) * (F.col("z") - F.col("a"))).alias("value")), "curve")
+    remove(df.sparkSession, path)
+    return out

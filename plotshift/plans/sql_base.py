@@ -19,6 +19,48 @@ def r(expr: str, digits: int = 6) -> str:
     return f"(CASE WHEN round({expr}, {digits}) = 0 THEN 0.0::DOUBLE ELSE round({expr}, {digits}) END)"
 
 
+# Wichura's rational approximations of the inverse normal (algorithm AS 241), highest power first: the middle,
+# the tails up to 5, and beyond.
+INVERSE_NORMAL = (
+    (
+        "2509.0809287301226727 33430.575583588128105 67265.770927008700853 45921.953931549871457 13731.693765509461125 "
+        "1971.5909503065514427 133.14166789178437745 3.3871328727963666080",
+        "5226.4952788528545610 28729.085735721942674 39307.895800092710610 21213.794301586595867 5394.1960214247511077 "
+        "687.18700749205790830 42.313330701600911252 1.0",
+    ),
+    (
+        "7.74545014278341407640e-4 2.27238449892691845833e-2 2.41780725177450611770e-1 1.27045825245236838258 3.64784832476320460504 "
+        "5.76949722146069140550 4.63033784615654529590 1.42343711074968357734",
+        "1.05075007164441684324e-9 5.47593808499534494600e-4 1.51986665636164571966e-2 1.48103976427480074590e-1 6.89767334985100004550e-1 "
+        "1.67638483018380384940 2.05319162663775882187 1.0",
+    ),
+    (
+        "2.01033439929228813265e-7 2.71155556874348757815e-5 1.24266094738807843860e-3 2.65321895265761230930e-2 2.96560571828504891230e-1 "
+        "1.78482653991729133580 5.46378491116411436990 6.65790464350110377720",
+        "2.04426310338993978564e-15 1.42151175831644588870e-7 1.84631831751005468180e-5 7.86869131145613259100e-4 1.48753612908506148525e-2 "
+        "1.36929880922735805310e-1 5.99832206555887937690e-1 1.0",
+    ),
+)
+
+
+def inverse_normal(p: str) -> str:
+    """The normal value below which a share ``p`` lies."""
+
+    def ratio(which: int, x: str) -> str:
+        def polynomial(coefficients: str) -> str:
+            first, *rest = [f"{float(c)!r}::DOUBLE" for c in coefficients.split()]
+            for c in rest:
+                first = f"({first} * {x} + {c})"
+            return first
+
+        return " / ".join(polynomial(c) for c in INVERSE_NORMAL[which])
+
+    tail = f"sqrt(-ln(least({p}, 1 - {p})))"
+    middle = f"({p} - 0.5) * " + ratio(0, f"(0.180625 - ({p} - 0.5) * ({p} - 0.5))")
+    outer = f"CASE WHEN {tail} <= 5 THEN {ratio(1, f'({tail} - 1.6)')} ELSE {ratio(2, f'({tail} - 5)')} END"
+    return f"CASE WHEN abs({p} - 0.5) <= 0.425 THEN {middle} ELSE sign({p} - 0.5) * ({outer}) END"
+
+
 LAB = "CAST(CASE WHEN u < 3 THEN 5 WHEN u < 8 THEN 4 WHEN u < 15 THEN 1 WHEN u < 25 THEN 0 WHEN u < 55 THEN 3 ELSE 2 END AS INT)"
 
 _dates = "o_orderdate::DATE AS day0" + "".join(

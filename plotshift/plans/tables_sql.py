@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from plotshift.plans.features_sql import HULL, PI4, q
-from plotshift.plans.sql_base import DATED, PARCELS, PROBABILITIES, VERTICES, lit, r, with_
+from plotshift.plans.sql_base import DATED, PARCELS, PROBABILITIES, VERTICES, inverse_normal, lit, r, with_
 from plotshift.plans.tables import BLEND_WEIGHTS, MEASURES, NUMBERS
 from plotshift.sources.parcels import GEOGRAPHY, STATUSES, URBAN
 from plotshift.vocabulary import BANDS, CHANGE_TYPES, STATUS_COLUMNS
@@ -159,6 +159,16 @@ def _sql() -> dict[str, str]:
     std = ", ".join(f"avg({c}) AS m_{c}, coalesce(nullif(stddev_pop({c}), 0), 1) AS s_{c}" for c in NUMBERS)
     out["scale_std"] = measured + f""", m AS (SELECT {std} FROM measured WHERE split = 'train')
       SELECT fid, {', '.join(f"{r(f'({c} - m_{c}) / s_{c}')} AS {c}" for c in NUMBERS)} FROM measured, m"""
+    place = lambda c: f"""CASE WHEN {c} IS NULL THEN NULL WHEN {c} <= k_{c}[1] THEN 0.0 WHEN {c} >= k_{c}[1000] THEN 1.0
+      WHEN u_{c} > l_{c} THEN (l_{c} + u_{c} - 1) / 1998.0
+      ELSE (l_{c} - 1 + ({c} - k_{c}[l_{c}]) / (k_{c}[l_{c} + 1] - k_{c}[l_{c}])) / 999.0 END"""
+    pair = ("area", "days_between_0_1")
+    knots = ", ".join(f"quantile_cont({c}, [i / 999.0 FOR i IN range(1000)]) AS k_{c}" for c in pair)
+    under = ", ".join(f"len(list_filter(k_{c}, lambda k: k < {c})) AS l_{c}, len(list_filter(k_{c}, lambda k: k <= {c})) AS u_{c}" for c in pair)
+    out["scale_quantile"] = measured + f""", m AS (SELECT {knots} FROM measured),
+      n AS (SELECT fid, {', '.join(pair)}, {', '.join(f'k_{c}' for c in pair)}, {under} FROM measured, m),
+      p AS (SELECT fid, {', '.join(f'least(greatest({place(c)}, 1e-7), 1 - 1e-7) AS p_{c}, {c} IS NULL AS z_{c}' for c in pair)} FROM n)
+      SELECT fid, {', '.join(f"CASE WHEN NOT z_{c} THEN {r(inverse_normal(f'p_{c}'))} END AS {c}" for c in pair)} FROM p"""
     out["scale_minmax"] = measured + ", m AS (SELECT min(area) a0, max(area) a1, min(perimeter) p0, max(perimeter) p1 FROM measured)" + f"""
       SELECT fid, {r('(area - a0) / (a1 - a0)')} AS norm_area, {r('(perimeter - p0) / (p1 - p0)')} AS norm_perimeter FROM measured, m"""
     out["log_features"] = measured + " SELECT fid, " + ", ".join(

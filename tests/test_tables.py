@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from plotshift.functions import temporal
 from plotshift.operators import categorical as C
 from plotshift.operators import dates, evaluate, numeric, profile, windows
-from plotshift.operators.quantiles import quantiles
+from plotshift.operators.quantiles import curve, quantiles
 from plotshift.session import shared_dir
 from plotshift.sources import geojson, submission
 from plotshift.sources.parcels import parcels
@@ -52,6 +52,18 @@ def test_bracketed_quantiles(spark, ties):
             np.testing.assert_allclose(mine, np.quantile(v[np.arange(4000) % 3 == g], probs))
 
 
+@pytest.mark.parametrize("n,points", [(1, 2), (2, 5), (7, 1000), (500, 11), (500, 500), (333, 77)])
+def test_curve(spark, n, points):
+    rng = np.random.default_rng(n)
+    v, w = rng.integers(0, 9, n).astype(float), rng.normal(size=n)
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(v, w)] + [(None, float("nan"))], "v double, w double").repartition(5)
+    got = curve(df, ["v", "w"], points).toPandas().sort_values("k")
+    for name, x in (("v", v), ("w", w)):
+        mine = got[got["column"] == name]
+        assert list(mine.k) == list(range(points))
+        np.testing.assert_allclose(mine.value, np.quantile(x, np.linspace(0, 1, points)), atol=1e-12)
+
+
 def test_encoders(spark):
     train = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "fid bigint, c string")
     test = spark.createDataFrame([(4, "z"), (5, "a")], "fid bigint, c string")
