@@ -44,7 +44,11 @@ def whitened(df: DataFrame, x: str, y: str, key: str, by: str | None) -> DataFra
         F.covar_samp("y", "y").alias("cyy"),
     )
     # Cholesky factor (a, b, c) of the covariance and Scott's bandwidth h for two dimensions.
-    stats = stats.selectExpr("g", "n", "mx", "my", "sqrt(cxx) AS a", "cxy / sqrt(cxx) AS b", "sqrt(cyy - cxy * cxy / cxx) AS c", "power(n, -1D / 6) AS h")
+    # A group of one row, or of rows on one line, has no such factor.
+    stats = stats.selectExpr(
+        "g", "n", "mx", "my", "nullif(sqrt(cxx), 0D) AS a", "cxy / nullif(sqrt(cxx), 0D) AS b",
+        "nullif(sqrt(greatest(cyy - cxy * cxy / nullif(cxx, 0D), 0D)), 0D) AS c", "power(n, -1D / 6) AS h",
+    )
     return df.join(F.broadcast(stats), "g").selectExpr(
         "id",
         "g",
@@ -57,8 +61,16 @@ def whitened(df: DataFrame, x: str, y: str, key: str, by: str | None) -> DataFra
 def kernel_density(
     df: DataFrame, x: str, y: str, key: str = "fid", by: str | None = None, max_cells: int = MAX_CELLS
 ) -> DataFrame:
-    """(id, density) for every row with both coordinates; ``by`` estimates within each class of an integer code."""
+    """(id, density) for every row with both coordinates; ``by`` estimates within each class of an integer code.
+
+    The density is null in a class of one row and in one whose points lie on a line.
+    """
     white = whitened(df, x, y, key, by)
+    flat = white.where("u IS NULL OR v IS NULL").select("id", F.lit(None).cast("double").alias("density"))
+    return _dense(df, white.where("u IS NOT NULL AND v IS NOT NULL"), max_cells).unionByName(flat)
+
+
+def _dense(df: DataFrame, white: DataFrame, max_cells: int) -> DataFrame:
     white = materialize(white.selectExpr("*", f"floor(u / {SIDE}D) AS cu", f"floor(v / {SIDE}D) AS cv"), "white")
     if white.select("g", "cu", "cv").distinct().count() > max_cells:
         # Too scattered to broadcast cell moments: sum over the points themselves, classes kept out of each other's reach.

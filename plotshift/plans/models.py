@@ -104,11 +104,11 @@ def cv_early_stop(spark, sf_dir):
 
 
 def train_rf(spark, sf_dir):
-    return _validated(train.Forest(trees=30, depth=8), matrix(spark, sf_dir))
+    return _validated(train.Forest(), matrix(spark, sf_dir))
 
 
 def train_logreg(spark, sf_dir):
-    return _validated(train.Logistic(rounds=100), matrix(spark, sf_dir))
+    return _validated(train.Logistic(), matrix(spark, sf_dir))
 
 
 def train_svm_rff(spark, sf_dir):
@@ -140,7 +140,7 @@ def train_mlp_two_blocks(spark, sf_dir):
 
 
 def train_adaboost(spark, sf_dir):
-    return _validated(train.AdaBoost(rounds=6, depth=3), matrix(spark, sf_dir))
+    return _validated(train.AdaBoost(), matrix(spark, sf_dir))
 
 
 def train_neighbors(spark, sf_dir):
@@ -149,7 +149,7 @@ def train_neighbors(spark, sf_dir):
 
 def importances_top10(spark, sf_dir):
     df = matrix(spark, sf_dir)
-    model = train.Forest(trees=20, depth=6).fit(df)
+    model = train.Forest().fit(df)
     return rounded(train.top_features(spark, model.importances(), NUMBERS))
 
 

@@ -115,3 +115,15 @@ def test_imputation(spark, small_blocks):
             best = donors[np.lexsort((donors, dist))[:5]]
             want[i, f] = x[best, f].mean() if np.isfinite(dist).any() else np.nanmean(x[:, f])
     np.testing.assert_allclose(got, want)
+
+
+def test_density_of_flat_classes(spark):
+    """One row, one place, one line: no density; others are as without them."""
+    rng = np.random.default_rng(3)
+    good = [(i, 0, float(x), float(y)) for i, (x, y) in enumerate(rng.normal(size=(50, 2)))]
+    flat = [(100, 1, 1.0, 2.0)] + [(200 + i, 2, 3.0, 3.0) for i in range(4)] + [(300 + i, 3, float(i), 2.0) for i in range(4)]
+    schema = "fid long, c int, x double, y double"
+    got = {r.id: r.density for r in density.kernel_density(spark.createDataFrame(good + flat, schema), "x", "y", by="c").collect()}
+    alone = {r.id: r.density for r in density.kernel_density(spark.createDataFrame(good, schema), "x", "y", by="c").collect()}
+    assert len(got) == 59 and all(got[k] is None for k in got if k >= 100)
+    assert all(got[k] == pytest.approx(alone[k], rel=1e-9) for k in alone)
