@@ -67,8 +67,8 @@ def train_gbt(spark, sf_dir):
 
 
 def train_gbt_early_stop(spark, sf_dir):
-    """A thousand rounds allowed; fifty without a better loss of the held rows end it."""
-    return _boosted(HistogramBoosting(rounds=1000, depth=4, rate=0.8, patience=50), spark, sf_dir)
+    """A thousand rounds allowed; fifty that lower the held rows' loss by less than 0.01 end it."""
+    return _boosted(HistogramBoosting(rounds=1000, depth=4, rate=0.8, patience=50, tolerance=0.01), spark, sf_dir)
 
 
 def train_gbt_leafy(spark, sf_dir):
@@ -99,7 +99,7 @@ def boost_histograms(spark, sf_dir):
 def cv_early_stop(spark, sf_dir):
     """Five folds, each stopped by its own held-out loss."""
     df = evaluate.stratified_folds(wide_matrix(spark, sf_dir), "label", 5)
-    spec = HistogramBoosting(rounds=1000, depth=4, rate=0.8, patience=10)
+    spec = HistogramBoosting(rounds=1000, depth=4, rate=0.8, patience=10, tolerance=0.01)
     return rounded(evaluate.cv_summary(train.cross_validate(materialize(df, "folds"), {"boosting": spec}, folds=5)[0]))
 
 
@@ -156,7 +156,7 @@ def importances_top10(spark, sf_dir):
 def training_curve(spark, sf_dir):
     """Losses before each boosting round until it stops by itself, and the weighted error of each adaptive round."""
     df = wide_matrix(spark, sf_dir)
-    boosted = HistogramBoosting(rounds=1000, depth=4, rate=0.8, patience=20, validation="held").fit(df)
+    boosted = HistogramBoosting(rounds=1000, depth=4, rate=0.8, patience=20, tolerance=0.01, validation="held").fit(df)
     adaptive = train.AdaBoost(rounds=50, depth=3).fit(df.where("NOT held"))
     rows = [(kind, turn, float(v)) for turn, fit, held in boosted.curve for kind, v in (("learned", fit), ("held", held))]
     rows += [("adaptive", i, float(v)) for i, v in enumerate(adaptive.errors)]
