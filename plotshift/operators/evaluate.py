@@ -6,18 +6,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plotshift.operators.profile import with_scalar
+from plotshift.session import materialize
 from plotshift.vocabulary import FOLDS, SEED
 
 
 def with_class_rank(df: DataFrame, label: str, key: str = "fid", seed: int = SEED, shuffle: bool = True) -> DataFrame:
     """``class_rank`` (0-based, shuffled order or row order) and ``class_size`` within the row's class.
 
-    A class may hold most of the table, so it is never sorted as one group. Rows are ranked inside buckets of their
-    shuffled order (the first digits of its hash, or runs of row ids), and each bucket adds the size of those before.
+    A class may hold most of the table, so it is never sorted as one group. Rows are ranked inside buckets, and each
+    bucket adds the size of those before. Buckets are the first digits of the shuffled order's hash, or ranges of
+    row ids that a sample of the ids sets, so that ids may lie anywhere in their type; the ranges are stored with their
+    rows, and their number is that of the shuffle's partitions.
     """
-    token = F.md5(F.concat_ws("-", F.col(key).cast("string"), F.lit(seed)))
-    bucket = F.substring(token, 1, 3) if shuffle else F.shiftright(F.col(key).cast("long"), 16)
-    tagged = df.withColumns({"_token": token if shuffle else F.lit(""), "_bucket": bucket})
+    if shuffle:
+        token = F.md5(F.concat_ws("-", F.col(key).cast("string"), F.lit(seed)))
+        tagged = df.withColumns({"_token": token, "_bucket": F.substring(token, 1, 3)})
+    else:
+        ranged = df.repartitionByRange(key).withColumns({"_token": F.lit(""), "_bucket": F.spark_partition_id()})
+        tagged = materialize(ranged, "ranges")
     sizes = tagged.groupBy(label, "_bucket").agg(F.count("*").alias("_n"))
     earlier = Window.partitionBy(label).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select(

@@ -276,6 +276,14 @@ def folds_in_order(spark, sf_dir):
     return evaluate.stratified_folds(df, "lab", shuffle=False).select("fid", "fold")
 
 
+def folds_sparse_ids(spark, sf_dir):
+    """Folds in the order of ids that lie all over the BIGINT range."""
+    df = spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr(
+        "((l_orderkey * 8 + l_linenumber) * 1000003 % 4294967291 - 2147483645) * 4294967296 AS id", "l_returnflag"
+    )
+    return evaluate.stratified_folds(df, "l_returnflag", shuffle=False, key="id").select("id", "fold")
+
+
 def folds_lineitem(spark, sf_dir):
     """Fold sizes per return flag."""
     df = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
@@ -342,7 +350,7 @@ QUERIES = {
         hist2d_shape, preview_sample, cat_interaction, cat_onehot_union, cat_onehot_train, cat_dummies_aligned,
         cat_dummies_filled, cat_multilabel, cat_multilabel_whole, cat_frequency, cat_target, cat_target_customer,
         cat_status_codes, label_map, label_alpha, label_onehot, fill_median, fill_const_inf, scale_std, scale_minmax,
-        scale_quantile, log_features, select_anova, anova_lineitem, folds_stratified, folds_in_order, folds_lineitem,
+        scale_quantile, log_features, select_anova, anova_lineitem, folds_stratified, folds_in_order, folds_sparse_ids, folds_lineitem,
         split_stratified, fold_average, blend_argmax, fold_argmax, majority_vote, metrics_report, metrics_scores, cv_summary,
     )
 }

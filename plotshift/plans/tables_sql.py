@@ -190,6 +190,9 @@ def _sql() -> dict[str, str]:
     shuffled = "row_number() OVER (PARTITION BY lab ORDER BY md5(fid::VARCHAR || '-42'), fid)"
     out["folds_stratified"] = train + f" SELECT fid, CAST(({shuffled} - 1) % 5 AS INT) AS fold FROM trained"
     out["folds_in_order"] = train + " SELECT fid, CAST((row_number() OVER (PARTITION BY lab ORDER BY fid) - 1) % 5 AS INT) AS fold FROM trained"
+    out["folds_sparse_ids"] = """WITH ids AS (
+      SELECT ((l_orderkey * 8 + l_linenumber) * 1000003 % 4294967291 - 2147483645) * 4294967296 AS id, l_returnflag FROM lineitem)
+      SELECT id, CAST((row_number() OVER (PARTITION BY l_returnflag ORDER BY id) - 1) % 5 AS INT) AS fold FROM ids"""
     out["folds_lineitem"] = """WITH n AS (SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY 1)
       SELECT l_returnflag, CAST(f AS INT) AS fold, CAST(n // 5 + CAST(f < n % 5 AS INT) AS BIGINT) AS n FROM n, (VALUES (0), (1), (2), (3), (4)) t(f)"""
     out["split_stratified"] = train + f""" SELECT fid, {shuffled} <= ceil(count(*) OVER (PARTITION BY lab) * 0.8) AS is_train,
