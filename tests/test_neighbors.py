@@ -87,10 +87,44 @@ def test_high_dimension(spark, small_blocks):
     assert [[e["id"] for e in v] for v in got.neighbors] == (np.argsort(d, 1)[:, :5] + 300).tolist()
 
 
-@pytest.mark.parametrize("cells", [density.MAX_CELLS, 1])
-def test_density(cloud, cells):
+def test_copies_decide_alone_in_many_columns(spark, small_blocks):
+    """Far from the origin a matrix product cannot tell a copy from a near point; differences can."""
+    rng = np.random.default_rng(9)
+    x = 1e4 + rng.normal(size=(400, 20))
+    x[300:] = x[:100]
+    x[350:] += 1e-4
+    labels = np.arange(400) % 6
+    cols = [f"c{i}" for i in range(20)]
+    df = spark.createDataFrame(pd.DataFrame(x, columns=cols).assign(fid=np.arange(400), lab=labels))
+    train, asking = df.where("fid < 300"), df.where("fid >= 300")
+    got = by_id(N.radius_probabilities(N.points(train, cols, value="lab"), N.points(asking, cols), 5.0, 6, 20))
+    want = []
+    for row in np.sqrt(((x[300:, None] - x[None, :300]) ** 2).sum(2)):
+        near = row <= 5
+        w = (row[near] == 0).astype(float) if (row == 0).any() else 1 / row[near]
+        votes = np.bincount(labels[:300][near], w, 6)
+        want.append(votes / votes.sum())
+    np.testing.assert_allclose(np.array(got.probability.tolist()), np.array(want), atol=1e-9)
+    assert all(got.probability[i][labels[i - 300]] == 1 for i in range(300, 350))
+
+
+def test_gaps_in_many_columns(spark):
+    rng = np.random.default_rng(13)
+    q, d = 1e4 + rng.integers(0, 3, (40, 12)).astype(float), 1e4 + rng.integers(0, 3, (90, 12)).astype(float)
+    for a in (q, d):
+        a[rng.random(a.shape) < 0.4] = np.nan
+    d[7] = np.nan
+    ids = rng.permutation(90)
+    pick, best = N.nearest_of(q, d, ids, 6, True)
+    sq = N.squared(q, d, True)
+    order = np.array([np.lexsort((ids, r))[:6] for r in sq])
+    np.testing.assert_array_equal(pick, order)
+    np.testing.assert_allclose(best, np.take_along_axis(sq, order, 1))
+
+
+def test_density(cloud):
     df, _, x, _, _ = cloud
-    got = by_id(density.kernel_density(df, "x", "y", max_cells=cells))
+    got = by_id(density.kernel_density(df, "x", "y"))
     n = len(x)
     c = np.cov(x.T) * n ** (-1 / 3)
     gap = x[:, None] - x[None]
@@ -117,6 +151,21 @@ def test_imputation(spark, small_blocks):
     np.testing.assert_allclose(got, want)
 
 
+def test_density_over_many_tiles(spark):
+    """Cells whose reach crosses several of them, on both sides of zero, and cells nobody is near."""
+    rng = np.random.default_rng(11)
+    x = np.concatenate([rng.normal(0, 1, (400, 2)), rng.normal(0, 60, (400, 2)), [[4000.0, -4000.0]]])
+    df = spark.createDataFrame(pd.DataFrame(x, columns=["x", "y"]).assign(fid=np.arange(len(x))))
+    white = density.whitened(df, "x", "y", "fid", None)
+    u = white.orderBy("id").toPandas()[["u", "v"]].to_numpy()
+    tiles = {tuple(t) for t in np.floor(np.floor(u / density.SIDE) / density.TILE).astype(int).tolist()}
+    assert len(tiles) > 4 and min(min(t) for t in tiles) < 0
+    want = np.exp(-((u[:, None] - u[None]) ** 2).sum(2) / 2).sum(1)
+    got = by_id(density.kernel_density(df, "x", "y"))
+    factor = white.orderBy("id").toPandas()["factor"].to_numpy()
+    np.testing.assert_allclose(got.density, want * factor, rtol=1e-9)
+
+
 def test_density_of_flat_classes(spark):
     """One row, one place, one line: no density; others are as without them."""
     rng = np.random.default_rng(3)
