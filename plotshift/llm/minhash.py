@@ -13,8 +13,8 @@
    exactly on the full sets of the texts.
 
 Defined cases: null, empty and word-free texts have an empty set and stay alone; a text with fewer words than a shingle is
-one shingle; a null id stands behind all others and comes out as null again; rows with one id count as one document in ``report``,
-while ``first_of_groups`` judges row by row; extra columns stay with it.
+one shingle; rows with null or repeated ids are documents of their own, null ids standing behind all others; very long texts are
+taken whole; an empty table gives an empty result; extra columns stay with ``first_of_groups``.
 """
 
 from __future__ import annotations
@@ -239,11 +239,19 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80, k: int = K) -> Dat
 
 
 def report(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFrame:
-    """One row per document: its set's size, its component and whether it stands for it."""
-    none = lambda c: F.when(F.col(c) != LAST, F.col(c))
-    return groups(docs, size, percent).select(
-        none("k").alias("doc_id"), F.col("n").alias("n_shingles"), none("comp").alias("component_id"), (F.col("k") == F.col("comp")).alias("kept")
-    )
+    """One row per document: its set's size, the smallest id of its component and whether it stands for it.
+
+    Rows are told apart by a stored number, so that neither null nor repeated ids link anything. A component without
+    any id has a null one, and its first row stands for it.
+    """
+    rows = numbered(docs.select("doc_id", "text"))
+    labels = groups(rows.select(F.col("number").alias("doc_id"), "row.text"), size, percent)
+    ids = rows.select(F.col("number").alias("k"), F.col("row.doc_id").cast("long").alias("doc_id"))
+    known = materialize(labels.join(ids, "k"), "labels")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("k").alias("number"))
+    first = known.groupBy("comp").agg(F.min(order).alias("first"))
+    kept = F.when(F.col("first.last"), F.col("k") == F.col("first.number")).otherwise(F.coalesce(F.col("doc_id") == F.col("first.id"), F.lit(False)))
+    return known.join(first, "comp").select("doc_id", F.col("n").alias("n_shingles"), F.col("first.id").alias("component_id"), kept.alias("kept"))
 
 
 def first_of_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
