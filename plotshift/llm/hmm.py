@@ -48,6 +48,8 @@ STRETCH = 256
 PRIOR = 1000.0
 CHUNKS = "chunk long, bucket long, ids array<long>, held array<boolean>, first binary, words binary, counts binary, tails binary"
 DOCS = -1
+#: A chunk's size: whole texts up to so many bytes and about so many words, whichever is less; a longer text is a chunk of its own.
+CHUNK_BYTES, CHUNK_WORDS = 6 << 20, 1 << 20
 #: Groups that the buckets' most frequent words are merged in before the driver merges the rest.
 MERGED = 16
 
@@ -55,19 +57,21 @@ MERGED = 16
 def _chunks(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = TaskContext.get().partitionId() << 32
-        for batch, texts in slices(batches, 8 << 20):
+        for batch, texts in slices(batches, CHUNK_BYTES, CHUNK_WORDS):
             words = split_words(texts, NOT_SPACE, True)
-            hashes = words.hashes()
-            distinct, sample, which = np.unique(hashes, return_index=True, return_inverse=True)
+            distinct, sample, which = np.unique(words.hashes(), return_index=True, return_inverse=True)
             held = np.array(batch.column("held").to_pylist(), bool)
             training = np.repeat(~held, np.diff(words.first))
             counts = np.bincount(which[training], minlength=len(distinct)).astype(np.int32)
+            del training
             s, e = words.starts[sample], words.ends[sample]
             suffix = words.buf[e - 1].astype(U) | (words.buf[np.maximum(e - 2, s)].astype(U) << U(8))
             tails = (mix(suffix, 40) % U(TAILS)).astype(np.uint16)
             order = np.argsort(distinct % U(n), kind="stable")  # the chunk's words by bucket and hash
             place = np.empty(len(order), np.uint32)
             place[order] = np.arange(len(order))
+            placed, first = place[which].tobytes(), words.first.astype(np.int64).tobytes()
+            del words, which, s, e, suffix
             distinct, counts, tails = distinct[order], counts[order], tails[order]
             starts, sizes = blobs.runs(distinct % U(n))
             rows = [(int(distinct[lo] % U(n)), slice(lo, lo + k)) for lo, k in zip(starts.tolist(), sizes.tolist())]
@@ -78,8 +82,8 @@ def _chunks(n: int):
                     "bucket": pa.array([DOCS, *[b for b, _ in rows]], pa.int64()),
                     "ids": pa.array([batch.column("doc_id").to_pylist(), *empty], pa.list_(pa.int64())),
                     "held": pa.array([held.tolist(), *empty], pa.list_(pa.bool_())),
-                    "first": pa.array([words.first.astype(np.int64).tobytes(), *empty], pa.binary()),
-                    "words": pa.array([place[which].tobytes(), *[distinct[p].tobytes() for _, p in rows]], pa.binary()),
+                    "first": pa.array([first, *empty], pa.binary()),
+                    "words": pa.array([placed, *[distinct[p].tobytes() for _, p in rows]], pa.binary()),
                     "counts": pa.array([None, *[counts[p].tobytes() for _, p in rows]], pa.binary()),
                     "tails": pa.array([None, *[tails[p].tobytes() for _, p in rows]], pa.binary()),
                 }

@@ -109,19 +109,21 @@ def windows(hashes: np.ndarray, first: np.ndarray, size: int, salt: int = 1) ->
     return mix(out[at], salt), at
 
 
-def slices(batches: Iterator[pa.RecordBatch], limit: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+def slices(batches: Iterator[pa.RecordBatch], limit: int = 4 << 20, gaps: int | None = None) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Parts of the batches with about ``limit`` bytes of their column ``text`` each, at least one row; null is empty.
 
-    A part is what a task holds in arrays at a time, so memory follows the longest text, not the batch size.
+    A part is what a task holds in arrays at a time, so memory follows the longest text, not the batch size. ``gaps`` also
+    bounds its spaces and line ends, and so its words, which may be much shorter than usual.
     """
     for batch in batches:
         texts = batch.column("text")
         texts = texts.cast(pa.large_binary()).fill_null(b"").to_pylist() if len(texts) else []
-        lo = size = 0
+        lo = size = between = 0
         for i, t in enumerate(texts):
-            if size and size + len(t) > limit:
+            more = t.count(b" ") + t.count(b"\n") if gaps else 0
+            if size and (size + len(t) > limit or gaps and between + more > gaps):
                 yield batch.slice(lo, i - lo), texts[lo:i]
-                lo, size = i, 0
-            size += len(t)
+                lo, size, between = i, 0, 0
+            size, between = size + len(t), between + more
         if lo < len(texts):
             yield batch.slice(lo), texts[lo:]
