@@ -155,17 +155,24 @@ def _segments_meet() -> str:
 
 
 def rings_edges(rings: str = "rings") -> Column:
-    """Numbered edges of every ring: array<array<struct<i, n, ax, ay, bx, by>>>."""
-    edge = _struct(
-        {"i": "i", "n": "size(r.pts) - 1", "ax": "p.x", "ay": "p.y", "bx": "get(r.pts, i + 1).x", "by": "get(r.pts, i + 1).y"}
-    )
-    return F.expr(f"transform({rings}, r -> slice(transform(r.pts, (p, i) -> {edge}), 1, greatest(size(r.pts) - 1, 0)))")
+    """Numbered edges of every ring, repeated vertices taken once: array<array<struct<i, n, ax, ay, bx, by>>>."""
+    edge = _struct({"i": "i", "n": "size(q) - 1", "ax": "p.x", "ay": "p.y", "bx": "get(q, i + 1).x", "by": "get(q, i + 1).y"})
+    once = f"transform({rings}, r -> filter(r.pts, (p, i) -> i = 0 OR p <> get(r.pts, i - 1)))"
+    return F.expr(f"transform({once}, q -> slice(transform(q, (p, i) -> {edge}), 1, greatest(size(q) - 1, 0)))")
 
 
 def edges_simple(edges: str) -> Column:
-    """No two edges that share no vertex meet. Quadratic in the vertex count, meant for rings of ordinary size."""
+    """No two edges that share no vertex meet, and none turns back on the one before.
+
+    Quadratic in the vertex count, meant for rings of ordinary size.
+    """
     apart = "f.i > e.i + 1 AND NOT (e.i = 0 AND f.i = e.n - 1)"
-    return F.expr(f"forall({edges}, ring -> NOT exists(ring, e -> exists(ring, f -> {apart} AND {_segments_meet()})))")
+    beside = "(f.i = e.i + 1 OR (f.i = 0 AND e.i = e.n - 1))"
+    turn = "(e.bx - e.ax) * (f.by - f.ay) - (e.by - e.ay) * (f.bx - f.ax)"
+    back = f"{turn} = 0 AND (e.bx - e.ax) * (f.bx - f.ax) + (e.by - e.ay) * (f.by - f.ay) < 0"
+    return F.expr(
+        f"forall({edges}, ring -> NOT exists(ring, e -> exists(ring, f -> ({apart} AND {_segments_meet()}) OR ({beside} AND {back}))))"
+    )
 
 
 def to_mercator(rings: str = "rings") -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql.types import BooleanType
 from plotshift.functions import geometry as G
 from plotshift.vocabulary import EPS
 
-# Rings with more vertices than this are tested for crossings by a sweep in an Arrow batch.
+# Rings with more vertices than this are tested for crossings by a sweep in an Arrow batch, as polygons of several rings are.
 LONG_RING = 256
 
 
@@ -123,55 +123,118 @@ def reproject(df: DataFrame, source: str = "EPSG:4326", target: str = "EPSG:3857
     return df.withColumn("rings", G.to_mercator("rings"))
 
 
-def _sweep_is_simple(x: np.ndarray, y: np.ndarray) -> bool:
-    """Crossing test of a long closed ring: edges sorted by left end meet only edges that start before their right end."""
-    ax, ay, bx, by = x[:-1], y[:-1], x[1:], y[1:]
-    n = len(ax)
-    left, right = np.minimum(ax, bx), np.maximum(ax, bx)
-    low, high = np.minimum(ay, by), np.maximum(ay, by)
-    order = np.argsort(left, kind="stable")
-    stop = np.searchsorted(left[order], right[order], side="right")
-    for k in range(n):
-        i = order[k]
+def _edges(rings: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    """(start, end, ring, place, edges of the ring) of every edge of all rings."""
+    sizes = [len(r) - 1 for r in rings]
+    start, end = np.concatenate([r[:-1] for r in rings]), np.concatenate([r[1:] for r in rings])
+    place = np.concatenate([np.arange(n) for n in sizes])
+    return start, end, np.repeat(np.arange(len(rings)), sizes), place, np.repeat(sizes, sizes)
+
+
+def _cross(a: np.ndarray, b: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Side of the points p on the line from a to b: -1, 0 or 1."""
+    return np.sign((b[..., 0] - a[..., 0]) * (p[..., 1] - a[..., 1]) - (b[..., 1] - a[..., 1]) * (p[..., 0] - a[..., 0]))
+
+
+def _sweep_is_simple(rings: list[np.ndarray]) -> bool:
+    """No forbidden meeting of edges, found by a sweep: edges sorted by left end meet only those that start before their right end.
+
+    Edges of one ring meet at common vertices only, and no edge turns back on the one before. Edges of two rings may
+    touch, but neither cross nor run along each other.
+    """
+    a, b, ring, place, of = _edges(rings)
+    low, high = np.minimum(a, b), np.maximum(a, b)
+    order = np.argsort(low[:, 0], kind="stable")
+    stop = np.searchsorted(low[order, 0], high[order, 0], side="right")
+    for k, i in enumerate(order):
         j = order[k + 1 : stop[k]]
-        gap = np.abs(j - i)
-        j = j[(gap > 1) & (gap < n - 1) & (low[j] <= high[i]) & (high[j] >= low[i])]
+        j = j[(low[j, 1] <= high[i, 1]) & (high[j, 1] >= low[i, 1])]
         if not len(j):
             continue
-        side_a = (bx[i] - ax[i]) * (ay[j] - ay[i]) - (by[i] - ay[i]) * (ax[j] - ax[i])
-        side_b = (bx[i] - ax[i]) * (by[j] - ay[i]) - (by[i] - ay[i]) * (bx[j] - ax[i])
-        side_c = (bx[j] - ax[j]) * (ay[i] - ay[j]) - (by[j] - ay[j]) * (ax[i] - ax[j])
-        side_d = (bx[j] - ax[j]) * (by[i] - ay[j]) - (by[j] - ay[j]) * (bx[i] - ax[j])
-        if np.any((np.sign(side_a) * np.sign(side_b) <= 0) & (np.sign(side_c) * np.sign(side_d) <= 0)):
+        c, d, e, f = _cross(a[i], b[i], a[j]), _cross(a[i], b[i], b[j]), _cross(a[j], b[j], a[i]), _cross(a[j], b[j], b[i])
+        own = ring[j] == ring[i]
+        gap = np.abs(place[j] - place[i])
+        beside = own & ((gap == 1) | (gap == of[i] - 1))
+        meet = (c * d <= 0) & (e * f <= 0)
+        # On one line, edges share more than a point where their extents overlap.
+        shared = (np.minimum(high[i], high[j]) - np.maximum(low[i], low[j])).max(1) > 0
+        along = (c == 0) & (d == 0) & shared
+        if np.any(np.where(own & ~beside, meet, along | (~beside & (c * d < 0) & (e * f < 0)))):
             return False
     return True
 
 
+def _side_of_ring(points: np.ndarray, ring: np.ndarray) -> np.ndarray:
+    """1 for points inside a ring, -1 outside, 0 on it."""
+    a, b = ring[:-1], ring[1:]
+    out = np.empty(len(points), np.int8)
+    step = max(1, (1 << 20) // len(a))
+    for at in range(0, len(points), step):
+        p = points[at : at + step, None]
+        side = _cross(a, b, p)
+        within = ((p >= np.minimum(a, b)) & (p <= np.maximum(a, b))).all(2)
+        upward = (a[:, 1] <= p[..., 1]) & (b[:, 1] > p[..., 1]) & (side > 0)
+        downward = (a[:, 1] > p[..., 1]) & (b[:, 1] <= p[..., 1]) & (side < 0)
+        inside = (upward.sum(1) - downward.sum(1)) != 0
+        out[at : at + step] = np.where(((side == 0) & within).any(1), 0, np.where(inside, 1, -1))
+    return out
+
+
+def _nested_well(rings: list[np.ndarray], holes: list[bool]) -> bool:
+    """Every hole lies in its own outline and in an odd number of rings in all, every outline in an even number."""
+    outline = -1
+    for i, ring in enumerate(rings):
+        outline = outline if holes[i] else i
+        probes = np.concatenate([ring[:-1], (ring[:-1] + ring[1:]) / 2])
+        depth, held = 0, not holes[i]
+        for j, other in enumerate(rings):
+            if i == j:
+                continue
+            apart = (ring.min(0) > other.max(0)).any() or (ring.max(0) < other.min(0)).any()
+            sides = np.array([-1]) if apart else _side_of_ring(probes, other)
+            if (sides > 0).any() and (sides < 0).any():
+                return False  # it leaves the other ring through its vertices
+            # A ring all of whose vertices and middles lie on the other one is within it.
+            inside = not (sides < 0).any()
+            depth += inside
+            held |= inside and j == outline
+        if not held or depth % 2 != holes[i]:
+            return False
+    return True
+
+
+def _is_simple(xs, ys, holes) -> bool:
+    rings = [np.stack([x, y], 1) for x, y in zip(xs, ys)]
+    rings = [r[np.append(True, (np.diff(r, axis=0) != 0).any(1))] for r in rings]
+    if any(len(r) < 4 for r in rings):
+        return False
+    return _sweep_is_simple(rings) and (len(rings) == 1 or _nested_well(rings, [bool(h) for h in holes]))
+
+
 @F.pandas_udf(BooleanType())
-def _long_rings_simple(xs: pd.Series, ys: pd.Series) -> pd.Series:
-    return pd.Series(
-        [None if x is None else all(_sweep_is_simple(a, b) for a, b in zip(x, y)) for x, y in zip(xs, ys)],
-        dtype=object,
-    )
+def _swept(xs: pd.Series, ys: pd.Series, holes: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None else _is_simple(x, y, h) for x, y, h in zip(xs, ys, holes)], dtype=object)
 
 
-def with_validity(df: DataFrame, long_rings: bool = False) -> DataFrame:
-    """``is_valid``: every ring closed, at least four points, no crossing of non-adjacent edges, and the polygon has area.
+def with_validity(df: DataFrame, long_rings: bool = True) -> DataFrame:
+    """``is_valid``: every ring closed, at least four points, no crossing of edges, holes in their outlines, and an area.
 
-    The crossing test is an expression inside the JVM. ``long_rings`` also handles rings above ``LONG_RING``
-    vertices by a sweep in Arrow batches; only those rings are sent to Python.
+    A vertex may be repeated. Holes follow the outline they belong to; holes and outlines may touch at points, and an
+    outline may lie in a hole of another. One ring of ordinary size is tested by an expression inside the JVM; several
+    rings, and those above ``LONG_RING`` vertices, by a sweep in Arrow batches, to which only they are sent.
+    ``long_rings=False`` leaves a single long ring to the expression, which takes quadratic time.
     """
     rings, s = F.col("rings"), F.col("_s")
     shaped = F.expr(f"forall(rings, r -> {G.ring_closed('r.pts')})")
-    is_long = F.expr(f"exists(rings, r -> size(r.pts) > {LONG_RING})")
-    df = with_sums(df).withColumn("_edges", F.when(~is_long if long_rings else F.lit(True), G.rings_edges("rings")))
-    simple = G.edges_simple("_edges")
+    is_swept = F.size(rings) > 1
     if long_rings:
-        only_long = F.when(is_long & shaped, rings)
-        xs = F.transform(only_long, lambda r: F.transform(r["pts"], lambda p: p["x"]))
-        ys = F.transform(only_long, lambda r: F.transform(r["pts"], lambda p: p["y"]))
-        df = df.withColumn("_long", _long_rings_simple(xs, ys))
-        simple = F.when(is_long, F.col("_long")).otherwise(simple)
+        is_swept = is_swept | F.expr(f"exists(rings, r -> size(r.pts) > {LONG_RING})")
+    df = with_sums(df).withColumn("_edges", F.when(~is_swept, G.rings_edges("rings")))
+    sent = F.when(is_swept & shaped, rings)
+    xs = F.transform(sent, lambda r: F.transform(r["pts"], lambda p: p["x"]))
+    ys = F.transform(sent, lambda r: F.transform(r["pts"], lambda p: p["y"]))
+    df = df.withColumn("_long", _swept(xs, ys, F.transform(sent, lambda r: r["hole"])))
+    simple = F.when(is_swept, F.col("_long")).otherwise(G.edges_simple("_edges"))
     valid = (F.size(rings) > 0) & shaped & (s["a2"] != 0) & simple
     return df.withColumn("is_valid", F.when(rings.isNotNull(), F.coalesce(valid, F.lit(False)))).drop("_s", "_long", "_edges")
 
@@ -185,5 +248,5 @@ def drop_empty(df: DataFrame) -> DataFrame:
     return df.where(F.coalesce(F.size(F.get("rings", F.lit(0))["pts"]) >= 4, F.lit(False)))
 
 
-def drop_invalid(df: DataFrame, long_rings: bool = False) -> DataFrame:
+def drop_invalid(df: DataFrame, long_rings: bool = True) -> DataFrame:
     return with_validity(df, long_rings).where("is_valid").drop("is_valid")

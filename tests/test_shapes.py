@@ -59,6 +59,52 @@ def test_long_rings_are_swept(rings):
     assert [r["is_valid"] for r in got] == [True, False, True]
 
 
+def box(x, y, w, h=None):
+    h = w if h is None else h
+    return [(x, y), (x + w, y), (x + w, y + h), (x, y + h), (x, y)]
+
+
+def test_repeated_vertices_and_spikes(rings):
+    twice = [p for p in L for _ in range(2)]
+    spike = [(0, 0), (2, 0), (2, 3), (2, 2), (0, 2), (0, 0)]
+    df = rings([twice], [spike], [twice, box(0.2, 0.2, 0.5)], [spike, box(0.2, 0.2, 0.5)])
+    assert [r["is_valid"] for r in rows(shapes.with_validity(df))] == [True, False, True, False]
+
+
+def test_holes(rings):
+    outer = box(0, 0, 10)
+    cases = {
+        "inside": ([outer, box(2, 2, 2), box(6, 6, 2)], True),
+        "crosses its outline": ([outer, box(8, 2, 4)], False),
+        "outside": ([outer, box(20, 2, 4)], False),
+        "touches at a point": ([outer, [(0, 5), (3, 4), (3, 6), (0, 5)]], True),
+        "runs along the outline": ([outer, box(0, 2, 3)], False),
+        "leaves through vertices": ([outer, [(5, 0), (10, 5), (12, -2), (5, 0)]], False),
+        "hole in a hole": ([outer, box(2, 2, 6), box(4, 4, 1)], False),
+        "crossing holes": ([outer, box(2, 2, 4), box(4, 4, 4)], False),
+        "crosses itself": ([outer, [(2, 2), (5, 6), (6, 2), (2, 5), (2, 2)]], False),
+    }
+    got = [r["is_valid"] for r in rows(shapes.with_validity(rings(*[c for c, _ in cases.values()])))]
+    assert dict(zip(cases, got)) == {k: v for k, (_, v) in cases.items()}
+
+
+def test_parts(spark):
+    """Outlines with holes of their own: apart, in a hole of another, touching, overlapping, one in the other."""
+    part = lambda *r: [(i > 0, [(float(x), float(y)) for x, y in p]) for i, p in enumerate(r)]
+    frame, lake = box(0, 0, 10), box(2, 2, 6)
+    cases = [
+        (part(frame, lake) + part(box(20, 0, 5)), True),
+        (part(frame, lake) + part(box(3, 3, 2)), True),
+        (part(box(0, 0, 4)) + part(box(4, 4, 4)), True),
+        (part(box(0, 0, 4)) + part(box(3, 3, 4)), False),
+        (part(frame) + part(box(3, 3, 2)), False),
+        (part(frame) + part(box(20, 0, 5), lake), False),
+    ]
+    schema = "fid bigint, rings array<struct<hole:boolean,pts:array<struct<x:double,y:double>>>>"
+    df = spark.createDataFrame([(i, c) for i, (c, _) in enumerate(cases)], schema)
+    assert [r["is_valid"] for r in rows(shapes.with_validity(df))] == [v for _, v in cases]
+
+
 def test_mercator(rings):
     got = rows(shapes.with_bounds(shapes.reproject(rings([[(0, 0), (180, 0), (180, 45), (0, 45), (0, 0)]]))))[0]
     assert got["maxx"] == pytest.approx(20037508.342789244)
