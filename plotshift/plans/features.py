@@ -94,6 +94,21 @@ def geom_validity(spark, sf_dir):
     return as_doubles(shapes.with_validity(parcels(spark, sf_dir).select("fid", "rings")).drop("rings"), "is_valid")
 
 
+def geom_nested(spark, sf_dir):
+    """Polygons of two parts, one in the hole of the other, per order: the hole is valid where it stays inside its outline."""
+    box = lambda x, y, w: "array(" + ", ".join(
+        f"named_struct('x', CAST({a} AS DOUBLE), 'y', CAST({b} AS DOUBLE))"
+        for a, b in ((x, y), (f"{x} + {w}", y), (f"{x} + {w}", y), (f"{x} + {w}", f"{y} + {w}"), (x, f"{y} + {w}"), (x, y))
+    ) + ")"
+    ring = lambda hole, pts: f"named_struct('hole', {hole}, 'pts', {pts})"
+    rings = [ring("false", box("0", "0", "100")), ring("true", box("x", "y", "w")), ring("false", box("x + 5", "y + 5", "w - 10"))]
+    df = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr(
+        "o_orderkey AS fid", "5 + o_orderkey % 13 * 10 AS x", "5 + o_orderkey % 7 * 10 AS y", "20 + o_orderkey % 5 * 10 AS w"
+    )
+    df = df.selectExpr("fid", f"array({', '.join(rings)}) AS rings")
+    return as_doubles(shapes.with_validity(shapes.with_core(df)).select("fid", "is_valid", "area", "perimeter"), "is_valid")
+
+
 def geom_types(spark, sf_dir):
     return value_counts(parcels(spark, sf_dir, geometry=False).select("geometry_type"), "geometry_type")
 
@@ -185,6 +200,7 @@ QUERIES = {
     "geom_hu": geom_hu,
     "geom_reproject": geom_reproject,
     "geom_validity": geom_validity,
+    "geom_nested": geom_nested,
     "geom_types": geom_types,
     "dates_parse": dates_parse,
     "dates_gaps": dates_gaps,

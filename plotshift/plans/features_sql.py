@@ -135,6 +135,9 @@ def _sql() -> dict[str, str]:
         f"{r((mx if c[-1] == 'x' else my).format(c), 3)} AS {c}" for c in ("minx", "miny", "maxx", "maxy")
     ) + " FROM geo"
     out["geom_validity"] = with_(PARCELS, VERTICES, EDGE_CROSSINGS) + " SELECT fid, CAST(CAST(is_valid AS INT) AS DOUBLE) AS is_valid FROM validity"
+    out["geom_nested"] = """WITH b AS (SELECT o_orderkey AS fid, 5 + o_orderkey % 13 * 10 AS x, 5 + o_orderkey % 7 * 10 AS y, 20 + o_orderkey % 5 * 10 AS w FROM orders)
+      SELECT fid, CAST(x + w < 100 AND y + w < 100 AS INT)::DOUBLE AS is_valid, (10000 - w * w + (w - 10) * (w - 10))::DOUBLE AS area,
+        (400 + 4 * w + 4 * (w - 10))::DOUBLE AS perimeter FROM b"""
     out["geom_types"] = with_(PARCELS) + (
         " SELECT geometry_type, count(*) AS n FROM parcels WHERE geometry_type IS NOT NULL GROUP BY 1"
     )
