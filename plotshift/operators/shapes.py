@@ -13,6 +13,8 @@ from plotshift.vocabulary import EPS
 
 # Rings with more vertices than this are tested for crossings by a sweep in an Arrow batch, as polygons of several rings are.
 LONG_RING = 256
+# Pairs of edges that the sweep compares at once.
+PAIRS_AT_ONCE = 1 << 16
 
 
 def with_sums(df: DataFrame, name: str = "_s") -> DataFrame:
@@ -146,9 +148,17 @@ def _sweep_is_simple(rings: list[np.ndarray]) -> bool:
     low, high = np.minimum(a, b), np.maximum(a, b)
     order = np.argsort(low[:, 0], kind="stable")
     stop = np.searchsorted(low[order, 0], high[order, 0], side="right")
-    for k, i in enumerate(order):
-        j = order[k + 1 : stop[k]]
-        j = j[(low[j, 1] <= high[i, 1]) & (high[j, 1] >= low[i, 1])]
+    counts = stop - np.arange(1, len(order) + 1)
+    ends = np.cumsum(counts)
+    lo = 0
+    while lo < len(order):  # pairs of edges, so many at once that arrays stay small
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] - counts[lo] + PAIRS_AT_ONCE, side="right")))
+        some = counts[lo:hi]
+        first = np.repeat(np.arange(lo, hi), some)
+        second = first + 1 + np.arange(len(first)) - np.repeat(np.cumsum(some) - some, some)
+        i, j, lo = order[first], order[second], hi
+        near = (low[j, 1] <= high[i, 1]) & (high[j, 1] >= low[i, 1])
+        i, j = i[near], j[near]
         if not len(j):
             continue
         c, d, e, f = _cross(a[i], b[i], a[j]), _cross(a[i], b[i], b[j]), _cross(a[j], b[j], a[i]), _cross(a[j], b[j], b[i])
