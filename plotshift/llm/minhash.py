@@ -9,8 +9,11 @@
    while lists hold many members of different components; then the members of different components that are left are
    compared with each other. Members of one component never are, so a group of thousands of near copies costs a row per
    member and list, not one per pair, and no pair that could join two components is left out.
-4. Filter and verify. The union sketch estimates the Jaccard; candidates below what chance allows go. The rest is counted
-   exactly on the full sets of the texts.
+4. Filter and verify. The union sketch estimates the Jaccard from the upper 32 bits of the values; a chance equality can only raise
+   it (a sketch with one in itself is not filtered). Candidates below what chance allows go. The rest is counted exactly on the full sets of the texts.
+
+Values are counted in packed buckets. What more than ``DENSE`` sketches of one batch hold is counted there, and only its count goes
+to a bucket; its holders travel as rows, so no bucket gathers a frequent value. Stored tables go once their last reader is stored.
 
 Defined cases: null, empty and word-free texts have an empty set and stay alone; a text with fewer words than a shingle is
 one shingle; rows with null or repeated ids are documents of their own, null ids standing behind all others; very long texts are
@@ -28,10 +31,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plotshift.llm.blobs import buckets, deal, joined, record_keys, runs
 from plotshift.llm.frames import numbered
 from plotshift.llm.graph import components, contracted, smallest_seen
 from plotshift.llm.text import LOWER, NOT_SPACE, slices, split_words, windows
-from plotshift.session import materialize
+from plotshift.session import materialize, materialize_at, remove
 
 #: Sets of up to 0.8 K shingles are compared as wholes: their lists hold only the rarest fifth of their values, so that a passage
 #: in many texts, which is more frequent than their own words, makes no list.
@@ -40,6 +44,10 @@ MISS = 1e-9
 #: Members of a list whose pairs are joined as rows; longer lists are compared inside tasks, in pairs of blocks of about BLOCK members.
 FEW = 24
 BLOCK = 1024
+#: Holders of a value in one batch of sketches up to which they are sent to the value's bucket.
+DENSE = 8
+#: Holders of a value in a block up to which their pairs are listed; more frequent ones are multiplied as a matrix.
+PAIRED = 16
 LAST = (1 << 63) - 1
 
 
@@ -117,18 +125,37 @@ def _alike(a: Column, b: Column, k: int, percent: int, share: int) -> Column:
     """Sketches of less than k values are whole sets and decide; else the union's k smallest values must hold ``share`` common ones."""
     both, union = F.size(F.array_intersect(a, b)), F.slice(F.sort_array(F.array_union(a, b)), 1, k)
     exact = 100 * both >= percent * (F.size(a) + F.size(b) - both)
-    return F.when((F.size(a) < k) & (F.size(b) < k), exact).otherwise(F.size(F.array_intersect(union, F.array_intersect(a, b))) >= share)
+    return F.when(a.isNotNull() & b.isNotNull() & (F.size(a) < k) & (F.size(b) < k), exact).otherwise(F.array_size(F.array_intersect(union, F.array_intersect(a, b))) >= share)
+
+
+def _paired(column: np.ndarray, seen: np.ndarray, row: np.ndarray, n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The counts of ``_common`` for values of 2 to ``PAIRED`` rows: each value's pairs are counted."""
+    out = np.zeros(len(left) * len(right), np.float32)
+    at = [np.full(n, -1) for _ in range(2)]
+    at[0][left], at[1][right] = np.arange(len(left)), np.arange(len(right))
+    used = np.flatnonzero((seen[column] > 1) & (seen[column] <= PAIRED))
+    used = used[np.argsort(column[used], kind="stable")]
+    row, column = row[used], column[used]
+    for step in range(1, PAIRED):
+        first = np.flatnonzero(column[step:] == column[:-step])
+        if not len(first):
+            break
+        for x, y in ((first, first + step), (first + step, first)):
+            x, y = at[0][row[x]], at[1][row[y]]
+            both = (x >= 0) & (y >= 0)
+            np.add.at(out, x[both] * len(right) + y[both], 1)
+    return out.reshape(len(left), len(right))
 
 
 def _common(values: np.ndarray, row: np.ndarray, n: int, left: np.ndarray, right: np.ndarray, step: int = 2048) -> np.ndarray:
     """How many values row x of ``left`` and row y of ``right`` both hold; values of one row only are left out, the rest come ``step`` at a time."""
     _, column, seen = np.unique(values, return_inverse=True, return_counts=True)
-    place = np.cumsum(seen > 1) - 1
-    used = np.flatnonzero(seen[column] > 1)
+    out = _paired(column, seen, row, n, left, right)
+    place = np.cumsum(seen > PAIRED) - 1
+    used = np.flatnonzero(seen[column] > PAIRED)
     used = used[np.argsort(place[column[used]], kind="stable")]
     row, column = row[used], place[column[used]]
-    out = np.zeros((len(left), len(right)), np.float32)
-    for lo in range(0, int((seen > 1).sum()), step):
+    for lo in range(0, int((seen > PAIRED).sum()), step):
         own = slice(*np.searchsorted(column, [lo, lo + step]))
         part = np.zeros((n, step), np.float32)
         part[row[own], column[own] - lo] = 1
@@ -150,7 +177,8 @@ def _block(k: int, percent: int, share: int):
         i, j = (x.as_py() for x in key[1:])
         ids, comp, salt = (t.column(c).to_numpy() for c in ("k", "comp", "salt"))
         sketches = t.column("sketch").combine_chunks()
-        size = sketches.value_lengths().to_numpy().astype(np.int64)
+        size = sketches.value_lengths().fill_null(0).to_numpy().astype(np.int64)
+        bare = sketches.is_null().to_numpy(zero_copy_only=False)
         values = sketches.flatten().to_numpy()
         ends = np.cumsum(size)
         own = lambda x: values[ends[x] - size[x] : ends[x]]
@@ -159,11 +187,13 @@ def _block(k: int, percent: int, share: int):
         total = size[left][:, None] + size[right][None, :]
         whole = (size[left] < k)[:, None] & (size[right] < k)[None, :]
         passed = np.where(whole, 100 * common >= percent * (total - common), common >= share)
+        unfiltered = bare[left][:, None] | bare[right][None, :]
+        passed |= unfiltered
         passed &= comp[left][:, None] != comp[right][None, :]
         if i == j:
             passed &= ids[left][:, None] < ids[right][None, :]
         x, y = np.nonzero(passed)
-        cut = ~whole[x, y]
+        cut = ~whole[x, y] & ~unfiltered[x, y]
         x, y = left[x], right[y]
         keep = np.ones(len(x), bool)
         for at in np.flatnonzero(cut):
@@ -174,34 +204,103 @@ def _block(k: int, percent: int, share: int):
     return run
 
 
+def _sorted_values(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Values of a batch of sketches in their order, the sketch that holds each, and whether more than ``DENSE`` do."""
+    sketches = batch.column("sketch")
+    values = sketches.flatten().to_numpy()
+    holder = np.repeat(batch.column("k").to_numpy(), sketches.value_lengths().to_numpy())
+    order = np.argsort(values, kind="stable")
+    values = values[order]
+    _, counts = runs(values)
+    return values, holder[order], np.repeat(counts > DENSE, counts)
+
+
+PACKED = "bucket long, keys binary, counts binary, values binary, totals binary"
+
+
+def _packed(n: int):
+    """Per bucket of values a row with the holders of the rarer ones, and a row with the totals of the others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values, holder, often = _sorted_values(batch)
+            few, who = values[~often], holder[~often]
+            order = np.argsort(who, kind="stable")
+            few, who = few[order], who[order]
+            starts, totals = runs(values[often])
+            many = values[often][starts]
+            ones = deal(few.view(np.uint64) % np.uint64(n), who, values=few)
+            if ones is not None:
+                yield pa.RecordBatch.from_pydict({**dict(zip(ones.schema.names, ones.columns)), "totals": pa.nulls(len(ones), pa.binary())})
+            sums = deal(many.view(np.uint64) % np.uint64(n), np.zeros(len(many), np.int64), values=many, totals=totals.astype(np.int64))
+            if sums is not None:
+                yield sums
+
+    return run
+
+
+def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The holders that ``_packed`` leaves out, as rows."""
+    for batch in batches:
+        values, holder, often = _sorted_values(batch)
+        yield pa.RecordBatch.from_pydict({"k": pa.array(holder[often], pa.int64()), "v": pa.array(values[often], pa.int64())})
+
+
+def _counted(table: pa.Table) -> pa.Table:
+    """Of one bucket: (k, v, count) for values of several sketches; without k for values whose holders are rows of their own."""
+    values, holder = joined(table, "values", np.int64), record_keys(table)
+    totals = [np.ones(len(v) // 8, np.int64) if t is None else np.frombuffer(t, np.int64) for v, t in zip(table.column("values").to_pylist(), table.column("totals").to_pylist())]
+    total = np.concatenate(totals)
+    summed = np.concatenate([np.full(len(t), x is not None) for t, x in zip(totals, table.column("totals").to_pylist())])
+    _, which = np.unique(values, return_inverse=True)
+    count = np.bincount(which, total).astype(np.int64)[which]
+    rows = np.flatnonzero(~summed & (count > 1))
+    _, apart = np.unique(values[summed], return_index=True)
+    apart = np.flatnonzero(summed)[apart]
+    k = pa.array(np.concatenate([holder[rows], holder[apart]]), pa.int64(), mask=np.arange(len(rows) + len(apart)) >= len(rows))
+    at = np.concatenate([rows, apart])
+    return pa.table({"k": k, "v": pa.array(values[at], pa.int64()), "count": pa.array(count[at], pa.int64())})
+
+
+def value_counts(sketches: DataFrame, n: int) -> DataFrame:
+    """(k, v, count): the values of each sketch that others hold too, with the number of sketches that hold them."""
+    body = sketches.select("k", "sketch")
+    counted = body.mapInArrow(_packed(n), PACKED).groupBy("bucket").applyInArrow(_counted, "k long, v long, count long")
+    totals = counted.where("k is null").select("v", "count")
+    return counted.where("k is not null").union(body.mapInArrow(_frequent, "k long, v long").join(totals, "v").select("k", "v", "count"))
+
+
 def groups(docs: DataFrame, size: int = 5, percent: int = 80, k: int = K) -> DataFrame:
     """(k, n, comp): one row per document with its key, its set's size and the smallest key of its component."""
+    spark = docs.sparkSession
     body = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("k"), F.col("text"))
-    sketches = materialize(body.mapInArrow(_sketches(size, k), "k long, key binary, n long, sketch array<long>"), "sketches")
+    sketches, path = materialize_at(body.mapInArrow(_sketches(size, k), "k long, key binary, n long, sketch array<long>"), "sketches")
     share = required(k, percent / 100)
 
     # texts with one key have one set, so any of their sketches is the class's
     alike = sketches.where("n > 0").groupBy("key").agg(F.min("k").alias("k"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    reps = materialize(alike, "classes")
+    reps, whole_reps = materialize_at(alike, "classes")
     classes = reps.select("key", F.col("k").alias("rep"))
     members = sketches.select("k", "key", "n").join(classes, "key", "left").select("k", "n", F.coalesce("rep", "k").alias("rep"))
+    members = materialize(members, "members")
+    remove(spark, path)
 
-    entries = reps.select("k", "n", F.explode("sketch").alias("v"))
-    shared = entries.groupBy("v").count().where("count > 1")
-    order = Window.partitionBy("k").orderBy("count", "v")
     need = F.when(100 * F.col("n") < percent * k, F.ceil(F.col("n") * percent / 100)).otherwise(F.lit(share))
-    listed = entries.join(shared, "v").select(
-        "k", "n", "v", F.row_number().over(order).alias("place"), F.count("*").over(Window.partitionBy("k")).alias("held")
-    )
-    lists = materialize(listed.where(F.col("place") <= F.col("held") - need + 1).select("v", "k", "n"), "lists")
+    held = value_counts(reps, buckets(body)).groupBy("k").agg(F.sort_array(F.collect_list(F.struct("count", "v"))).alias("held"))  # at most k
+    first = F.slice("held", 1, F.greatest(F.size("held") - need + 1, F.lit(0)).cast("int"))
+    listed = held.join(reps.select("k", "n"), "k").select("k", "n", F.explode(first).alias("e"))
+    lists = materialize(listed.select("e.v", "k", "n"), "lists")
 
     wanted = lists.select("k").distinct()
-    texts = materialize(body.join(wanted, "k", "left_semi").select("k", F.coalesce("text", F.lit("")).alias("text")), "texts")
-    small = reps.select("k", "sketch")
+    upper = reps.join(wanted, "k", "left_semi").select("k", F.transform("sketch", lambda v: F.shiftright(v, 32).cast("int")).alias("sketch"))
+    upper = upper.select("k", F.when(F.size(F.array_distinct("sketch")) == F.size("sketch"), F.col("sketch")).alias("sketch"))
+    small, small_path = materialize_at(upper, "small")
+    remove(spark, whole_reps)
+    texts, texts_path = materialize_at(body.join(wanted, "k", "left_semi").select("k", F.coalesce("text", F.lit("")).alias("text")), "texts")
 
     def near(pairs: DataFrame) -> DataFrame:
         both = pairs.join(small.toDF("a", "sa"), "a").join(small.toDF("b", "sb"), "b")
-        return both.where(_alike(F.col("sa"), F.col("sb"), k, percent, share)).select("a", "b")
+        return both.where(F.coalesce(_alike(F.col("sa"), F.col("sb"), k, percent, share), F.lit(True))).select("a", "b")
 
     def verified(pairs: DataFrame) -> DataFrame:
         whole = pairs.distinct().join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
@@ -234,6 +333,8 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80, k: int = K) -> Dat
         blocks = many.groupBy("v", "i", "j").applyInArrow(_block(k, percent, share), "a long, b long")
         edges = edges.union(verified(near(pairs.select("a", "b").distinct()).union(blocks)))
     labels = components(edges)
+    remove(spark, small_path)
+    remove(spark, texts_path)
     out = members.join(labels.toDF("rep", "comp"), "rep", "left")
     return out.select("k", "n", F.coalesce("comp", "rep").alias("comp"))
 
