@@ -4,11 +4,13 @@
    (segment, term) stores its positions, and one row per segment stores where its documents begin. Which terms items can
    contain is asked of a bitmap of fixed size; the bitmap only spares postings that no item could use. The index is a
    Parquet table in the shared folder, since counting terms and looking them up both read it.
-2. Rarest first. Every item window's terms are counted over the whole index. The window meets, by a join on its rarest
-   term, only segments that hold it; there its term's positions, less the place in the window, are the possible starts.
-3. Intersect. The lists of the other terms, by rising count and less their places, are intersected with the starts until
-   none is left: what remains are exact phrases. A start where at least ``NEAR_SHARE`` of the terms stand within
-   ``SLOP`` places of where they should is a proximity match; it is reported, it does not contaminate.
+2. Rarest first. Every item window's terms are counted over the whole index; absent terms count as none. A proximity match
+   may miss m = size - ceil(NEAR_SHARE * size) terms, so it holds one of the m + 1 rarest. By a join on these the window meets
+   only segments that hold one; there their positions, less the place in the window and up to ``SLOP`` off, are the possible starts.
+3. Intersect. The lists of all terms, by rising count and less their places, are intersected with the starts until none is
+   left that misses at most m: starts with every term in place are exact phrases, starts of a document where at least
+   ``NEAR_SHARE`` of the terms stand within ``SLOP`` places of where they should are proximity matches. ``find`` returns both; only
+   exact ones contaminate.
 
 Segments, not terms, are the groups that meet in one task, so a frequent term, passage or source spreads like the text does.
 
@@ -105,6 +107,23 @@ def build_index(docs: DataFrame, windows: DataFrame) -> DataFrame:
     return materialize(body.mapInArrow(_postings(_bitmap(windows)), INDEX), "postings")
 
 
+def _starts(lists: dict, terms: list[int], offsets: list[int], first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Documents and possible starts of a window: one of the terms is there, at most ``SLOP`` places off."""
+    docs, starts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for term, offset in zip(terms, offsets):
+        at = lists.get(term)
+        if at is not None:
+            doc = np.searchsorted(first, at, "right") - 1
+            docs.append(np.repeat(doc, 2 * SLOP + 1))
+            starts.append((at[:, None] - offset + np.arange(-SLOP, SLOP + 1)).ravel())
+    doc, start = np.concatenate(docs), np.concatenate(starts)
+    order = np.lexsort((start, doc))
+    doc, start = doc[order], start[order]
+    fresh = np.ones(len(doc), bool)
+    fresh[1:] = (doc[1:] != doc[:-1]) | (start[1:] != start[:-1])
+    return doc[fresh], start[fresh]
+
+
 def _look_up(asked: pa.Table, index: pa.Table) -> pa.Table:
     """Of one segment: per document its words, hit words, and the windows that match exactly and nearly."""
     lists, first, ids = {}, np.zeros(1, np.int64), []
@@ -120,13 +139,13 @@ def _look_up(asked: pa.Table, index: pa.Table) -> pa.Table:
     terms = asked.column("terms").combine_chunks().values.to_pylist()
     offsets = asked.column("offsets").combine_chunks().values.to_pylist()
     for window, lo, hi in zip(asked.column("window").to_pylist(), edges, edges[1:]):
-        at, size = lists[terms[lo]], hi - lo
-        doc = np.searchsorted(first, at, "right") - 1
+        size = hi - lo
+        most = size - math.ceil(NEAR_SHARE * size)
+        doc, starts = _starts(lists, terms[lo : lo + most + 1], offsets[lo : lo + most + 1], first)
         begin, end = first[doc], first[doc + 1]
-        starts = at - offsets[lo]
         whole = (starts >= begin) & (starts + size <= end)
-        missed, most = np.zeros(len(at), np.int32), size - math.ceil(NEAR_SHARE * size)
-        for place in range(lo + 1, hi):
+        missed = np.zeros(len(starts), np.int32)
+        for place in range(lo, hi):
             other = lists.get(terms[place])
             if other is None:
                 missed += 1
@@ -137,17 +156,17 @@ def _look_up(asked: pa.Table, index: pa.Table) -> pa.Table:
                 got = other[np.minimum(np.searchsorted(other, least), len(other) - 1)]
                 missed += (got < least) | (got > want + SLOP) | (got >= end)
                 whole &= other[np.minimum(np.searchsorted(other, want), len(other) - 1)] == want
-            if missed.min() > most:  # what is no proximity match is no exact one either
-                break
-        near_at = missed <= most
-        if near_at.any():
-            for d in np.unique(doc[near_at]).tolist():
-                near[d].add(window)
-            whole &= near_at
-            for d in np.unique(doc[whole]).tolist():
-                exact[d].add(window)
-            np.add.at(cover, starts[whole], 1)
-            np.add.at(cover, starts[whole] + size, -1)
+            left = missed <= most  # what is no proximity match is no exact one either
+            if not left.all():
+                doc, starts, begin, end, whole, missed = (x[left] for x in (doc, starts, begin, end, whole, missed))
+                if not len(starts):
+                    break
+        for d in np.unique(doc).tolist():
+            near[d].add(window)
+        for d in np.unique(doc[whole]).tolist():
+            exact[d].add(window)
+        np.add.at(cover, starts[whole], 1)
+        np.add.at(cover, starts[whole] + size, -1)
     hit = np.concatenate([[0], np.cumsum(np.cumsum(cover)[:-1] > 0)])
     segment = index.column("segment")[0].as_py()
     return pa.table(
@@ -158,12 +177,12 @@ def _look_up(asked: pa.Table, index: pa.Table) -> pa.Table:
             "n_words": pa.array(np.diff(first), pa.int64()),
             "n_hit": pa.array(hit[first[1:]] - hit[first[:-1]], pa.int64()),
             "windows": pa.array([sorted(x) for x in exact], pa.list_(pa.int64())),
-            "n_near": pa.array([len(n - x) for n, x in zip(near, exact)], pa.int64()),
+            "near": pa.array([sorted(n - x) for n, x in zip(near, exact)], pa.list_(pa.int64())),
         }
     )
 
 
-FOUND = "segment long, place long, doc_id long, n_words long, n_hit long, windows array<long>, n_near long"
+FOUND = "segment long, place long, doc_id long, n_words long, n_hit long, windows array<long>, near array<long>"
 
 
 def look_up(index: DataFrame, windows: DataFrame) -> DataFrame:
@@ -171,22 +190,28 @@ def look_up(index: DataFrame, windows: DataFrame) -> DataFrame:
     distinct = windows.dropDuplicates(["window"]).select("window", "terms")
     counts = index.where("term is not null").groupBy("term").agg(F.sum("n").alias("count"))
     terms = distinct.select("window", F.size("terms").alias("size"), F.posexplode("terms").alias("pos", "t"))
-    known = terms.join(counts, terms.t == counts.term).groupBy("window", "size")
-    plans = known.agg(F.sort_array(F.collect_list(F.struct("count", "pos", "t"))).alias("plan")).where(F.size("plan") == F.col("size"))
-    asked = plans.withColumn("rarest", F.col("plan")[0]["t"])
-    postings = index.where("term is not null").select(F.col("segment").alias("at"), F.col("term").alias("rarest"))
-    asked = asked.join(postings, "rarest").select("at", "window", F.col("plan.t").alias("terms"), F.col("plan.pos").alias("offsets"))
+    known = terms.join(counts, terms.t == counts.term, "left").select("window", "size", F.struct(F.coalesce("count", F.lit(0)).alias("count"), "pos", "t").alias("p"))
+    plans = known.groupBy("window", "size").agg(F.sort_array(F.collect_list("p")).alias("plan"))
+    most = F.col("size") - F.ceil(F.col("size") * NEAR_SHARE).cast("int")
+    rarest = plans.select("window", F.explode(F.slice("plan", F.lit(1), most + 1)).alias("p")).where("p.count > 0").select("window", F.col("p.t").alias("term"))
+    places = index.where("term is not null").select(F.col("segment").alias("at"), "term")
+    met = rarest.join(places, "term").select("at", "window").distinct()
+    asked = met.join(plans, "window").select("at", "window", F.col("plan.t").alias("terms"), F.col("plan.pos").alias("offsets"))
     return asked.groupBy("at").cogroup(index.groupBy("segment")).applyInArrow(_look_up, FOUND)
 
 
 def find(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Per document row: ``n_words``, ``n_hit``, ``items`` (sorted ids of items with an exact match) and ``n_near``."""
+    """Per document row: ``n_words``, ``n_hit``, ``items`` and ``near_items`` (sorted ids of items with an exact match, and with a
+    window that only matches nearly), and ``n_near``, the number of such windows."""
     windows = materialize(item_windows(items), "windows")
     found = materialize(look_up(build_index(docs, windows), windows), "found")
-    pairs = found.select("segment", "place", F.explode("windows").alias("window")).join(windows.select("window", "item"), "window")
-    named = pairs.groupBy("segment", "place").agg(F.sort_array(F.collect_set("item")).alias("items"))
-    out = found.drop("windows").join(named, ["segment", "place"], "left")
-    return out.select("doc_id", "n_words", "n_hit", F.coalesce("items", F.array().cast("array<string>")).alias("items"), "n_near")
+    both = F.array(F.struct(F.lit(True).alias("exact"), F.col("windows").alias("w")), F.struct(F.lit(False).alias("exact"), F.col("near").alias("w")))
+    pairs = found.select("segment", "place", F.explode(both).alias("m")).select("segment", "place", "m.exact", F.explode("m.w").alias("window"))
+    pairs = pairs.join(windows.select("window", "item"), "window")
+    names = [F.sort_array(F.collect_set(F.when(F.col("exact") == flag, F.col("item")))).alias(name) for flag, name in ((True, "items"), (False, "near_items"))]
+    out = found.join(pairs.groupBy("segment", "place").agg(*names), ["segment", "place"], "left")
+    listed = [F.coalesce(name, F.array().cast("array<string>")).alias(name) for name in ("items", "near_items")]
+    return out.select("doc_id", "n_words", "n_hit", *listed, F.size("near").cast("long").alias("n_near"))
 
 
 def report(docs: DataFrame, items: DataFrame) -> DataFrame:
