@@ -40,6 +40,8 @@ SLOP = 2
 NEAR_SHARE = 0.8
 #: Bits of the bitmap of item terms: 128 KiB, whatever the number of terms.
 BITS = 20
+#: Possible starts that a segment's task holds at a time.
+STARTS = 1 << 19
 
 
 def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,21 +109,52 @@ def build_index(docs: DataFrame, windows: DataFrame) -> DataFrame:
     return materialize(body.mapInArrow(_postings(_bitmap(windows)), INDEX), "postings")
 
 
-def _starts(lists: dict, terms: list[int], offsets: list[int], first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Documents and possible starts of a window: one of the terms is there, at most ``SLOP`` places off."""
-    docs, starts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for term, offset in zip(terms, offsets):
-        at = lists.get(term)
-        if at is not None:
-            doc = np.searchsorted(first, at, "right") - 1
-            docs.append(np.repeat(doc, 2 * SLOP + 1))
-            starts.append((at[:, None] - offset + np.arange(-SLOP, SLOP + 1)).ravel())
-    doc, start = np.concatenate(docs), np.concatenate(starts)
-    order = np.lexsort((start, doc))
-    doc, start = doc[order], start[order]
-    fresh = np.ones(len(doc), bool)
-    fresh[1:] = (doc[1:] != doc[:-1]) | (start[1:] != start[:-1])
-    return doc[fresh], start[fresh]
+def _matches(asked: pa.Table, lists: dict[int, np.ndarray], first: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """Proximity matches of the asked windows as (window row, document, start, size, exact), about ``STARTS`` possible starts at a time."""
+    terms, columns = asked.column("terms").combine_chunks(), asked.column("offsets").combine_chunks()
+    edges, offset = terms.offsets.to_numpy().astype(np.int64), columns.values.to_numpy().astype(np.int64)
+    number = {t: i for i, t in enumerate(lists)}
+    term = np.array([number.get(t, -1) for t in terms.values.to_pylist()], np.int64)
+    held = np.array([len(x) for x in lists.values()], np.int64)
+    before = np.cumsum(held) - held
+    places = np.concatenate(list(lists.values()))
+    keys = (np.repeat(np.arange(len(held)), held) << 40) + places  # one sorted list of all terms' places
+    edges, size = edges[:-1], np.diff(edges)
+    most = np.array([n - math.ceil(NEAR_SHARE * n) for n in range(int(size.max()) + 1)])[size]
+    row = np.repeat(np.arange(len(size)), size)
+    possible = np.bincount(row[term < 0], minlength=len(size)) <= most
+    anchor = np.flatnonzero(possible[row] & (term >= 0) & (np.arange(len(row)) - edges[row] <= most[row]))
+    work = np.bincount(row[anchor], held[term[anchor]], len(size))
+    part = (np.cumsum(work) * (2 * SLOP + 1) // STARTS)[row[anchor]]
+    for lo, n in zip(*runs(part)):
+        own = anchor[lo : lo + n]
+        count = held[term[own]]
+        at = places[np.repeat(before[term[own]] - (np.cumsum(count) - count), count) + np.arange(count.sum())]
+        doc = np.repeat(np.searchsorted(first, at, "right") - 1, 2 * SLOP + 1)
+        start = ((at - np.repeat(offset[own], count))[:, None] + np.arange(-SLOP, SLOP + 1)).ravel()
+        w = np.repeat(np.repeat(row[own], count), 2 * SLOP + 1)
+        order = np.lexsort((start, doc, w))
+        w, doc, start = w[order], doc[order], start[order]
+        left = np.ones(len(w), bool)
+        left[1:] = (w[1:] != w[:-1]) | (doc[1:] != doc[:-1]) | (start[1:] != start[:-1])
+        w, doc, start = w[left], doc[left], start[left]
+        begin, end = first[doc], first[doc + 1]
+        whole = (start >= begin) & (start + size[w] <= end)
+        missed = np.zeros(len(w), np.int64)
+        for place in range(int(size.max())):
+            has = place < size[w]
+            j = np.minimum(edges[w] + place, len(term) - 1)
+            absent, base, want = term[j] < 0, np.maximum(term[j], 0) << 40, start + offset[j]
+            got = keys[np.minimum(np.searchsorted(keys, base + np.maximum(want - SLOP, begin)), len(keys) - 1)]
+            fits = ~absent & (got >= base + np.maximum(want - SLOP, begin)) & (got <= base + np.minimum(want + SLOP, end - 1))
+            missed += has & ~fits
+            in_place = ~absent & (keys[np.minimum(np.searchsorted(keys, base + want), len(keys) - 1)] == base + want)
+            whole &= in_place | ~has
+            left = missed <= most[w]  # what is no proximity match is no exact one either
+            w, doc, start, begin, end, whole, missed = (x[left] for x in (w, doc, start, begin, end, whole, missed))
+            if not len(w):
+                break
+        yield w, doc, start, size[w], whole
 
 
 def _look_up(asked: pa.Table, index: pa.Table) -> pa.Table:
@@ -135,38 +168,13 @@ def _look_up(asked: pa.Table, index: pa.Table) -> pa.Table:
     cover = np.zeros(int(first[-1]) + 1, np.int32)
     exact: list[set[int]] = [set() for _ in ids]
     near: list[set[int]] = [set() for _ in ids]
-    edges = asked.column("terms").combine_chunks().offsets.to_pylist()
-    terms = asked.column("terms").combine_chunks().values.to_pylist()
-    offsets = asked.column("offsets").combine_chunks().values.to_pylist()
-    for window, lo, hi in zip(asked.column("window").to_pylist(), edges, edges[1:]):
-        size = hi - lo
-        most = size - math.ceil(NEAR_SHARE * size)
-        doc, starts = _starts(lists, terms[lo : lo + most + 1], offsets[lo : lo + most + 1], first)
-        begin, end = first[doc], first[doc + 1]
-        whole = (starts >= begin) & (starts + size <= end)
-        missed = np.zeros(len(starts), np.int32)
-        for place in range(lo, hi):
-            other = lists.get(terms[place])
-            if other is None:
-                missed += 1
-                whole[:] = False
-            else:
-                want = starts + offsets[place]
-                least = np.maximum(want - SLOP, begin)
-                got = other[np.minimum(np.searchsorted(other, least), len(other) - 1)]
-                missed += (got < least) | (got > want + SLOP) | (got >= end)
-                whole &= other[np.minimum(np.searchsorted(other, want), len(other) - 1)] == want
-            left = missed <= most  # what is no proximity match is no exact one either
-            if not left.all():
-                doc, starts, begin, end, whole, missed = (x[left] for x in (doc, starts, begin, end, whole, missed))
-                if not len(starts):
-                    break
-        for d in np.unique(doc).tolist():
-            near[d].add(window)
-        for d in np.unique(doc[whole]).tolist():
-            exact[d].add(window)
-        np.add.at(cover, starts[whole], 1)
-        np.add.at(cover, starts[whole] + size, -1)
+    windows = asked.column("window").to_pylist()
+    for w, doc, start, size, whole in _matches(asked, lists, first) if windows and lists else ():
+        for found, at in ((near, slice(None)), (exact, whole)):
+            for x, d in set(zip(w[at].tolist(), doc[at].tolist())):
+                found[d].add(windows[x])
+        np.add.at(cover, start[whole], 1)
+        np.add.at(cover, (start + size)[whole], -1)
     hit = np.concatenate([[0], np.cumsum(np.cumsum(cover)[:-1] > 0)])
     segment = index.column("segment")[0].as_py()
     return pa.table(
