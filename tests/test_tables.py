@@ -206,3 +206,27 @@ def test_shared_folder_comes_from_the_session():
 def test_parcels_scan_only_two_columns(spark, sf):
     plan = parcels(spark, sf).groupBy("urban_type").count()._jdf.queryExecution().executedPlan().toString()
     assert "o_totalprice" not in plan
+
+
+def test_coded_groups_match_sorted_ones(spark):
+    nan = float("nan")
+    rows = [(1, 0, 0.5), (1, 4, 0.5), (1, 2, None), (2, 5, None), (2, 3, None), (3, 1, 0.1), (3, 1, 0.9), (3, 0, 0.8), (4, 2, nan), (4, 1, 1.0)]
+    rows += [(None, 3, 0.2), (None, 1, 0.2000000001), (5, 5, -0.0), (5, 4, 0.0), (6, 2, -1.0)]
+    probs = spark.createDataFrame(rows, "fid bigint, class int, p double")
+    best = lambda **how: sorted(evaluate.argmax_long(probs, 9, **how).collect(), key=str)
+    assert best(classes=6) == best()
+    votes = spark.createDataFrame([(1, 3), (1, 2), (1, 3), (2, 5), (2, 4), (3, None), (4, None), (4, 0)], "fid bigint, pred int")
+    assert sorted(evaluate.majority_vote(votes, 6).collect()) == sorted(evaluate.majority_vote(votes).collect())
+    with pytest.raises(Exception, match="must be a code"):
+        evaluate.majority_vote(votes, 5).collect()
+
+
+def test_ensembles_neither_sort_nor_shuffle_long_rows(spark, sf):
+    """The long table is dealt by id once, before it grows; what groups it hashes in place."""
+    from plotshift.plans import tables
+
+    for query in (tables.fold_argmax, tables.majority_vote, tables.metrics_scores, tables.blend_argmax, tables.fold_average):
+        plan = query(spark, sf)._jdf.queryExecution().executedPlan().toString()
+        below = plan[: plan.index("Generate posexplode")]
+        assert "SortAggregate" not in plan and "ObjectHashAggregate" not in plan, query.__name__
+        assert "hashpartitioning(fid" not in below and "Sort [" not in below, query.__name__
