@@ -230,3 +230,12 @@ def test_ensembles_neither_sort_nor_shuffle_long_rows(spark, sf):
         below = plan[: plan.index("Generate posexplode")]
         assert "SortAggregate" not in plan and "ObjectHashAggregate" not in plan, query.__name__
         assert "hashpartitioning(fid" not in below and "Sort [" not in below, query.__name__
+
+
+def test_histograms_measure_every_polygon_once(spark, sf):
+    """Bounds, filter and bins follow on a stored column; otherwise the hull is written out in the filter many times over."""
+    from plotshift.plans import tables
+
+    for query in (tables.hist_hull_ratio, tables.hist2d_shape):
+        plan = query(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        assert "o_orderkey" not in plan and "lambda" not in plan, query.__name__
