@@ -9,7 +9,7 @@ from plotshift.operators import bands, dates, shapes
 from plotshift.operators.windows import running_total, row_change
 from plotshift.operators.profile import status_transitions, value_counts
 from plotshift.plans.common import as_doubles, rounded, stored
-from plotshift.sources.parcels import parcels
+from plotshift.sources.parcels import parcels, spread
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,7 +102,8 @@ def geom_nested(spark, sf_dir):
     ) + ")"
     ring = lambda hole, pts: f"named_struct('hole', {hole}, 'pts', {pts})"
     rings = [ring("false", box("0", "0", "100")), ring("true", box("x", "y", "w")), ring("false", box("x + 5", "y + 5", "w - 10"))]
-    df = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr(
+    orders = spread(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey"), "o_orderkey")
+    df = orders.selectExpr(
         "o_orderkey AS fid", "5 + o_orderkey % 13 * 10 AS x", "5 + o_orderkey % 7 * 10 AS y", "20 + o_orderkey % 5 * 10 AS w"
     )
     df = df.selectExpr("fid", f"array({', '.join(rings)}) AS rings")

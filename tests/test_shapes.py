@@ -128,3 +128,9 @@ def test_invariances(rings, radii, dx, dy):
         assert a[k] == pytest.approx(b[k], rel=1e-5, abs=1e-6)
         assert a[k] == pytest.approx(c[k], rel=1e-9, abs=1e-9)
     assert a["solidity"] <= 1 + 1e-9 and a["convexity"] >= 1 - 1e-9
+
+
+def test_nested_polygons_use_all_cores(spark, sf):
+    from plotshift.plans import features
+
+    assert features.geom_nested(spark, sf).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
