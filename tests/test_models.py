@@ -92,3 +92,22 @@ def test_kernel_machine_probabilities_are_reliable(spark):
     for lo in (0, 0.25, 0.5, 0.75):
         inside = (p >= lo) & (p < lo + 0.25)
         assert inside.sum() > 50 and abs(p[inside].mean() - y[inside].mean()) < 0.12
+
+
+def test_kernel_machine_keeps_features_not_components(spark, monkeypatch):
+    """Only the narrow rows are kept between fits; every fit lifts them anew."""
+    from pyspark.ml.functions import array_to_vector
+
+    rows = spark.range(80).selectExpr("CAST(id % 2 AS INT) AS label", "array(id % 7 - 3.0D, id % 2 + id % 5 * 0.1D) AS x")
+    rows = rows.select("label", array_to_vector("x").alias("features"))
+    kept, real = [], train.one_vs_rest
+
+    def watched(df, *args, **how):
+        plan = df._jdf.queryExecution().withCachedData().toString()
+        kept.append(plan[plan.index("InMemoryRelation [") :].split("]")[0])
+        return real(df, *args, **how)
+
+    monkeypatch.setattr(train, "one_vs_rest", watched)
+    model = train.FourierSVM(components=8, rounds=2, classes=2, folds=2).fit(rows)
+    assert len(kept) == 3 and all("features" in k and "_lifted" not in k for k in kept)
+    assert model.transform(rows).count() == 80
