@@ -2,6 +2,7 @@
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from plotshift.operators import density, neighbors as N
@@ -176,3 +177,36 @@ def test_density_of_flat_classes(spark):
     alone = {r.id: r.density for r in density.kernel_density(spark.createDataFrame(good, schema), "x", "y", by="c").collect()}
     assert len(got) == 59 and all(got[k] is None for k in got if k >= 100)
     assert all(got[k] == pytest.approx(alone[k], rel=1e-9) for k in alone)
+
+
+def test_imputation_visits_only_blocks_that_may_matter(spark, monkeypatch):
+    """Rows that lack a coordinate are searched in those they have, not sent to every block."""
+    monkeypatch.setattr(N, "block_rows", lambda n, dims: 64)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(3000, 3))
+    x[::10, 0] = np.nan
+    cols = ["a", "b", "c"]
+    df = spark.createDataFrame(pd.DataFrame(x, columns=cols).assign(fid=np.arange(3000)))
+    written, keep = {}, N.materialize
+
+    def materialize(frame, name):
+        written[name] = keep(frame, name)
+        return written[name]
+
+    monkeypatch.setattr(N, "materialize", materialize)
+    N.knn_impute(df, df, cols).count()
+    asked = written["visits"].where("target IS NOT NULL").selectExpr("sum(size(qids)) AS n").first()["n"] or 0
+    blocks = written["blocks"].where("n > 0").count()
+    assert blocks > 20 and asked < 300 * blocks / 4
+
+
+def test_nothing_within_reach_is_not_returned():
+    """A block that is visited returns only what can still be among the nearest."""
+    one = lambda v: pa.array([np.asarray(v).ravel().tolist()])
+    batch = pa.RecordBatch.from_arrays(
+        [one([7, 8]), one([0.0, 0.0, 5.0, 0.0]), one([1.0, 1.0]), one([1, 2, 3]), one([5.0, 0.5, 5.0, 2.0, 9.0, 9.0]), one([1.0, 2.0, 3.0]), one([1.0] * 3)],
+        names=["qids", "qxs", "reach", "ids", "xs", "values", "weights"],
+    )
+    out = pa.Table.from_batches(N._answer(N.Nearest(2, 2), 2)(iter([batch]))).to_pydict()
+    assert out["qids"] == [[8]]
+    assert out["acc"][0][0][:2] == [0.5, float("inf")] and out["nid"][0][0][0] == 1
