@@ -18,6 +18,7 @@ value is an error of the caller (fill it before); an empty training set is an er
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -30,12 +31,12 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from plotshift.session import materialize_at, remove
+from plotshift.session import remove, shared_dir
 from plotshift.vocabulary import SEED
 
 CLASSES = 6
-#: Rows of a stored block, and slices of the rows at most.
-BLOCK, SLICES = 1 << 14, 64
+#: Rows of a stored block, slices of the rows at most, and rows of a slice that are worth a task while cores are free.
+BLOCK, SLICES, TASK = 1 << 14, 64, 1 << 9
 HELD = -1
 ROWS = "slice int, block long, x binary, label binary, weight binary"
 #: Usual constants of batch normalisation and Adam.
@@ -43,13 +44,19 @@ EPS, MOMENTUM, BETA1, BETA2, TINY = 1e-3, 0.9, 0.9, 0.999, 1e-7
 
 
 def _sigmoid(z):
-    return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+    s = np.clip(z, -500, 500)
+    np.exp(np.negative(s, out=s), out=s)
+    s += 1
+    return np.reciprocal(s, out=s)
 
 
-ACTIVATIONS = {
-    "relu": (lambda z: np.maximum(z, 0), lambda z: (z > 0).astype(float)),
-    "swish": (lambda z: z * _sigmoid(z), lambda z: _sigmoid(z) * (1 + z * (1 - _sigmoid(z)))),
-}
+def _swish(z):
+    s = _sigmoid(z)
+    return z * s, lambda: s * (1 + z * (1 - s))
+
+
+#: Output, and its slope when it is asked for.
+ACTIVATIONS = {"relu": lambda z: (np.maximum(z, 0), lambda: z > 0), "swish": _swish}
 
 
 @dataclass(frozen=True)
@@ -68,29 +75,33 @@ class Layer:
     def forward(self, p: dict, x: np.ndarray, running: dict | None, rng: np.random.Generator | None) -> tuple[np.ndarray, dict]:
         """Output and what the way back needs; without ``rng`` the net predicts: running means, no dropout."""
         z = x @ p["w"] + p["b"]
-        a = ACTIVATIONS[self.activation][0](z)
-        cache = {"x": x, "z": z}
+        a, slope = ACTIVATIONS[self.activation](z)
+        cache = {"x": x, "z": z, "slope": slope}
         if self.norm:
-            mean, var = (a.mean(axis=0), a.var(axis=0)) if rng is not None else (running["mean"], running["var"])
-            cache |= {"mean": mean, "var": var, "scale": 1 / np.sqrt(var + EPS)}
-            cache["hat"] = (a - mean) * cache["scale"]
+            mean = a.mean(axis=0) if rng is not None else running["mean"]
+            hat = a - mean
+            var = np.einsum("ij,ij->j", hat, hat) / len(a) if rng is not None else running["var"]
+            cache |= {"mean": mean, "var": var, "scale": 1 / np.sqrt(var + EPS), "hat": hat}
+            hat *= cache["scale"]
             a = cache["hat"] * p["gamma"] + p["beta"]
         if self.dropout and rng is not None:
-            cache["mask"] = (rng.random(a.shape) >= self.dropout) / (1 - self.dropout)
+            cache["mask"] = np.where(rng.random(a.shape) >= self.dropout, 1 / (1 - self.dropout), 0.0)
             a = a * cache["mask"]
         return a, cache
 
-    def back(self, p: dict, cache: dict, d: np.ndarray) -> tuple[np.ndarray, dict]:
-        """Gradients with respect to the input and the parameters, from that with respect to the output."""
+    def back(self, p: dict, cache: dict, d: np.ndarray, first: bool = False) -> tuple[np.ndarray | None, dict]:
+        """Gradients with respect to the input (not asked of a ``first`` layer) and the parameters, from that with respect to the output."""
         out = {}
         if "mask" in cache:
             d = d * cache["mask"]
         if self.norm:
-            out |= {"gamma": (d * cache["hat"]).sum(axis=0), "beta": d.sum(axis=0)}
-            h = d * p["gamma"]
-            d = cache["scale"] * (h - h.mean(axis=0) - cache["hat"] * (h * cache["hat"]).mean(axis=0))
-        d = d * ACTIVATIONS[self.activation][1](cache["z"])
-        return d @ p["w"].T, out | {"w": cache["x"].T @ d, "b": d.sum(axis=0)}
+            # gamma is one number per unit, so the means of the scaled gradients follow from the two sums
+            out |= {"gamma": np.einsum("ij,ij->j", d, cache["hat"]), "beta": d.sum(axis=0)}
+            d = d - out["beta"] / len(d)
+            d -= cache["hat"] * (out["gamma"] / len(d))
+            d *= cache["scale"] * p["gamma"]
+        d = d * cache["slope"]()
+        return None if first else d @ p["w"].T, out | {"w": cache["x"].T @ d, "b": d.sum(axis=0)}
 
 
 @dataclass(frozen=True)
@@ -146,15 +157,22 @@ class Net:
         grads = [{}] * len(caches) + [{"w": h.T @ d, "b": d.sum(axis=0)}]
         d = d @ params[-1]["w"].T
         at = len(caches)
+        lowest = sum(map(len, self.branches))
         for layer in reversed(self.trunk):
             at -= 1
-            d, grads[at] = layer.back(params[at], caches[at], d)
+            d, grads[at] = layer.back(params[at], caches[at], d, at == lowest == 0)
+        if not lowest:
+            return loss, grads, _statistics(caches)
         ends = np.cumsum([b[-1].units if b else len(c) for b, c in zip(self.branches, self.columns)])
         for branch, part in zip(reversed(self.branches), reversed(np.split(d, ends[:-1], axis=1))):
-            for layer in reversed(branch):
+            for i, layer in reversed(list(enumerate(branch))):
                 at -= 1
-                part, grads[at] = layer.back(params[at], caches[at], part)
-        return loss, grads, [{k: c[k] for k in ("mean", "var") if k in c} for c in caches]
+                part, grads[at] = layer.back(params[at], caches[at], part, i == 0)
+        return loss, grads, _statistics(caches)
+
+
+def _statistics(caches: list[dict]) -> list[dict]:
+    return [{k: c[k] for k in ("mean", "var") if k in c} for c in caches]
 
 
 def _summed(net: Net, params: list[dict], step: int):
@@ -254,9 +272,15 @@ class Network:
             raise ValueError("no row to learn from")
         width = len(df.select("features").first()[0])
         slices = max(1, min(SLICES, n // self.batch))
-        blocks, path = materialize_at(rows.mapInArrow(_dealt(slices), ROWS), "slices")
-        tasks = max(1, -(-n // (slices * BLOCK)))
-        kept = {s: _kept(blocks.where(F.col("slice") == s), tasks) for s in [*range(slices), *([HELD] if self.validation else [])]}
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        tasks = max(-(-n // (slices * BLOCK)), min(cores, -(-n // (slices * TASK))))
+        # A folder per slice: its rows are read without passing over the others'.
+        part = F.pmod(F.xxhash64("block"), F.lit(tasks))
+        dealt = rows.mapInArrow(_dealt(slices), ROWS).repartition(max(4 * cores, -(-n // BLOCK)), "slice", part)
+        path = f"{shared_dir(df.sparkSession).rstrip('/')}/slices-{uuid.uuid4().hex}"
+        dealt.sortWithinPartitions("slice", "block").write.partitionBy("slice").parquet(path)
+        blocks = df.sparkSession.read.schema(dealt.schema).parquet(path)
+        kept = {s: _kept(blocks.where(F.col("slice") == s), max(tasks, cores if s == HELD else 1)) for s in [*range(slices), *([HELD] if self.validation else [])]}
         try:
             return self._train(self.net(width), kept, slices)
         finally:

@@ -107,3 +107,18 @@ def test_slices_hold_every_row_once(rows):
     out = next(network._dealt(4)(iter([batch]))).to_pylist()
     assert sorted(v for r in out for v in np.frombuffer(r["x"])) == list(range(50))
     assert sorted({r["slice"] for r in out}) == [-1, 0, 1, 2, 3]
+
+
+def test_a_slice_is_several_tasks_and_stored_apart(spark, rows, monkeypatch):
+    """While cores are free a slice is more than one task, and no task passes over the rows of other slices."""
+    seen = {}
+
+    def kept(self, net, kept, slices):
+        folder = shared_dir(spark).removeprefix("file:")
+        (at,) = [f for f in os.listdir(folder) if f.startswith("slices-")]
+        seen.update(folders=sorted(f for f in os.listdir(f"{folder}/{at}") if f.startswith("slice=")), tasks=[kept[s].getNumPartitions() for s in range(slices)])
+        seen["rows"] = sum(len(np.frombuffer(r["label"], np.int32)) for s in range(slices) for r in kept[s].collect())
+
+    monkeypatch.setattr(Network, "_train", kept)
+    Network(batch=700, classes=3).fit(rows.repartition(8, "fid"))
+    assert seen["folders"] == ["slice=0", "slice=1"] and min(seen["tasks"]) > 1 and seen["rows"] == 1500
