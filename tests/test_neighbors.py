@@ -210,3 +210,18 @@ def test_nothing_within_reach_is_not_returned():
     out = pa.Table.from_batches(N._answer(N.Nearest(2, 2), 2)(iter([batch]))).to_pydict()
     assert out["qids"] == [[8]]
     assert out["acc"][0][0][:2] == [0.5, float("inf")] and out["nid"][0][0][0] == 1
+
+
+def test_many_columns_need_bounded_memory():
+    """A block pair with many equal distances is measured in steps, not as one table of some hundred megabytes."""
+    import tracemalloc
+
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(6, 64))[rng.integers(0, 6, 4096)]
+    tracemalloc.start()
+    acc, nid, _ = N.Nearest(6, 64).run(x[:1024], x, np.arange(4096), np.zeros(4096), np.zeros(4096))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120e6 and not acc[:, :6].any()
+    for i in range(0, 1024, 97):
+        assert nid[i].tolist() == np.nonzero((x == x[i]).all(1))[0][:6].tolist()
