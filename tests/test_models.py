@@ -111,3 +111,34 @@ def test_kernel_machine_keeps_features_not_components(spark, monkeypatch):
     model = train.FourierSVM(components=8, rounds=2, classes=2, folds=2).fit(rows)
     assert len(kept) == 3 and all("features" in k and "_lifted" not in k for k in kept)
     assert model.transform(rows).count() == 80
+
+
+def trainable(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(0, 1, (600, 3))
+    df = pd.DataFrame(x, columns=list("abc")).assign(fid=[None if i % 50 == 0 else i // 2 for i in range(600)], label=(x[:, 0] > 0).astype(int) + (x[:, 1] > 0))
+    return train.assemble(spark.createDataFrame(df), list("abc")).select("fid", "label", "features")
+
+
+def test_trainer_rows_come_in_bounded_tasks(spark, monkeypatch):
+    """Rows of a scan's few tasks are dealt to more, all of them; fewer rows stay where they are."""
+    df = trainable(spark).coalesce(1)
+    assert train.dealt(df, "fid", "label", "features").rdd.getNumPartitions() == 1
+    monkeypatch.setattr(train, "ROWS_AT_ONCE", 100)
+    got = train.dealt(df, "fid", "label", "features")
+    assert got.columns == df.columns and got.rdd.getNumPartitions() == 8
+    assert max(len(p) for p in got.rdd.glom().collect()) < 150
+    assert got.exceptAll(df).isEmpty() and df.exceptAll(got).isEmpty()
+
+
+def test_boosting_reads_bounded_tasks(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(train, "ROWS_AT_ONCE", 100)
+    monkeypatch.setattr(train.OneVsRestModel, "__init__", lambda self, models, scale: None)
+
+    class Trainer:
+        setLabelCol = lambda self, name: self
+        fit = lambda self, df: seen.append(df.rdd.getNumPartitions())
+
+    train.one_vs_rest(trainable(spark).coalesce(1), Trainer, "label", 2, 1.0)
+    assert seen == [8, 8]
