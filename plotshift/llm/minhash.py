@@ -7,8 +7,9 @@
    meet within all but their ``required - 1`` most frequent values; only those enter the lists.
 3. Candidates. A list's members are first compared with one pivot only; what links becomes one component. Rounds go on
    while lists hold many members of different components; then the members of different components that are left are
-   compared with each other. Members of one component never are, so a group of thousands of near copies costs a row per
-   member and list, not one per pair, and no pair that could join two components is left out.
+   compared with each other, each pair in the first list that both are in. Members of one component never are, so a group
+   of thousands of near copies costs a row per member and list, not one per pair, and no pair that could join two
+   components is left out.
 4. Filter and verify. The union sketch estimates the Jaccard from the upper 32 bits of the values; a chance equality can only raise
    it (a sketch with one in itself is not filtered). Candidates below what chance allows go. The rest is counted exactly on the full sets of the texts.
 
@@ -155,9 +156,10 @@ def _common(values: np.ndarray, row: np.ndarray, n: int, left: np.ndarray, right
     used = np.flatnonzero(seen[column] > PAIRED)
     used = used[np.argsort(place[column[used]], kind="stable")]
     row, column = row[used], place[column[used]]
-    for lo in range(0, int((seen > PAIRED).sum()), step):
+    wide = int((seen > PAIRED).sum())
+    for lo in range(0, wide, step):
         own = slice(*np.searchsorted(column, [lo, lo + step]))
-        part = np.zeros((n, step), np.float32)
+        part = np.zeros((n, min(step, wide - lo)), np.float32)
         part[row[own], column[own] - lo] = 1
         out += part[left] @ part[right].T
     return out
@@ -170,28 +172,43 @@ def _held_by_both(p: np.ndarray, q: np.ndarray, k: int) -> int:
     return int(twice[np.searchsorted(np.arange(1, len(u) + 1) - twice, k, "right") - 1])
 
 
+def _lists(column: pa.ChunkedArray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """A list column as one array, its flat values, and the row of each."""
+    lists = column.combine_chunks()
+    return lists, lists.flatten().to_numpy(), np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy())
+
+
 def _block(k: int, percent: int, share: int):
-    """Candidates among the members of one block pair (i, j) of a list: those of different components that ``_alike`` lets pass."""
+    """Candidates among the members of one block pair (i, j) of a list: those of different components that ``_alike`` lets pass.
+
+    Members that both are in one of each other's ``earlier`` lists meet there, so a pair comes out of one list only.
+    """
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
         i, j = (x.as_py() for x in key[1:])
         ids, comp, salt = (t.column(c).to_numpy() for c in ("k", "comp", "salt"))
-        sketches = t.column("sketch").combine_chunks()
-        size = sketches.value_lengths().fill_null(0).to_numpy().astype(np.int64)
+        left, right = np.flatnonzero(salt == i), np.flatnonzero(salt == j)
+        open_ = comp[left][:, None] != comp[right][None, :]
+        if i == j:
+            open_ &= ids[left][:, None] < ids[right][None, :]
+        if "earlier" in t.column_names:
+            _, lists, row = _lists(t.column("earlier"))
+            open_ &= _common(lists, row, len(ids), left, right) == 0
+        at, to = open_.any(axis=1), open_.any(axis=0)
+        left, right, open_ = left[at], right[to], open_[at][:, to]
+        sketches, values, row = _lists(t.column("sketch"))
+        size = np.bincount(row, minlength=len(ids))
         bare = sketches.is_null().to_numpy(zero_copy_only=False)
-        values = sketches.flatten().to_numpy()
         ends = np.cumsum(size)
         own = lambda x: values[ends[x] - size[x] : ends[x]]
-        left, right = np.flatnonzero(salt == i), np.flatnonzero(salt == j)
-        common = _common(values, np.repeat(np.arange(len(ids)), size), len(ids), left, right)
+        asked = np.isin(row, np.concatenate((left, right)))
+        common = _common(values[asked], row[asked], len(ids), left, right)
         total = size[left][:, None] + size[right][None, :]
         whole = (size[left] < k)[:, None] & (size[right] < k)[None, :]
         passed = np.where(whole, 100 * common >= percent * (total - common), common >= share)
         unfiltered = bare[left][:, None] | bare[right][None, :]
         passed |= unfiltered
-        passed &= comp[left][:, None] != comp[right][None, :]
-        if i == j:
-            passed &= ids[left][:, None] < ids[right][None, :]
+        passed &= open_
         x, y = np.nonzero(passed)
         cut = ~whole[x, y] & ~unfiltered[x, y]
         x, y = left[x], right[y]
@@ -327,9 +344,12 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80, k: int = K) -> Dat
         x = few.select("v", F.col("k").alias("a"), "n", F.col("comp").alias("ca"))
         y = few.select("v", F.col("k").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
         pairs = x.join(y, "v").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _comparable(F.col("n"), F.col("nb"), percent))
-        many = left.where(F.col("m") > FEW).join(small, "k").withColumn("of", F.ceil(F.col("m") / BLOCK))
-        many = many.withColumn("salt", F.pmod(F.xxhash64("k"), "of")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("of") - 1)))
-        many = many.select("v", F.least("salt", "other").alias("i"), F.greatest("salt", "other").alias("j"), "k", "comp", "salt", "sketch")
+        many = left.where(F.col("m") > FEW).groupBy("k", "comp").agg(F.sort_array(F.collect_list(F.struct("v", "m"))).alias("own"))  # at most k
+        many = many.join(small, "k").select("k", "comp", "sketch", F.col("own.v").alias("lists"), F.posexplode("own").alias("place", "list"))
+        many = many.select("k", "comp", "sketch", "list.*", F.slice("lists", F.lit(1), F.col("place")).alias("earlier"))
+        many = many.withColumn("of", F.ceil(F.col("m") / BLOCK)).withColumn("salt", F.pmod(F.xxhash64("k"), "of"))
+        many = many.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("of") - 1)))
+        many = many.select("v", F.least("salt", "other").alias("i"), F.greatest("salt", "other").alias("j"), "k", "comp", "salt", "earlier", "sketch")
         blocks = many.groupBy("v", "i", "j").applyInArrow(_block(k, percent, share), "a long, b long")
         edges = edges.union(verified(near(pairs.select("a", "b").distinct()).union(blocks)))
     labels = components(edges)

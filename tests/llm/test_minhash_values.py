@@ -32,3 +32,20 @@ def test_a_sketch_without_values_to_filter_by_is_a_candidate():
     t = pa.table({"k": [1, 2, 3], "comp": [1, 2, 3], "salt": [0, 0, 0], "sketch": pa.array([[1, 2], None, [8, 9]], pa.list_(pa.int32()))})
     out = minhash._block(4, 80, 3)((pa.scalar(0), pa.scalar(0), pa.scalar(0)), t)
     assert sorted(zip(out["a"].to_pylist(), out["b"].to_pylist())) == [(1, 2), (2, 3)]
+
+
+def test_a_pair_that_shares_many_lists_comes_out_of_one():
+    """Members of equal sketches in up to six lists, each list in three block pairs: every pair that meets anywhere, once."""
+    rng = np.random.default_rng(6)
+    member = rng.random((30, 6)) < 0.5
+    sketch = pa.array([[1, 2, 3]] * 30, pa.list_(pa.int32()))
+    found = []
+    for v in range(6):
+        for i, j in ((0, 0), (0, 1), (1, 1)):
+            at = np.flatnonzero(member[:, v] & np.isin(np.arange(30) % 2, (i, j)))
+            earlier = pa.array([np.flatnonzero(member[x, :v]) for x in at], pa.list_(pa.int64()))
+            t = pa.table({"k": at, "comp": at // 2, "salt": at % 2, "earlier": earlier, "sketch": sketch.take(pa.array(at))})
+            out = minhash._block(4, 80, 3)((pa.scalar(v), pa.scalar(i), pa.scalar(j)), t)
+            found += zip(out["a"].to_pylist(), out["b"].to_pylist())
+    want = {(a, b) for a in range(30) for b in range(a + 1, 30) if a // 2 != b // 2 and (member[a] & member[b]).any()}
+    assert len(found) == len(set(found)) and set(found) == want
