@@ -4,7 +4,8 @@ Branches read columns of their own and are joined in front of a trunk; a layer i
 normalised over its batch and thinned by dropout. Rows are dealt once into at most ``SLICES`` slices of every stored block.
 A step is one job over one slice: each block goes forward and back through the net, tasks add up gradients of the weighted
 loss, and the driver, which holds the parameters and nothing of the data, takes an Adam step. So an epoch reads every row
-once, and a step has as many tasks as its slice has blocks. After an epoch the loss of the held rows is summed; ``patience``
+once, and a step has as many tasks as its slice has blocks. Where all rows are few (``ALONE`` a slice), a job for each step
+costs more than its work: one task then takes an epoch's steps itself, in the same order. After an epoch the loss of the held rows is summed; ``patience``
 epochs without a better one end the training, and the best epoch's parameters are kept.
 
 Normalisation uses the mean and variance of a block's rows of the slice, and running means of them when predicting, so no
@@ -37,7 +38,9 @@ from plotshift.vocabulary import SEED
 CLASSES = 6
 #: Rows of a stored block, slices of the rows at most, and rows of a slice that are worth a task while cores are free.
 BLOCK, SLICES, TASK = 1 << 14, 64, 1 << 9
-HELD = -1
+#: Mean rows of a slice up to which one task takes all steps of an epoch, and tasks whose sums the driver adds up itself.
+ALONE, STRAIGHT = 1 << 11, 64
+HELD, ALL = -1, -2
 ROWS = "slice int, block long, x binary, label binary, weight binary"
 #: Usual constants of batch normalisation and Adam.
 EPS, MOMENTUM, BETA1, BETA2, TINY = 1e-3, 0.9, 0.9, 0.999, 1e-7
@@ -200,6 +203,63 @@ def _added(a, b):
     return a + b
 
 
+def _total(parts: RDD):
+    """Sum over all tasks: by the driver, or in a tree where they are many."""
+    return parts.reduce(_added) if parts.getNumPartitions() <= STRAIGHT else parts.treeReduce(_added)
+
+
+def _order(epoch: int, slices: int) -> list[int]:
+    return np.random.default_rng([SEED, epoch]).permutation(slices).tolist()
+
+
+@dataclass
+class _State:
+    """Parameters, running statistics, and Adam's moments after ``step`` steps."""
+
+    params: list[dict]
+    running: list[dict]
+    first: list[dict]
+    second: list[dict]
+    step: int = 0
+
+    @classmethod
+    def start(cls, net: Net, seed: int) -> _State:
+        params = net.start(seed)
+        running = [{"mean": np.zeros(layer.units), "var": np.ones(layer.units)} if layer.norm else {} for layer in net.layers]
+        return cls(params, running, *([{k: np.zeros_like(v) for k, v in p.items()} for p in params] for _ in range(2)))
+
+    def take(self, spec: Network, layers: int, sums: tuple) -> None:
+        """A step by the sums of a slice; arrays are replaced, not changed, so earlier ones stay as they are."""
+        _, weight, n, grads, seen = sums
+        self.step += 1
+        rate = spec.rate * spec.decay ** (self.step / spec.decay_steps) * math.sqrt(1 - BETA2**self.step) / (1 - BETA1**self.step)
+        self.params = [dict(p) for p in self.params]
+        for i, (p, g, m, v) in enumerate(zip(self.params, grads, self.first, self.second)):
+            for k in p:
+                d = g[k] / weight + (2 * spec.l2 * p[k] if k == "w" and i < layers else 0)
+                m[k] = BETA1 * m[k] + (1 - BETA1) * d
+                v[k] = BETA2 * v[k] + (1 - BETA2) * d * d
+                p[k] = p[k] - rate * m[k] / (np.sqrt(v[k]) + TINY)
+        self.running = [{k: MOMENTUM * r[k] + (1 - MOMENTUM) * x[k] / n for k in r} for r, x in zip(self.running, seen)]
+
+
+def _epoch(spec: Network, net: Net, state: _State, epoch: int, slices: int):
+    """All steps of an epoch over the slices' rows in one task: (state after them, losses, weights)."""
+
+    def run(rows: Iterator[Row]) -> Iterator[tuple[_State, float, float]]:
+        parts = {}
+        for row in rows:
+            parts.setdefault(row["slice"], []).append(row)
+        losses = weights = 0.0
+        for s in _order(epoch, slices):
+            for sums in _summed(net, state.params, state.step)(iter(sorted(parts.get(s, []), key=lambda r: r["block"]))):
+                losses, weights = losses + sums[0], weights + sums[1]
+                state.take(spec, len(net.layers), sums)
+        yield state, losses, weights
+
+    return run
+
+
 def _judged(net: Net, params: list[dict], running: list[dict]):
     def run(rows: Iterator[Row]) -> Iterator[tuple[float, float]]:
         loss = total = 0.0
@@ -280,7 +340,9 @@ class Network:
         path = f"{shared_dir(df.sparkSession).rstrip('/')}/slices-{uuid.uuid4().hex}"
         dealt.sortWithinPartitions("slice", "block").write.partitionBy("slice").parquet(path)
         blocks = df.sparkSession.read.schema(dealt.schema).parquet(path)
-        kept = {s: _kept(blocks.where(F.col("slice") == s), max(tasks, cores if s == HELD else 1)) for s in [*range(slices), *([HELD] if self.validation else [])]}
+        kept = _Kept(lambda s: _kept(blocks.where(F.col("slice") == s), max(tasks, cores if s == HELD else 1)))
+        if n <= slices * ALONE:
+            kept[ALL] = _kept(blocks.where(F.col("slice") != HELD), 1)
         try:
             return self._train(self.net(width), kept, slices)
         finally:
@@ -289,36 +351,40 @@ class Network:
             remove(df.sparkSession, path)
 
     def _train(self, net: Net, kept: dict[int, RDD], slices: int) -> NetworkModel:
-        params = net.start(self.epochs)
-        running = [{"mean": np.zeros(layer.units), "var": np.ones(layer.units)} if layer.norm else {} for layer in net.layers]
-        first, second = ([{k: np.zeros_like(v) for k, v in p.items()} for p in params] for _ in range(2))
-        model, best, step = NetworkModel(net, params, running), (math.inf, -1), 0
+        state, best = _State.start(net, self.epochs), (math.inf, -1)
+        model = NetworkModel(net, state.params, state.running)
         for epoch in range(self.epochs):
             losses = weights = 0.0
-            for s in np.random.default_rng([SEED, epoch]).permutation(slices).tolist():
-                loss, weight, n, grads, seen = kept[s].mapPartitions(_summed(net, params, step)).treeReduce(_added)
-                losses, weights, step = losses + loss, weights + weight, step + 1
-                rate = self.rate * self.decay ** (step / self.decay_steps) * math.sqrt(1 - BETA2**step) / (1 - BETA1**step)
-                params = [dict(p) for p in params]  # the best epoch's stay as they are
-                for i, (p, g, m, v) in enumerate(zip(params, grads, first, second)):
-                    for k in p:
-                        d = g[k] / weight + (2 * self.l2 * p[k] if k == "w" and i < len(net.layers) else 0)
-                        m[k] = BETA1 * m[k] + (1 - BETA1) * d
-                        v[k] = BETA2 * v[k] + (1 - BETA2) * d * d
-                        p[k] = p[k] - rate * m[k] / (np.sqrt(v[k]) + TINY)
-                running = [{k: MOMENTUM * r[k] + (1 - MOMENTUM) * x[k] / n for k in r} for r, x in zip(running, seen)]
+            if ALL in kept:
+                state, losses, weights = kept[ALL].mapPartitions(_epoch(self, net, state, epoch, slices)).collect()[0]
+            else:
+                for s in _order(epoch, slices):
+                    sums = _total(kept[s].mapPartitions(_summed(net, state.params, state.step)))
+                    losses, weights = losses + sums[0], weights + sums[1]
+                    state.take(self, len(net.layers), sums)
             held = math.nan
             if self.validation:
-                loss, total = kept[HELD].mapPartitions(_judged(net, params, running)).treeReduce(_added)
+                loss, total = _total(kept[HELD].mapPartitions(_judged(net, state.params, state.running)))
                 held = loss / total if total else math.nan
             model.curve.append((epoch, losses / weights, held))
             if not self.validation or held < best[0]:
-                best, model.params, model.running, model.best_epoch = (held, epoch), params, running, epoch
+                best, model.params, model.running, model.best_epoch = (held, epoch), state.params, state.running, epoch
             elif self.patience and epoch - best[1] >= self.patience:
                 break
         return model
 
 
+class _Kept(dict):
+    """Rows of the slices, each read when it is first asked for."""
+
+    def __init__(self, read):
+        self.read = read
+
+    def __missing__(self, s: int) -> RDD:
+        self[s] = self.read(s)
+        return self[s]
+
+
 def _kept(blocks: DataFrame, tasks: int) -> RDD:
     rows = blocks.rdd
     return (rows.coalesce(tasks) if rows.getNumPartitions() > tasks else rows).persist(StorageLevel.MEMORY_AND_DISK)

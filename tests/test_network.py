@@ -122,3 +122,21 @@ def test_a_slice_is_several_tasks_and_stored_apart(spark, rows, monkeypatch):
     monkeypatch.setattr(Network, "_train", kept)
     Network(batch=700, classes=3).fit(rows.repartition(8, "fid"))
     assert seen["folders"] == ["slice=0", "slice=1"] and min(seen["tasks"]) > 1 and seen["rows"] == 1500
+
+
+@pytest.mark.parametrize("name", ["normed", "two"])
+def test_few_rows_take_an_epoch_in_one_task(rows, monkeypatch, name):
+    """The same steps as with a job for each, in one job an epoch."""
+    from dataclasses import replace
+
+    spec, jobs, real = replace(SPECS[name], epochs=3, batch=100, validation="held"), [], network._summed
+    monkeypatch.setattr(network, "_summed", lambda *a: jobs.append(1) or real(*a))
+    alone = spec.fit(rows)
+    assert not jobs  # steps are taken in the task
+    monkeypatch.setattr(network, "ALONE", 0, raising=False)
+    stepped = spec.fit(rows)
+    assert len(jobs) == 3 * (rows.where("NOT held").count() // 100) and alone.best_epoch == stepped.best_epoch
+    np.testing.assert_allclose(alone.curve, stepped.curve, atol=1e-9)
+    for p, q in zip([*alone.params, *alone.running], [*stepped.params, *stepped.running]):
+        for k in p:
+            np.testing.assert_allclose(p[k], q[k], atol=1e-9)
