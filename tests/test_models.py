@@ -142,3 +142,15 @@ def test_boosting_reads_bounded_tasks(spark, monkeypatch):
 
     train.one_vs_rest(trainable(spark).coalesce(1), Trainer, "label", 2, 1.0)
     assert seen == [8, 8]
+
+
+def test_components_leave_python_as_arrow_arrays(spark, monkeypatch):
+    """Equal to the formula, and no row becomes an object of its own."""
+    from pyspark.sql import functions
+
+    monkeypatch.setattr(functions, "pandas_udf", None)
+    rng = np.random.default_rng(3)
+    x, w, b = rng.normal(0, 1, (50, 3)), rng.normal(0, 1, (3, 8)), rng.uniform(0, 6, 8)
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "fid int, a double, b double, c double")
+    out = train._fourier(train.assemble(df.repartition(3), ["a", "b", "c"]), w, b).orderBy("fid").collect()
+    np.testing.assert_allclose([r["_lifted"].toArray() for r in out], 0.5 * np.cos(x @ w + b), atol=1e-12)
