@@ -134,3 +134,35 @@ def test_nested_polygons_use_all_cores(spark, sf):
     from plotshift.plans import features
 
     assert features.geom_nested(spark, sf).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_polygons_tested_together_as_one_by_one(monkeypatch):
+    """Random rings on a coarse grid (crossing, touching, nested, repeated points): the same answer together and alone."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+
+    def ring():
+        if rng.random() < 0.6:  # a box
+            (x, y), (w, h) = rng.integers(0, 6, 2), rng.integers(1, 7, 2)
+            pts = [(x, y), (x + w, y), (x + w, y + h), (x, y + h)]
+        else:
+            pts = [tuple(p) for p in rng.integers(0, 8, (rng.integers(2, 6), 2))]
+        pts = [p for p in pts for _ in range(1 + (rng.random() < 0.1))]
+        return [tuple(map(float, p)) for p in pts + pts[:1]]
+
+    polygons = [None if k % 40 == 7 else [ring() for _ in range(rng.integers(1, 5))] for k in range(1500)]
+    boxes = lambda *b: [[(x, y), (x + w, y), (x + w, y + w), (x, y + w), (x, y)] for x, y, w in b]
+    polygons += [boxes((0.0, 0.0, 100.0), (float(x), 5.0, 60.0), (x + 5.0, 10.0, float(w))) for x in (5, 35, 40, 60) for w in (20, 50, 55, 60)]
+    holes = [None if p is None else [k < 1500 and rng.random() < 0.1 if i == 0 else i % 2 == 1 for i in range(len(p))] for k, p in enumerate(polygons)]
+    part = lambda d: pa.array([p and [[q[d] for q in r] for r in p] for p in polygons], pa.list_(pa.list_(pa.float64())))
+    args = part(0), part(1), pa.array(holes, pa.list_(pa.bool_()))
+    monkeypatch.setattr(shapes, "_sweep_is_simple", lambda rings, f=shapes._sweep_is_simple: alone.append(1) or f(rings))
+    alone = []
+    together = shapes._are_simple(*args)
+    assert not alone
+    monkeypatch.setattr(shapes, "PAIRS_TOGETHER", 500)
+    assert (shapes._are_simple(*args) == together).all()
+    monkeypatch.setattr(shapes, "FEW_POINTS", 0)
+    assert (shapes._are_simple(*args) == together).all() and alone
+    assert 50 < together.sum() < 1400
